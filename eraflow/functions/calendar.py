@@ -2,112 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from .safe import col
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def week_end(d: str | Column) -> Column:
+def week_end(d: str = "date") -> str:
     """Friday that closes the Saturday-to-Friday week of a date."""
-    return F.next_day(F.date_sub(col(d), 1), "FRI")
+    return f"next_day(date_sub({d}, 1), 'FRI')"
 
 
-def recent_friday(d: str | Column, back: int = 1) -> Column:
+def recent_friday(d: str, back: int = 1) -> str:
     """Latest Friday not after the date (back=1), the one before it (back=2), ..."""
-    return F.date_sub(F.next_day(col(d), "FRI"), 7 * back)
+    return f"date_sub(next_day({d}, 'FRI'), {7 * back})"
 
 
 def fridays(spark: SparkSession, start: str, end: str) -> DataFrame:
     """All Fridays in [start, end], generated on the executors."""
-    first = week_end(F.to_date(F.lit(start)))
-    stop = F.to_date(F.lit(end))
-    days = F.when(first <= stop, F.sequence(first, stop, F.expr("interval 7 days")))
-    return spark.range(1).select(F.explode(days).alias("friday_date"))
+    first, stop = week_end(f"DATE'{start}'"), f"DATE'{end}'"
+    return spark.range(1).selectExpr(
+        f"explode(CASE WHEN {first} <= {stop} THEN sequence({first}, {stop}, INTERVAL 7 DAYS) END) AS friday_date"
+    )
 
 
-def date_key(d: str | Column) -> Column:
+def date_key(d: str = "date") -> str:
     """Date to integer yyyymmdd."""
-    d = col(d)
-    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+    return f"(year({d}) * 10000 + month({d}) * 100 + dayofmonth({d}))"
 
 
-def parse_key(x: str | Column) -> Column:
+def parse_key(x: str) -> str:
     """yyyymmdd integer or text to date; unparsable input is NULL."""
-    return F.try_to_date(col(x).cast("string"), F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.to_date(
-        F.try_to_timestamp(col(x).cast("string"), F.lit("yyyyMMdd"))
-    )
+    return f"CAST(try_to_timestamp(CAST({x} AS STRING), 'yyyyMMdd') AS DATE)"
 
 
-def parse_iso(x: str | Column) -> Column:
-    return F.to_date(F.try_to_timestamp(col(x), F.lit("yyyy-MM-dd")))
+def parse_iso(x: str) -> str:
+    return f"CAST(try_to_timestamp({x}, 'yyyy-MM-dd') AS DATE)"
 
 
-def date_parts(d: str = "date") -> dict[str, Column]:
-    d = col(d)
+def date_parts(d: str = "date") -> dict[str, str]:
     return {
-        "day_of_week": F.weekday(d),
-        "day_of_month": F.dayofmonth(d),
-        "day_of_year": F.dayofyear(d),
-        "week_of_year": F.weekofyear(d),
-        "month_of_year": F.month(d),
-        "quarter_of_year": F.quarter(d),
-        "year": F.year(d),
+        "day_of_week": f"weekday({d})",
+        "day_of_month": f"dayofmonth({d})",
+        "day_of_year": f"dayofyear({d})",
+        "week_of_year": f"weekofyear({d})",
+        "month_of_year": f"month({d})",
+        "quarter_of_year": f"quarter({d})",
+        "year": f"year({d})",
     }
 
 
-def cyclical(d: str = "date") -> dict[str, Column]:
+def cyclical(d: str = "date") -> dict[str, str]:
     parts = date_parts(d)
-    periods = {"day_of_year": 365.25, "month_of_year": 12.0, "day_of_week": 7.0}
     out = {}
-    for name, period in periods.items():
-        angle = 2 * F.pi() * parts[name] / F.lit(period)
-        out[f"{name}_sin"] = F.sin(angle)
-        out[f"{name}_cos"] = F.cos(angle)
+    for name, period in {"day_of_year": "365.25D", "month_of_year": "12D", "day_of_week": "7D"}.items():
+        for fn in ("sin", "cos"):
+            out[f"{name}_{fn}"] = f"{fn}(2 * pi() * {parts[name]} / {period})"
     return out
 
 
-def period_flags(d: str = "date") -> dict[str, Column]:
-    d = col(d)
-    quarter_end = F.last_day(F.add_months(F.trunc(d, "QUARTER"), 2))
-    year_end = F.last_day(F.add_months(F.trunc(d, "YEAR"), 11))
+def period_flags(d: str = "date") -> dict[str, str]:
     return {
-        "month_start": d == F.trunc(d, "MM"),
-        "month_end": d == F.last_day(d),
-        "quarter_start": d == F.trunc(d, "QUARTER"),
-        "quarter_end": d == quarter_end,
-        "year_start": d == F.trunc(d, "YEAR"),
-        "year_end": d == year_end,
+        "month_start": f"({d} = trunc({d}, 'MM'))",
+        "month_end": f"({d} = last_day({d}))",
+        "quarter_start": f"({d} = trunc({d}, 'QUARTER'))",
+        "quarter_end": f"({d} = last_day(add_months(trunc({d}, 'QUARTER'), 2)))",
+        "year_start": f"({d} = trunc({d}, 'YEAR'))",
+        "year_end": f"({d} = last_day(add_months(trunc({d}, 'YEAR'), 11)))",
     }
 
 
-def flag_sums(d: str = "date") -> dict[str, Column]:
+def flag_sums(d: str = "date") -> dict[str, str]:
     """The 17 sums of period flags, day of month and day of week."""
-    flags = {k: v.cast("int") for k, v in period_flags(d).items()}
-    day, dow = F.dayofmonth(col(d)), F.weekday(col(d))
-    out = {"dow_day": dow + day}
-    for name, flag in flags.items():
-        out[f"{name}_day"] = flag + day
-    out["year_end_month_start"] = flags["year_end"] + flags["month_start"]
-    out["year_end_month_end"] = flags["year_end"] + flags["month_end"]
-    for name, flag in flags.items():
-        out[f"{name}_dow"] = flag + dow
-    out["year_end_quarter_start"] = flags["year_end"] + flags["quarter_start"]
-    out["year_end_quarter_end"] = flags["year_end"] + flags["quarter_end"]
+    flags = {k: f"CAST({v} AS INT)" for k, v in period_flags(d).items()}
+    day, dow = f"dayofmonth({d})", f"weekday({d})"
+    out = {"dow_day": f"{dow} + {day}"}
+    out |= {f"{k}_day": f"{v} + {day}" for k, v in flags.items()}
+    out |= {f"{k}_dow": f"{v} + {dow}" for k, v in flags.items()}
+    for other in ("month_start", "month_end", "quarter_start", "quarter_end"):
+        out[f"year_end_{other}"] = f"{flags['year_end']} + {flags[other]}"
     return out
 
 
-def weekly_last(df: DataFrame, cols: list[str], by: str = "ticker", at: str = "date", dense: bool = False) -> DataFrame:
+def weekly_last(df: DataFrame, cols: Sequence[str], by: str = "ticker", at: str = "date", dense: bool = False) -> DataFrame:
     """Last non-null value of each column per key and Friday week.
 
-    ``max_by`` combines before the shuffle. dense=True also returns the weeks
-    between the first and last of a key that have no rows, as NULL rows.
+    ``max_by`` on a fixed-width time combines before the shuffle. dense=True also
+    returns, as NULL rows, the weeks inside a key's span that have no rows.
     """
-    weekly = df.groupBy(by, week_end(at).alias("week_end")).agg(
-        *[F.max_by(c, F.when(col(c).isNotNull(), col(at))).alias(c) for c in cols]
-    )
+    aggs = [F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN {at} END) AS {c}") for c in cols]
+    keyed = df.groupBy(by, F.expr(f"{week_end(at)} AS week_end"))
+    weekly = keyed.agg(*aggs)
     if not dense:
         return weekly
-    span = weekly.groupBy(by).agg(F.min("week_end").alias("_a"), F.max("week_end").alias("_b"))
-    grid = span.select(by, F.explode(F.sequence("_a", "_b", F.expr("interval 7 days"))).alias("week_end"))
+    span = df.groupBy(by).agg(F.expr(f"min({week_end(at)}) AS _a"), F.expr(f"max({week_end(at)}) AS _b"))
+    grid = span.selectExpr(by, "explode(sequence(_a, _b, INTERVAL 7 DAYS)) AS week_end")
     return grid.join(weekly, [by, "week_end"], "left")

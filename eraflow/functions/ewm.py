@@ -20,11 +20,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .rolling import lag, series, so_far
-from .safe import col, div
+from .rolling import Series, diff, lag
+from .safe import div, num
 
 _FORGET = 46.0  # -ln(1e-20)
 
@@ -60,94 +59,64 @@ def block_length(alpha: float) -> int:
     return int(length)
 
 
-def add_ewm(df: DataFrame, specs: Sequence[Ewm], by: str = "ticker", at: str = "date") -> DataFrame:
+def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series()) -> DataFrame:
     """Append every requested weighted mean; all of them share one shuffle by key."""
-    w = series(by, at)
-    cum = so_far(w)
     names = df.columns
-    plain = [s for s in specs if s.alpha >= 1.0]
-    specs_f = [s for s in specs if s.alpha < 1.0]
-    sources = sorted({s.src for s in specs_f})
-
-    head = {"_pos": F.row_number().over(w) - 1}
-    for c in sources:
-        head[f"_cnt_{c}"] = F.count(c).over(cum)
-    if any(not s.adjust for s in specs_f):
-        for c in sorted({s.src for s in specs_f if not s.adjust}):
-            head[f"_x0_{c}"] = F.first(c, ignorenulls=True).over(cum)
-    work = df.withColumns(head)
-    firsts = {
-        f"_p0_{c}": F.min(F.when(col(c).isNotNull(), col("_pos"))).over(cum)
-        for c in sorted({s.src for s in specs_f if not s.adjust})
-    }
-    if firsts:
-        work = work.withColumns(firsts)
-
-    lengths = sorted({block_length(s.alpha) for s in specs_f})
-    work = work.withColumns(
-        {f"_blk_{n}": F.expr(f"_pos div {n}") for n in lengths}
-        | {f"_off_{n}": col("_pos") % n for n in lengths}
-    )
-    done: dict[tuple[str, float], tuple[Column, Column]] = {}
-    for n in lengths:
-        inside = Window.partitionBy(by, f"_blk_{n}").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-        before = Window.partitionBy(by).orderBy(f"_blk_{n}").rangeBetween(-1, -1)
-        current, prior = {}, {}
-        for c, a in sorted({(s.src, s.alpha) for s in specs_f if block_length(s.alpha) == n}):
-            grow = F.pow(F.lit(1.0 / (1.0 - a)), col(f"_off_{n}"))
-            shrink = F.pow(F.lit(1.0 - a), col(f"_off_{n}"))
-            full = (1.0 - a) ** n
-            tag = f"{c}_{n}_{len(done)}"
-            weighted, weight = col(c) * grow, F.when(col(c).isNotNull(), grow)
-            current[f"_ni_{tag}"] = F.sum(weighted).over(inside)
-            current[f"_di_{tag}"] = F.sum(weight).over(inside)
-            prior[f"_nb_{tag}"] = F.sum(weighted).over(before)
-            prior[f"_db_{tag}"] = F.sum(weight).over(before)
-
-            def total(inner: str, prior: str, shrink=shrink, full=full, tag=tag) -> Column:
-                zero = F.lit(0.0)
-                return shrink * (
-                    F.coalesce(col(f"_{inner}_{tag}"), zero) + full * F.coalesce(col(f"_{prior}_{tag}"), zero)
-                )
-
-            done[c, a] = total("ni", "nb"), total("di", "db")
+    smooth = [s for s in specs if s.alpha < 1.0]
+    sources = sorted({s.src for s in smooth})
+    starts = sorted({s.src for s in smooth if not s.adjust})
+    work = df.selectExpr("*", f"row_number() {w.over} - 1 AS _pos", *[f"count({c}) {w.so_far} AS _cnt_{c}" for c in sources])
+    if starts:
+        work = work.selectExpr(
+            "*",
+            *[f"first({c}, true) {w.so_far} AS _x0_{c}" for c in starts],
+            *[f"min(CASE WHEN {c} IS NOT NULL THEN _pos END) {w.so_far} AS _p0_{c}" for c in starts],
+        )
+    total: dict[tuple[str, float], tuple[str, str]] = {}
+    for n in sorted({block_length(s.alpha) for s in smooth}):
+        work = work.selectExpr("*", f"_pos div {n} AS _blk_{n}", f"_pos % {n} AS _off_{n}")
+        inside = Series(f"{w.by}, _blk_{n}", w.at).so_far
+        before = f"OVER (PARTITION BY {w.by} ORDER BY _blk_{n} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
+        current, prior = [], []
+        for i, (c, a) in enumerate(sorted({(s.src, s.alpha) for s in smooth if block_length(s.alpha) == n})):
+            grow, shrink = (f"pow({num(v)}, _off_{n})" for v in (1.0 / (1.0 - a), 1.0 - a))
+            sides = []
+            for kind, x in (("n", f"{c} * {grow}"), ("d", f"CASE WHEN {c} IS NOT NULL THEN {grow} END")):
+                tag = f"{kind}_{c}_{n}_{i}"
+                current.append(f"sum({x}) {inside} AS _i{tag}")
+                prior.append(f"sum({x}) {before} AS _b{tag}")
+                sides.append(f"({shrink} * (coalesce(_i{tag}, 0D) + {num((1.0 - a) ** n)} * coalesce(_b{tag}, 0D)))")
+            total[c, a] = sides[0], sides[1]
         # in this order the sort of the first Window also serves the second
-        work = work.withColumns(current).withColumns(prior)
-
-    out = [col(s.src).alias(s.out) for s in plain]
-    for s in specs_f:
-        num, den = done[s.src, s.alpha]
+        work = work.selectExpr("*", *current).selectExpr("*", *prior)
+    out = []
+    for s in specs:
+        if s.alpha >= 1.0:
+            out.append(f"{s.src} AS {s.out}")
+            continue
+        top, bottom = total[s.src, s.alpha]
         if s.adjust:
-            value = div(num, den)
+            value = div(top, bottom)
         else:
-            age = col("_pos") - col(f"_p0_{s.src}")
-            value = s.alpha * num + (1.0 - s.alpha) * col(f"_x0_{s.src}") * F.pow(F.lit(1.0 - s.alpha), age)
-        out.append(F.when(col(f"_cnt_{s.src}") >= s.min_periods, value).alias(s.out))
-    return work.select(*names, *out)
+            rest = num(1.0 - s.alpha)
+            value = f"{num(s.alpha)} * {top} + {rest} * _x0_{s.src} * pow({rest}, _pos - _p0_{s.src})"
+        out.append(f"CASE WHEN _cnt_{s.src} >= {s.min_periods} THEN {value} END AS {s.out}")
+    return work.selectExpr(*names, *out)
 
 
 # ---- compositions -------------------------------------------------------------------------
 
 
-def add_rsi_wilder(df: DataFrame, src: str, periods: Sequence[int], out: str = "rsi", by="ticker", at="date") -> DataFrame:
+def add_rsi_wilder(df: DataFrame, src: str, periods: Sequence[int], out: str = "rsi", w: Series = Series()) -> DataFrame:
     """Wilder RSI of one column for many periods: 100 without losses, NULL when flat."""
-    w = series(by, at)
     names = df.columns
-    step = col(src) - lag(src, 1, w)
-    work = df.withColumns({"_chg": step})
-    work = work.withColumns(
-        {
-            "_up": F.when(col("_chg").isNotNull(), F.greatest(col("_chg"), F.lit(0.0))),
-            "_down": F.when(col("_chg").isNotNull(), F.greatest(-col("_chg"), F.lit(0.0))),
-        }
+    work = df.selectExpr("*", f"{diff(src, w)} AS _chg").selectExpr(
+        "*",
+        "CASE WHEN _chg IS NOT NULL THEN greatest(_chg, 0D) END AS _up",
+        "CASE WHEN _chg IS NOT NULL THEN greatest(-_chg, 0D) END AS _down",
     )
-    specs = [wilder(f"_g{p}", "_up", p) for p in periods] + [wilder(f"_l{p}", "_down", p) for p in periods]
-    work = add_ewm(work, specs, by, at)
-    rsi = [
-        F.when(col(f"_g{p}") + col(f"_l{p}") > 0, 100 * col(f"_g{p}") / (col(f"_g{p}") + col(f"_l{p}"))).alias(f"{out}_{p}")
-        for p in periods
-    ]
-    return work.select(*names, *rsi)
+    work = add_ewm(work, [wilder(f"_g{p}", "_up", p) for p in periods] + [wilder(f"_l{p}", "_down", p) for p in periods], w)
+    return work.selectExpr(*names, *[f"100 * {div(f'_g{p}', f'(_g{p} + _l{p})')} AS {out}_{p}" for p in periods])
 
 
 def add_macd(
@@ -156,8 +125,7 @@ def add_macd(
     triples: Sequence[tuple[int, int, int]],
     percent: bool = False,
     out: str = "macd",
-    by: str = "ticker",
-    at: str = "date",
+    w: Series = Series(),
 ) -> DataFrame:
     """MACD line, signal and histogram per (fast, slow, signal).
 
@@ -165,30 +133,27 @@ def add_macd(
     over the slow mean, all means in the normalised form.
     """
     names = df.columns
-    spans = sorted({s for f, s, _ in triples} | {f for f, _, _ in triples})
-    work = add_ewm(df, [by_span(f"_e{s}", src, s, adjust=percent) for s in spans], by, at)
+    spans = sorted({s for _, s, _ in triples} | {f for f, _, _ in triples})
     pairs = sorted({(f, s) for f, s, _ in triples})
-    lines = {}
+    work = add_ewm(df, [by_span(f"_e{s}", src, s, adjust=percent) for s in spans], w)
+    lines = []
     for f, s in pairs:
-        gap = col(f"_e{f}") - col(f"_e{s}")
-        lines[f"_m{f}_{s}"] = 100 * div(gap, f"_e{s}") if percent else gap
-    work = work.withColumns(lines)
-    work = add_ewm(work, [by_span(f"_s{f}_{s}_{g}", f"_m{f}_{s}", g, adjust=percent) for f, s, g in triples], by, at)
-    cols = [col(f"_m{f}_{s}").alias(f"{out}_{f}_{s}") for f, s in pairs]
+        gap = f"(_e{f} - _e{s})"
+        lines.append(f"{f'100 * {div(gap, f"_e{s}")}' if percent else gap} AS _m{f}_{s}")
+    work = work.selectExpr("*", *lines)
+    work = add_ewm(work, [by_span(f"_s{f}_{s}_{g}", f"_m{f}_{s}", g, adjust=percent) for f, s, g in triples], w)
+    cols = [f"_m{f}_{s} AS {out}_{f}_{s}" for f, s in pairs]
     for f, s, g in triples:
-        cols.append(col(f"_s{f}_{s}_{g}").alias(f"{out}_signal_{f}_{s}_{g}"))
+        cols.append(f"_s{f}_{s}_{g} AS {out}_signal_{f}_{s}_{g}")
         if not percent:
-            cols.append((col(f"_m{f}_{s}") - col(f"_s{f}_{s}_{g}")).alias(f"{out}_hist_{f}_{s}_{g}"))
-    return work.select(*names, *cols)
+            cols.append(f"_m{f}_{s} - _s{f}_{s}_{g} AS {out}_hist_{f}_{s}_{g}")
+    return work.selectExpr(*names, *cols)
 
 
-def add_atr(df: DataFrame, periods: Sequence[int], by: str = "ticker", at: str = "date") -> DataFrame:
+def add_atr(df: DataFrame, periods: Sequence[int], w: Series = Series()) -> DataFrame:
     """Recursive mean of the true range."""
-    w = series(by, at)
     names = df.columns
     prev = lag("close", 1, w)
-    work = df.withColumns(
-        {"_tr": F.greatest(col("high") - col("low"), F.abs(col("high") - prev), F.abs(col("low") - prev))}
-    )
-    work = add_ewm(work, [by_span(f"atr_{p}", "_tr", p, adjust=False) for p in periods], by, at)
+    work = df.selectExpr("*", f"greatest(high - low, abs(high - {prev}), abs(low - {prev})) AS _tr")
+    work = add_ewm(work, [by_span(f"atr_{p}", "_tr", p, adjust=False) for p in periods], w)
     return work.select(*names, *[f"atr_{p}" for p in periods])

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .rolling import lag, last_n, log_return, pct_change, roll_max, roll_mean, roll_min, roll_std, series, so_far, whole
-from .safe import col, div, ln, log1p
+from .rolling import Series, diff, lag, log_return, pct_change, roll_max, roll_mean, roll_min, roll_std
+from .safe import div, ln, log1p, num
 
 #: Parameter lists of the indicator sets.
 PRICE_WINDOWS = [5, 10, 20, 30, 50, 100, 200]
@@ -17,223 +16,207 @@ BAND_WINDOWS = [10, 20, 50]
 BAND_WIDTHS = [1.5, 2.0, 2.5]
 ROC_PERIODS = [5, 10, 20, 30, 60, 90]
 STOCH_SMOOTH = [3, 5]
-MACD_ABS = [(f, s, g) for f in (6, 12, 26) for s in (13, 26, 52) if s > f for g in (5, 9, 13)]
+MACD_FAST, MACD_SLOW, MACD_SIGNAL = [6, 12, 26], [13, 26, 52], [5, 9, 13]
+MACD_ABS = [(f, s, g) for f in MACD_FAST for s in MACD_SLOW if s > f for g in MACD_SIGNAL]
 MACD_PCT = [
     (12, 26, 9), (10, 24, 8), (20, 48, 16), (30, 72, 24),
     (40, 96, 32), (52, 128, 36), (52, 128, 48), (60, 128, 48),
 ]
 WILDER_PERIODS = list(range(2, 15)) + [20, 40, 60, 80, 100, 120, 140]
+EMA_SPANS = list(range(3, 17)) + [20, 40, 60, 80]
 
+DAILY = Series()
 
-def add_rsi_simple(df: DataFrame, src: str = "close", periods: Sequence[int] = tuple(RSI_PERIODS), by="ticker", at="date") -> DataFrame:
+
+def add_rsi_simple(df: DataFrame, src: str = "close", periods: Sequence[int] = tuple(RSI_PERIODS), w: Series = DAILY) -> DataFrame:
     """RSI on plain rolling means; 100 where there is no loss to divide by."""
-    w = series(by, at)
     names = df.columns
-    work = df.withColumns({"_chg": col(src) - lag(src, 1, w)})
-    gain = F.when(col("_chg").isNotNull(), F.greatest(col("_chg"), F.lit(0.0)))
-    loss = F.when(col("_chg").isNotNull(), F.greatest(-col("_chg"), F.lit(0.0)))
+    work = df.selectExpr("*", f"{diff(src, w)} AS _chg").selectExpr(
+        "*",
+        "CASE WHEN _chg IS NOT NULL THEN greatest(_chg, 0D) END AS _up",
+        "CASE WHEN _chg IS NOT NULL THEN greatest(-_chg, 0D) END AS _down",
+    )
     out = []
     for p in periods:
-        g, l = F.avg(gain).over(last_n(w, p)), F.avg(loss).over(last_n(w, p))
-        out.append(F.when(l > 0, 100 - 100 / (1 + g / l)).otherwise(F.lit(100.0)).alias(f"rsi_{p}"))
-    return work.select(*names, *out)
+        g, l = f"avg(_up) {w.last_n(p)}", f"avg(_down) {w.last_n(p)}"
+        out.append(f"CASE WHEN {l} > 0 THEN 100 - 100 / (1 + {g} / {l}) ELSE 100D END AS rsi_{p}")
+    return work.selectExpr(*names, *out)
 
 
-def bollinger(w: WindowSpec, src: str = "close", windows=tuple(BAND_WINDOWS), widths=tuple(BAND_WIDTHS)) -> dict[str, Column]:
+def bollinger(src: str = "close", windows=tuple(BAND_WINDOWS), widths=tuple(BAND_WIDTHS), w: Series = DAILY) -> dict[str, str]:
     out = {}
     for n in windows:
-        mid, dev = roll_mean(src, n, w, 1), roll_std(src, n, w, 1)
+        mid, dev = f"({roll_mean(src, n, w, 1)})", f"({roll_std(src, n, w, 1)})"
         for k in widths:
             tag = f"{n}_{str(k).replace('.', 'p')}"
-            up, low = mid + dev * k, mid - dev * k
+            up, low = f"({mid} + {dev} * {num(k)})", f"({mid} - {dev} * {num(k)})"
             out |= {
                 f"bb_upper_{tag}": up,
                 f"bb_lower_{tag}": low,
                 f"bb_basis_{tag}": mid,
-                f"bb_width_{tag}": div(up - low, mid, 0.0),
+                f"bb_width_{tag}": div(f"{up} - {low}", mid, 0.0),
             }
     return out
 
 
-def roc(w: WindowSpec, src: str = "close", periods=tuple(ROC_PERIODS)) -> dict[str, Column]:
-    return {f"roc_{k}": div(col(src) - lag(src, k, w), lag(src, k, w), 0.0) * 100 for k in periods}
+def roc(src: str = "close", periods=tuple(ROC_PERIODS), w: Series = DAILY) -> dict[str, str]:
+    return {f"roc_{k}": f"{div(diff(src, w, k), lag(src, k, w), 0.0)} * 100" for k in periods}
 
 
-def add_stochastic(df: DataFrame, periods=tuple(RSI_PERIODS), smooth=tuple(STOCH_SMOOTH), by="ticker", at="date") -> DataFrame:
-    w = series(by, at)
-    names = df.columns
-    k = {}
+def add_stochastic(df: DataFrame, periods=tuple(RSI_PERIODS), smooth=tuple(STOCH_SMOOTH), w: Series = DAILY) -> DataFrame:
+    k = []
     for n in periods:
-        lo, hi = roll_min("low", n, w, 1), roll_max("high", n, w, 1)
-        k[f"stoch_k_{n}"] = div(col("close") - lo, hi - lo, 0.5) * 100
-    work = df.withColumns(k)
-    d = [roll_mean(f"stoch_k_{n}", m, w, 1).alias(f"stoch_d_{n}_{m}") for n in periods for m in smooth]
-    return work.select(*names, *k, *d)
+        lo, hi = f"({roll_min('low', n, w, 1)})", f"({roll_max('high', n, w, 1)})"
+        k.append(f"{div(f'close - {lo}', f'{hi} - {lo}', 0.5)} * 100 AS stoch_k_{n}")
+    d = [f"{roll_mean(f'stoch_k_{n}', m, w, 1)} AS stoch_d_{n}_{m}" for n in periods for m in smooth]
+    return df.selectExpr("*", *k).selectExpr("*", *d)
 
 
-def sma(w: WindowSpec, cols=("close", "volume"), windows=tuple(PRICE_WINDOWS)) -> dict[str, Column]:
+def sma(cols=("close", "volume"), windows=tuple(PRICE_WINDOWS), w: Series = DAILY) -> dict[str, str]:
     return {f"{c}_sma_{n}": roll_mean(c, n, w, 1) for c in cols for n in windows}
 
 
-def volume_change(w: WindowSpec) -> Column:
-    return div(col("volume") - lag("volume", 1, w), lag("volume", 1, w), 0.0) * 100
+def volume_change(w: Series = DAILY) -> str:
+    return f"{div(diff('volume', w), lag('volume', 1, w), 0.0)} * 100"
 
 
-def bar_basics() -> dict[str, Column]:
+def bar_basics() -> dict[str, str]:
     return {
-        "price_range": col("high") - col("low"),
-        "ochl_ratio": div(col("open") - col("close"), col("high") - col("low"), 0.0),
-        "close_times_volume": col("close") * col("volume"),
+        "price_range": "high - low",
+        "ochl_ratio": div("open - close", "high - low", 0.0),
+        "close_times_volume": "close * volume",
     }
 
 
-def add_log1p_volatility(df: DataFrame, windows: Sequence[int], src="close", by="ticker", at="date") -> DataFrame:
+def add_log1p_volatility(df: DataFrame, windows: Sequence[int], src: str = "close", w: Series = DAILY) -> DataFrame:
     """Std of the relative change of log1p(price), and of the change of that change."""
-    w = series(by, at)
     names = df.columns
-    work = df.withColumns({"_c1": pct_change(log1p(src), 1, w)})
-    work = work.withColumns({"_c2": pct_change("_c1", 1, w)})
-    out = []
-    for n in windows:
-        out.append(roll_std("_c1", n, w).alias(f"volatility_{n}"))
-        out.append(roll_std("_c2", n, w).alias(f"volatility_change_{n}"))
-    return work.select(*names, *out)
+    work = df.selectExpr("*", f"{pct_change(log1p(src), 1, w)} AS _c1")
+    work = work.selectExpr("*", f"{pct_change('_c1', 1, w)} AS _c2")
+    return work.selectExpr(
+        *names,
+        *[f"{roll_std('_c1', n, w)} AS volatility_{n}" for n in windows],
+        *[f"{roll_std('_c2', n, w)} AS volatility_change_{n}" for n in windows],
+    )
 
 
-def mean_gap(w: WindowSpec, src: str, windows: Sequence[int]) -> dict[str, Column]:
+def mean_gap(src: str, windows: Sequence[int], w: Series = DAILY) -> dict[str, str]:
     return {f"{src}_gap_{n}": div(src, roll_mean(src, n, w)) for n in windows}
 
 
-def add_monthly_pack(df: DataFrame, src="close", by="ticker", at="date") -> DataFrame:
+def add_monthly_pack(df: DataFrame, src: str = "close", w: Series = DAILY) -> DataFrame:
     """One, two and three month (20/40/60 rows) return, log-return volatility and mean gap."""
-    w = series(by, at)
     names = df.columns
-    work = df.withColumns({"_lr": log_return(src, w)})
-    out = []
+    out = [f"{pct_change(src, 251, w)} AS return_251"]
     for months in (1, 2, 3):
         n = 20 * months
         out += [
-            pct_change(src, n, w).alias(f"return_{months}month"),
-            roll_std("_lr", n, w).alias(f"volatility_{months}month"),
-            div(src, roll_mean(src, n, w)).alias(f"gap_{months}month"),
+            f"{pct_change(src, n, w)} AS return_{months}month",
+            f"{roll_std('_lr', n, w)} AS volatility_{months}month",
+            f"{div(src, roll_mean(src, n, w))} AS gap_{months}month",
         ]
-    out.append(pct_change(src, 251, w).alias("return_251"))
-    return work.select(*names, *out)
+    return df.selectExpr("*", f"{log_return(src, w)} AS _lr").selectExpr(*names, *out)
 
 
-def derived_series(w: WindowSpec) -> dict[str, Column]:
+def derived_series(w: Series = DAILY) -> dict[str, str]:
     """Log returns of every bar field, money volume, market cap (thousands), day ranges."""
-    money = col("close") * col("volume")
-    prev_money = lag("close", 1, w) * lag("volume", 1, w)
-    return {
-        "lret_close": log_return("close", w),
-        "lret_open": log_return("open", w),
-        "lret_low": log_return("low", w),
-        "lret_high": log_return("high", w),
-        "lret_volume": log_return("volume", w),
-        "lret_money": ln(money) - ln(prev_money),
-        "money_volume": money,
-        "market_cap": col("shares") * col("close") / 1000,
-        "daily_range": col("close") - col("open"),
-        "daily_range_1": col("close") - lag("open", 1, w),
-        "daily_range_2": col("close") - lag("open", 2, w),
-        "daily_range_3": col("close") - lag("open", 3, w),
-    }
+    out = {f"lret_{c}": log_return(c, w) for c in ("close", "open", "low", "high", "volume")}
+    out["lret_money"] = log_return("close * volume", w)
+    out["money_volume"] = "close * volume"
+    out["market_cap"] = "shares * close / 1000"
+    out["daily_range"] = "close - open"
+    out |= {f"daily_range_{k}": f"close - {lag('open', k, w)}" for k in (1, 2, 3)}
+    return out
 
 
-def money_volume_lags(w: WindowSpec, steps=range(1, 11)) -> dict[str, Column]:
-    return {f"money_volume_{k}": lag("volume", k, w) * lag("close", k, w) for k in steps}
+def money_volume_lags(steps=range(1, 11), w: Series = DAILY) -> dict[str, str]:
+    return {f"money_volume_{k}": f"{lag('volume', k, w)} * {lag('close', k, w)}" for k in steps}
 
 
 # ---- statistics over the history of a series ----------------------------------------------
 
 
-def _frame(w: WindowSpec, causal: bool) -> WindowSpec:
-    return so_far(w) if causal else whole(w)
+def history(w: Series, causal: bool) -> str:
+    """Frame up to now, or (causal=False) over the whole series including later rows."""
+    return w.so_far if causal else w.whole
 
 
-def history_zscore(x: str, w: WindowSpec, causal: bool = True, propagate_null: bool = False) -> Column:
-    """(x - mean) / population std of the series, up to now (causal) or of all of it."""
-    f = _frame(w, causal)
-    mean, dev = F.avg(x).over(f), F.stddev_pop(x).over(f)
-    z = div(col(x) - mean, dev)
-    if propagate_null:
-        z = F.when(F.count(x).over(f) == F.count(F.lit(1)).over(f), z)
-    return z
+def history_zscore(x: str, causal: bool = True, propagate_null: bool = False, w: Series = DAILY) -> str:
+    """(x - mean) / population std of the series."""
+    f = history(w, causal)
+    z = div(f"{x} - avg({x}) {f}", f"stddev_pop({x}) {f}")
+    return f"CASE WHEN count({x}) {f} = count(*) {f} THEN {z} END" if propagate_null else z
 
 
-def history_std(x: str, w: WindowSpec, causal: bool = True) -> Column:
-    return F.stddev_samp(x).over(_frame(w, causal))
+def history_std(x: str, causal: bool = True, w: Series = DAILY) -> str:
+    return f"stddev_samp({x}) {history(w, causal)}"
 
 
-def adjusted_skew(n: Column, g1: Column) -> Column:
-    return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+def adjusted_skew(n: str, g1: str) -> str:
+    return f"CASE WHEN {n} >= 3 THEN {g1} * sqrt({n} * ({n} - 1)) / nullif({n} - 2, 0) END"
 
 
-def adjusted_kurtosis(n: Column, g2: Column) -> Column:
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+def adjusted_kurtosis(n: str, g2: str) -> str:
+    return (
+        f"CASE WHEN {n} >= 4 THEN ({n} - 1) / nullif(({n} - 2) * ({n} - 3), 0) * (({n} + 1) * {g2} + 6) END"
+    )
 
 
-def history_skew(x: str, w: WindowSpec, causal: bool = True) -> Column:
-    f = _frame(w, causal)
-    return adjusted_skew(F.count(x).over(f), F.skewness(x).over(f))
+def history_skew(x: str, causal: bool = True, w: Series = DAILY) -> str:
+    f = history(w, causal)
+    return adjusted_skew(f"count({x}) {f}", f"nullif(skewness({x}) {f}, double('NaN'))")
 
 
-def realized_volatility(x: str, w: WindowSpec, causal: bool = True) -> Column:
-    return F.sqrt(F.sum(col(x) * col(x)).over(_frame(w, causal)))
+def realized_volatility(x: str, causal: bool = True, w: Series = DAILY) -> str:
+    return f"sqrt(sum({x} * {x}) {history(w, causal)})"
 
 
 # ---- one-bar shapes -----------------------------------------------------------------------
 
 
-def bar_moments() -> dict[str, Column]:
+def add_bar_moments(df: DataFrame, prices: Sequence[str] = ("open", "high", "low", "close")) -> DataFrame:
     """Mean, median, adjusted skew and kurtosis of the four prices of a bar."""
-    p = [col(c) for c in ("open", "high", "low", "close")]
-    total = p[0] + p[1] + p[2] + p[3]
-    mean = total / 4
-    median = (total - F.greatest(*p) - F.least(*p)) / 2
-    dev = [x - mean for x in p]
-    m2, m3, m4 = (sum((d**k for d in dev[1:]), dev[0] ** k) / 4 for k in (2, 3, 4))
-    g1 = div(m3, F.pow(m2, F.lit(1.5)))
-    g2 = div(m4, m2 * m2) - 3
-    four = F.lit(4)
-    return {
-        "bar_mean": mean,
-        "bar_median": median,
-        "bar_skew": adjusted_skew(four, g1),
-        "bar_kurtosis": adjusted_kurtosis(four, g2),
-        "open_close_mean": (p[0] + p[3]) / 2,
-    }
-
-
-def candle_shape(w: WindowSpec) -> dict[str, Column]:
-    o, h, l, c = (col(x) for x in ("open", "high", "low", "close"))
+    names = df.columns
+    total, every = " + ".join(prices), ", ".join(prices)
+    work = df.selectExpr("*", f"({total}) / 4 AS bar_mean", f"(({total}) - greatest({every}) - least({every})) / 2 AS bar_median")
+    powers = {k: " + ".join(f"pow({p} - bar_mean, {num(k)})" for p in prices) for k in (2, 3, 4)}
+    work = work.selectExpr("*", *[f"({e}) / 4 AS _m{k}" for k, e in powers.items()])
+    return work.selectExpr(
+        *names,
+        "bar_mean",
+        "bar_median",
+        f"{adjusted_skew('4', div('_m3', 'pow(_m2, 1.5D)'))} AS bar_skew",
+        f"{adjusted_kurtosis('4', '(' + div('_m4', '_m2 * _m2') + ' - 3)')} AS bar_kurtosis",
+        f"({prices[0]} + {prices[3]}) / 2 AS open_close_mean",
+    )
+
+
+def candle_shape(w: Series = DAILY) -> dict[str, str]:
     return {
-        "high_low": h - l,
-        "close_open": c - o,
-        "close_over_open": div(c, o),
-        "upper_shadow": h - F.greatest(c, o),
-        "lower_shadow": F.least(c, o) - l,
-        "range_over_body": div(h - l, c - o),
-        "open_close": o - c,
-        "prev_close_open": lag("close", 1, w) - o,
+        "high_low": "high - low",
+        "close_open": "close - open",
+        "close_over_open": div("close", "open"),
+        "upper_shadow": "high - greatest(close, open)",
+        "lower_shadow": "least(close, open) - low",
+        "range_over_body": div("high - low", "close - open"),
+        "open_close": "open - close",
+        "prev_close_open": f"{lag('close', 1, w)} - open",
     }
 
 
-def bar_ratios() -> dict[str, Column]:
-    o, h, l, c, v = (col(x) for x in ("open", "high", "low", "close", "volume"))
-    m = bar_moments()
+def bar_ratios() -> dict[str, str]:
+    """Ratios of a bar's fields; needs bar_mean and bar_median."""
     return {
-        "high_to_mean": div(h, m["bar_mean"]),
-        "low_to_mean": div(l, m["bar_mean"]),
-        "high_to_median": div(h, m["bar_median"]),
-        "low_to_median": div(l, m["bar_median"]),
-        "volume_share": div(v, v + 1),
-        "volume_to_close": div(v, c),
-        "hl_spread": ln(div(h - l, c)),
-        "co_spread": div(c - o, o),
-        "log_volume": ln(v),
-        "high_to_body": div(h, F.greatest(c, o)),
-        "body_to_low": div(F.least(c, o), l),
-        "high_to_low": div(h, l),
+        "high_to_mean": div("high", "bar_mean"),
+        "low_to_mean": div("low", "bar_mean"),
+        "high_to_median": div("high", "bar_median"),
+        "low_to_median": div("low", "bar_median"),
+        "volume_share": div("volume", "volume + 1"),
+        "volume_to_close": div("volume", "close"),
+        "hl_spread": ln(div("high - low", "close")),
+        "co_spread": div("close - open", "open"),
+        "log_volume": ln("volume"),
+        "high_to_body": div("high", "greatest(close, open)"),
+        "body_to_low": div("least(close, open)", "low"),
+        "high_to_low": div("high", "low"),
     }

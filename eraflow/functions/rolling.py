@@ -1,18 +1,17 @@
 """Per-series windows: lags, changes and rolling statistics.
 
-All functions take a window specification made by :func:`series`, so every
-expression of a query that shares the same key and order is planned into the
-same Window operator: one shuffle and one sort serve all of them.
+Every function takes a :class:`Series`. Expressions that share its key and order
+are planned into the same Window operator: one shuffle and one sort serve all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .safe import col, div, ln, log1p
+from .safe import div, ln, log1p
 
 #: Horizons of the long return / volatility / gap packs.
 HORIZONS = (
@@ -27,130 +26,145 @@ LAG_STEPS = list(range(1, 21)) + list(range(30, 101, 10))
 STAT_WINDOWS = [5, 10, 20, 30, 50, 100, 200]
 
 
-def series(by: str | Sequence[str] = "ticker", at: str = "date") -> WindowSpec:
-    keys = [by] if isinstance(by, str) else list(by)
-    return Window.partitionBy(*keys).orderBy(at)
+@dataclass(frozen=True)
+class Series:
+    """Rows of one key in time order; (by, at) is unique."""
 
+    by: str = "ticker"
+    at: str = "date"
 
-def last_n(w: WindowSpec, n: int) -> WindowSpec:
-    return w.rowsBetween(-(n - 1), 0)
+    @property
+    def over(self) -> str:
+        return f"OVER (PARTITION BY {self.by} ORDER BY {self.at})"
 
+    def rows(self, start: int | None, end: int | None) -> str:
+        return (
+            f"OVER (PARTITION BY {self.by} ORDER BY {self.at} "
+            f"ROWS BETWEEN {_bound(start, 'PRECEDING')} AND {_bound(end, 'FOLLOWING')})"
+        )
 
-def so_far(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, 0)
+    def last_n(self, n: int) -> str:
+        return self.rows(-(n - 1), 0)
 
+    @property
+    def so_far(self) -> str:
+        return self.rows(None, 0)
 
-def whole(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    @property
+    def ahead(self) -> str:
+        return self.rows(0, None)
 
+    @property
+    def whole(self) -> str:
+        return self.rows(None, None)
 
-def lag(x: str | Column, k: int, w: WindowSpec) -> Column:
-    return F.lag(col(x), k).over(w)
 
+def _bound(n: int | None, side: str) -> str:
+    if n is None:
+        return f"UNBOUNDED {side}"
+    return "CURRENT ROW" if n == 0 else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
 
-def diff(x: str | Column, w: WindowSpec, k: int = 1) -> Column:
-    return col(x) - lag(x, k, w)
 
+def lag(x: str, k: int, w: Series) -> str:
+    return f"lag({x}, {k}) {w.over}"
 
-def filled_forward(x: str | Column, w: WindowSpec) -> Column:
-    return F.last(col(x), ignorenulls=True).over(so_far(w))
 
+def lead(x: str, k: int, w: Series) -> str:
+    return f"lead({x}, {k}) {w.over}"
 
-def filled_backward(x: str | Column, w: WindowSpec) -> Column:
-    return F.first(col(x), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
+def diff(x: str, w: Series, k: int = 1) -> str:
+    return f"({x} - {lag(x, k, w)})"
 
-def pct_change(x: str | Column, k: int, w: WindowSpec) -> Column:
+
+def filled_forward(x: str, w: Series) -> str:
+    return f"last({x}, true) {w.so_far}"
+
+
+def filled_backward(x: str, w: Series) -> str:
+    return f"first({x}, true) {w.ahead}"
+
+
+def filled(x: str, w: Series, causal: bool = True, default: str = "0") -> str:
+    """Forward fill; causal=False then fills the head from later rows; then a default."""
+    if causal:
+        return filled_forward(x, w)
+    return f"coalesce({filled_forward(x, w)}, {filled_backward(x, w)}, {default})"
+
+
+def pct_change(x: str, k: int, w: Series) -> str:
     """x / x[k rows before] - 1. Inputs with holes are padded by the caller first."""
-    return div(x, lag(x, k, w)) - 1
+    return f"({div(x, lag(x, k, w))} - 1)"
 
 
-def log_return(x: str | Column, w: WindowSpec, k: int = 1) -> Column:
-    return ln(x) - ln(lag(x, k, w))
+def log_return(x: str, w: Series, k: int = 1) -> str:
+    return f"({ln(x)} - {ln(lag(x, k, w))})"
 
 
-def gated(x: str | Column, stat: Column, n: int, w: WindowSpec, min_periods: int | None) -> Column:
+def gated(x: str, stat: str, n: int, w: Series, min_periods: int | None) -> str:
+    """A statistic of the last n rows, NULL below ``min_periods`` (default n) present values."""
     need = n if min_periods is None else min_periods
-    return F.when(F.count(col(x)).over(last_n(w, n)) >= need, stat)
+    return f"CASE WHEN count({x}) {w.last_n(n)} >= {need} THEN {stat} END"
+
 
+def roll(fn: str, x: str, n: int, w: Series, min_periods: int | None = None) -> str:
+    return gated(x, f"{fn}({x}) {w.last_n(n)}", n, w, min_periods)
 
-def roll_mean(x, n: int, w: WindowSpec, min_periods: int | None = None) -> Column:
-    return gated(x, F.avg(col(x)).over(last_n(w, n)), n, w, min_periods)
 
+def roll_mean(x: str, n: int, w: Series, min_periods: int | None = None) -> str:
+    return roll("avg", x, n, w, min_periods)
 
-def roll_std(x, n: int, w: WindowSpec, min_periods: int | None = None) -> Column:
-    return gated(x, F.stddev_samp(col(x)).over(last_n(w, n)), n, w, min_periods)
 
+def roll_std(x: str, n: int, w: Series, min_periods: int | None = None) -> str:
+    return roll("stddev_samp", x, n, w, min_periods)
 
-def roll_median(x, n: int, w: WindowSpec, min_periods: int | None = None) -> Column:
-    return gated(x, F.percentile(col(x), F.lit(0.5)).over(last_n(w, n)), n, w, min_periods)
 
+def roll_median(x: str, n: int, w: Series, min_periods: int | None = None) -> str:
+    return gated(x, f"percentile({x}, 0.5D) {w.last_n(n)}", n, w, min_periods)
 
-def roll_min(x, n: int, w: WindowSpec, min_periods: int | None = None) -> Column:
-    return gated(x, F.min(col(x)).over(last_n(w, n)), n, w, min_periods)
 
+def roll_min(x: str, n: int, w: Series, min_periods: int | None = None) -> str:
+    return roll("min", x, n, w, min_periods)
 
-def roll_max(x, n: int, w: WindowSpec, min_periods: int | None = None) -> Column:
-    return gated(x, F.max(col(x)).over(last_n(w, n)), n, w, min_periods)
 
+def roll_max(x: str, n: int, w: Series, min_periods: int | None = None) -> str:
+    return roll("max", x, n, w, min_periods)
 
-def roll_corr(a, b, n: int, w: WindowSpec, min_periods: int | None = None) -> Column:
+
+def roll_corr(a: str, b: str, n: int, w: Series, min_periods: int | None = None) -> str:
     """Rolling Pearson correlation over rows where both series are present."""
-    both = col(a).isNotNull() & col(b).isNotNull()
-    a, b = F.when(both, col(a)), F.when(both, col(b))
     need = max(2, n if min_periods is None else min_periods)
-    frame = last_n(w, n)
-    spread = (F.stddev_pop(a).over(frame) > 0) & (F.stddev_pop(b).over(frame) > 0)
-    return F.when((F.count(a).over(frame) >= need) & spread, F.corr(a, b).over(frame))
+    a2, b2 = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+    f = w.last_n(n)
+    return (
+        f"CASE WHEN count({a} + {b}) {f} >= {need} AND stddev_pop({a2}) {f} > 0 AND stddev_pop({b2}) {f} > 0 "
+        f"THEN corr({a}, {b}) {f} END"
+    )
 
 
-def shifted_range(x: str, w: WindowSpec, n: int = 30) -> dict[str, Column]:
+def shifted_range(x: str, w: Series, n: int = 30) -> dict[str, str]:
     """Max, min and mean of the n rows before the current one and the ratios to them."""
-    frame = w.rowsBetween(-n, -1)
-    hi, lo, mean = (f(col(x)).over(frame) for f in (F.max, F.min, F.avg))
-    return {
-        f"max{n}_{x}": hi,
-        f"min{n}_{x}": lo,
-        f"mean{n}_{x}": mean,
-        f"max{n}_range": div(x, hi),
-        f"min{n}_range": div(x, lo),
-        f"mean{n}_range": div(x, mean),
-    }
+    f = w.rows(-n, -1)
+    out = {f"{name}{n}_{x}": f"{fn}({x}) {f}" for name, fn in (("max", "max"), ("min", "min"), ("mean", "avg"))}
+    return out | {f"{name}{n}_range": div(x, out[f"{name}{n}_{x}"]) for name in ("max", "min", "mean")}
 
 
 def rolling_stats(
-    df: DataFrame,
-    cols: Iterable[str],
-    windows: Iterable[int] = tuple(STAT_WINDOWS),
-    by: str = "ticker",
-    at: str = "date",
-    median: bool = True,
-) -> DataFrame:
-    """Mean, std, median, min and max per window with min_periods = max(1, n // 2)."""
-    w = series(by, at)
-    out = []
-    for c in cols:
-        for n in windows:
-            mp = max(1, n // 2)
-            out += [
-                roll_mean(c, n, w, mp).alias(f"{c}_mean_{n}"),
-                roll_std(c, n, w, mp).alias(f"{c}_std_{n}"),
-                roll_min(c, n, w, mp).alias(f"{c}_min_{n}"),
-                roll_max(c, n, w, mp).alias(f"{c}_max_{n}"),
-            ]
-            if median:
-                out.append(roll_median(c, n, w, mp).alias(f"{c}_median_{n}"))
-    return df.select("*", *out)
+    cols: Iterable[str], windows: Iterable[int] = tuple(STAT_WINDOWS), w: Series = Series(), median: bool = True
+) -> dict[str, str]:
+    """Mean, std, min, max and median per window with min_periods = max(1, n // 2)."""
+    fns = {"mean": roll_mean, "std": roll_std, "min": roll_min, "max": roll_max}
+    if median:
+        fns["median"] = roll_median
+    return {f"{c}_{k}_{n}": fn(c, n, w, max(1, n // 2)) for c in cols for n in windows for k, fn in fns.items()}
 
 
 def horizon_pack(
     df: DataFrame,
     cols: Sequence[str],
-    horizons: Sequence[int],
-    by: str = "ticker",
-    at: str = "date",
+    horizons: Sequence[int] = tuple(HORIZONS),
+    w: Series = Series(),
     absolute: bool = True,
-    prefix: str = "",
     second_order: bool = False,
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -162,75 +176,65 @@ def horizon_pack(
     one-step changes and their squares), and a window of n rows is the
     difference of two running sums n rows apart: constant work per row and
     horizon. Runs of equal changes are detected, so a flat window has exactly
-    zero deviation.
+    zero deviation. second_order=True takes the change of the change.
     """
-    w = series(by, at)
-    cum = so_far(w)
-    steps = df
-    change_cols = {}
-    for c in cols:
-        change = pct_change(log1p(c), 1, w)
-        steps = steps.withColumns({f"_d_{c}": change})
+    base = list(keep) or df.columns
+    step = df.selectExpr("*", f"row_number() {w.over} AS _row", *[f"{pct_change(log1p(c), 1, w)} AS _d_{c}" for c in cols])
+    d = "_d"
     if second_order:
-        steps = steps.withColumns({f"_d_{c}": pct_change(f"_d_{c}", 1, w) for c in cols})
+        step = step.selectExpr("*", *[f"{pct_change(f'_d_{c}', 1, w)} AS _dd_{c}" for c in cols])
+        d = "_dd"
     # centre on the first change of the series: deviations are shift-invariant
-    steps = steps.withColumns(
-        {f"_e_{c}": col(f"_d_{c}") - F.first(f"_d_{c}", ignorenulls=True).over(cum) for c in cols}
-        | {f"_new_{c}": F.when(~col(f"_d_{c}").eqNullSafe(F.lag(f"_d_{c}").over(w)), 1).otherwise(0) for c in cols}
-        | {"_row": F.row_number().over(w)}
+    step = step.selectExpr(
+        "*",
+        *[f"{d}_{c} - first({d}_{c}, true) {w.so_far} AS _e_{c}" for c in cols],
+        *[f"CASE WHEN NOT ({d}_{c} <=> lag({d}_{c}) {w.over}) THEN _row END AS _new_{c}" for c in cols],
     )
-    zero = F.lit(0.0)
-    sums = {}
+    sums = []
     for c in cols:
-        e = F.coalesce(col(f"_e_{c}"), zero)
-        sums |= {
-            f"_sx_{c}": F.sum(F.coalesce(col(c), zero)).over(cum),
-            f"_nx_{c}": F.count(c).over(cum),
-            f"_se_{c}": F.sum(e).over(cum),
-            f"_qe_{c}": F.sum(e * e).over(cum),
-            f"_ne_{c}": F.count(f"_e_{c}").over(cum),
-            f"_run_{c}": F.max(F.when(col(f"_new_{c}") == 1, col("_row"))).over(cum),
-        }
-    steps = steps.withColumns(sums)
-
-    def spanned(name: str, n: int) -> Column:
-        return col(name) - F.coalesce(F.lag(name, n).over(w), F.lit(0))
-
+        sums += [
+            f"sum({c}) {w.so_far} AS _sx_{c}",
+            f"count({c}) {w.so_far} AS _nx_{c}",
+            f"sum(_e_{c}) {w.so_far} AS _se_{c}",
+            f"sum(_e_{c} * _e_{c}) {w.so_far} AS _qe_{c}",
+            f"count(_e_{c}) {w.so_far} AS _ne_{c}",
+            f"max(_new_{c}) {w.so_far} AS _run_{c}",
+        ]
+    step = step.selectExpr("*", *sums)
+    # the running sums n rows before, one projection for all horizons
+    back = [f"lag({p}_{c}, {n}, 0) {w.over} AS {p}_{c}_{n}" for c in cols for n in horizons for p in ("_sx", "_nx", "_se", "_qe", "_ne")]
+    back += [f"lag({c}, {n}) {w.over} AS _x_{c}_{n}" for c in cols for n in horizons]
+    step = step.selectExpr("*", *back)
     out = []
     for c in cols:
         for n in horizons:
-            ret = pct_change(c, n, w)
-            out.append(ret.alias(f"{prefix}{c}_return_{n}"))
+            ret = f"({div(c, f'_x_{c}_{n}')} - 1)"
+            out.append(f"{ret} AS {c}_return_{n}")
             if absolute:
-                out.append(F.abs(ret).alias(f"{prefix}{c}_return_abs_{n}"))
-            s, q = spanned(f"_se_{c}", n), spanned(f"_qe_{c}", n)
-            var = F.greatest((q - s * s / n) / (n - 1), zero)
-            flat = (col("_row") - col(f"_run_{c}") + 1) >= n
-            out.append(
-                F.when(spanned(f"_ne_{c}", n) >= n, F.when(flat, zero).otherwise(F.sqrt(var))).alias(
-                    f"{prefix}{c}_volatility_{n}"
-                )
-            )
+                out.append(f"abs({ret}) AS {c}_return_abs_{n}")
+
+            def span(p: str, c: str = c, n: int = n) -> str:
+                return f"(coalesce({p}_{c}, 0) - coalesce({p}_{c}_{n}, 0))"
+
+            var = f"greatest(({span('_qe')} - {span('_se')} * {span('_se')} / {n}) / {n - 1}, 0D)"
             out.append(
-                F.when(spanned(f"_nx_{c}", n) >= n, div(col(c), spanned(f"_sx_{c}", n) / n)).alias(
-                    f"{prefix}{c}_gap_{n}"
-                )
+                f"CASE WHEN {span('_ne')} >= {n} THEN "
+                f"CASE WHEN _row - _run_{c} + 1 >= {n} THEN 0D ELSE sqrt({var}) END END AS {c}_volatility_{n}"
             )
-    base = list(keep) if keep else df.columns
-    return steps.select(*base, *out)
+            out.append(f"CASE WHEN {span('_nx')} >= {n} THEN {div(c, span('_sx') + f' / {n}')} END AS {c}_gap_{n}")
+    return step.selectExpr(*base, *out)
 
 
-def lags(df: DataFrame, cols: Sequence[str], steps: Sequence[int] = tuple(LAG_STEPS), by="ticker", at="date") -> DataFrame:
-    w = series(by, at)
-    return df.select("*", *[lag(c, k, w).alias(f"{c}_lag_{k}") for c in cols for k in steps])
+def lags(cols: Sequence[str], steps: Sequence[int] = tuple(LAG_STEPS), w: Series = Series()) -> dict[str, str]:
+    return {f"{c}_lag_{k}": lag(c, k, w) for c in cols for k in steps}
 
 
-def lags_long(df: DataFrame, cols: Sequence[str], steps: Sequence[int] = tuple(LAG_STEPS), by="ticker", at="date") -> DataFrame:
+def lags_long(df: DataFrame, cols: Sequence[str], steps: Sequence[int] = tuple(LAG_STEPS), w: Series = Series()) -> DataFrame:
     """Lags of a very wide table in long form: one row per (key, time, feature).
 
     The unpivoted table has a fixed width, so the number of features no longer
     bounds the plan; partitioning by (key, feature) also spreads the work.
     """
-    long = df.select(by, at, *cols).unpivot([by, at], list(cols), "feature", "value")
-    w = series([by, "feature"], at)
-    return long.select("*", *[F.lag("value", k).over(w).alias(f"lag_{k}") for k in steps])
+    long = df.select(w.by, w.at, *cols).unpivot([w.by, w.at], list(cols), "feature", "value")
+    f = Series(f"{w.by}, feature", w.at)
+    return long.selectExpr("*", *[f"{lag('value', k, f)} AS lag_{k}" for k in steps])

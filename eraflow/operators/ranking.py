@@ -5,7 +5,7 @@ a market in one era, or one era for everything, that task does not scale. Here a
 group is cut into ordered slices first:
 
 1. per group, a bounded, deterministic sample of keys (one row per hash bin,
-   combined before the shuffle) gives up to ``slices`` cut points;
+   combined before the shuffle) gives up to ``slices - 1`` cut points;
 2. each row finds its slice by comparing its key with the cut points;
 3. rows per slice are counted (combined before the shuffle) and accumulated over
    the slices of a group: a few numbers per group;
@@ -13,43 +13,64 @@ group is cut into ordered slices first:
 
 The key is (value, tie columns), so a value shared by a third of all rows is cut
 like any other. The cut points only balance the work; the ranks are exact
-whatever they are.
+whatever they are. The input is read three times: pass a table, or ``durable``
+the result of an expensive plan first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 32
+_PER_CUT = 4  # sampled keys per cut point
+
+
+def _list(names: Sequence[str]) -> str:
+    return ", ".join(names)
 
 
 def _cuts(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
-    # the bin and the in-bin priority must not come from the same hash bits
-    picked = df.select(
+    everything = _list([*group, *order])
+    # the bin and the priority inside it must not come from the same hash bits
+    keyed = df.selectExpr(
         *group,
         *order,
-        F.pmod(F.xxhash64(*group, *order), F.lit(slices * 4)).alias("_bin"),
-        F.xxhash64(F.lit(11), *order).alias("_prio"),
+        f"pmod(xxhash64({everything}), {slices * _PER_CUT}) AS _bin",
+        f"xxhash64(11, {everything}) AS _prio",
     )
-    sample = picked.groupBy(*group, "_bin").agg(*[F.min_by(c, "_prio").alias(c) for c in order])
-    keys = F.sort_array(F.collect_list(F.struct(*order)))
-    step = F.lit(4)
-    return sample.groupBy(*group).agg(keys.alias("_keys")).select(
-        *group,
-        F.filter("_keys", lambda _, i: i % step == step - 1).alias("_cuts"),
+    sample = keyed.groupBy(*group, "_bin").agg(*[F.expr(f"min_by({c}, _prio) AS {c}") for c in order])
+    cuts = F.expr(
+        f"filter(sort_array(collect_list(struct({_list(order)}))), (k, i) -> i % {_PER_CUT} = {_PER_CUT - 1}) AS _cuts"
     )
+    return sample.groupBy(*group).agg(cuts)  # at most ``slices`` keys per group
+
+
+def _position(key: str, lo: int, hi: int) -> str:
+    """Number of cut points below the key: a decision tree, log2(slices) comparisons.
+
+    A missing cut point (small group) compares as NULL and sends the row left.
+    """
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    return f"CASE WHEN get(_cuts, {mid}) < {key} THEN {_position(key, mid + 1, hi)} ELSE {_position(key, lo, mid)} END"
 
 
-def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
-    cuts = _cuts(df, group, order, slices)
-    key = F.struct(*order)
-    joined = (
-        df.join(cuts, list(group), "left") if group else df.select("*", cuts.select("_cuts").scalar().alias("_cuts"))
+def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int, present: str = "TRUE") -> DataFrame:
+    """Add ``_slice``; rows that are not ``present`` are spread over negative slices."""
+    names = df.columns
+    cuts = _cuts(df.where(present), group, order, slices)
+    if group:
+        joined = df.join(cuts, list(group), "left")
+    else:
+        joined = df.select("*", cuts.select("_cuts").scalar().alias("_cuts"))
+    at = _position(f"struct({_list(order)})", 0, slices - 1)
+    return joined.selectExpr(
+        *names, f"CASE WHEN {present} THEN {at} ELSE -1 - pmod(hash({_list(order)}), {slices}) END AS _slice"
     )
-    return joined.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
 
 
 def add_rank(
@@ -69,60 +90,62 @@ def add_rank(
     """
     names = df.columns
     order = [value, *ties]
-    ranked = _sliced(df.where(F.col(value).isNotNull()), group, order, slices)
-    by_slice = ranked.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_slice")
-    offsets = by_slice.select(
-        *group,
-        "_slice",
-        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_below"),
-        F.sum("_n").over(Window.partitionBy(*group)).alias("_all"),
-    )
-    local = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
-    ranked = ranked.withColumn("_local", local).join(offsets, [*group, "_slice"])
-    position = F.col("_local") + F.col("_below")
-    cols = [(position / F.col("_all") if percent else position).alias(out)]
+    ranked = _sliced(df, group, order, slices, f"{value} IS NOT NULL")
+    offsets = _offsets(ranked.where("_slice >= 0"), group, {"_n": "count(*)"})
+    inner = f"OVER (PARTITION BY {_list([*group, '_slice'])} ORDER BY {_list(order)})"
+    ranked = ranked.selectExpr("*", f"row_number() {inner} AS _local").join(offsets, [*group, "_slice"], "left")
+    position = "(_local + _n_before)"
+    cols = [f"{position + ' / _n_total' if percent else position} AS {out}"]
     if total:
-        cols.append(F.col("_all").alias(total))
-    result = ranked.select(*names, *cols)
-    missing = df.where(F.col(value).isNull())
-    return result.unionByName(missing, allowMissingColumns=True)
+        cols.append(f"_n_total AS {total}")
+    return ranked.selectExpr(*names, *cols)
 
 
-def running_total(
-    df: DataFrame, order: Sequence[str], sums: Sequence[str], slices: int = 256
-) -> DataFrame:
-    """Append ``<name>_before``: the sum over all rows with a smaller key.
+def _offsets(sliced: DataFrame, group: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """Totals of lower slices and of the group, one row per (group, slice)."""
+    per_slice = sliced.groupBy(*group, "_slice").agg(*[F.expr(f"{e} AS {c}") for c, e in sums.items()])
+    part = f"PARTITION BY {_list(group)}" if group else ""
+    cols = []
+    for c in sums:
+        cols.append(f"sum({c}) OVER ({part} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - {c} AS {c}_before")
+        cols.append(f"sum({c}) OVER ({part}) AS {c}_total")
+    return per_slice.selectExpr(*group, "_slice", *cols)
+
+
+def percent_ranks(df: DataFrame, group: Sequence[str], values: Mapping[str, str], key: str, slices: int = SLICES) -> DataFrame:
+    """Percent ranks of several columns, one row per (group, key): {new name: column}.
 
-    ``order`` must be unique. The whole table is one ordered sequence, cut into
-    slices the same way as for ranks.
+    The columns are unpivoted and ranked together, so their number does not
+    multiply the passes over the input.
     """
+    back = {v: k for k, v in values.items()}
+    long = df.select(*group, key, *back).unpivot([*group, key], list(back), "_what", "_value")
+    ranked = add_rank(long, [*group, "_what"], "_value", [key], "_pct", percent=True, slices=slices)
+    return ranked.groupBy(*group, key).agg(
+        *[F.expr(f"max(CASE WHEN _what = '{c}' THEN _pct END) AS {name}") for c, name in back.items()]
+    )
+
+
+def running_total(df: DataFrame, order: Sequence[str], sums: Sequence[str], slices: int = 128) -> DataFrame:
+    """Append ``<name>_before``: the sum over all rows with a smaller key (``order`` is unique)."""
     names = df.columns
     sliced = _sliced(df, [], order, slices)
-    per_slice = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    w = Window.partitionBy(F.lit(0)).orderBy("_slice")  # at most slices + 1 rows
-    below = per_slice.select(
-        "_slice",
-        *[
-            F.coalesce(F.sum(f"_t_{c}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b_{c}")
-            for c in sums
-        ],
-    )
-    inner = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_l_{c}") for c in sums])
-    return local.join(F.broadcast(below), "_slice").select(
-        *names, *[(F.col(f"_l_{c}") + F.col(f"_b_{c}")).alias(f"{c}_before") for c in sums]
+    below = _offsets(sliced, [], {f"_t{c}": f"sum({c})" for c in sums})  # one row per slice
+    inner = f"OVER (PARTITION BY _slice ORDER BY {_list(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    local = sliced.selectExpr("*", *[f"coalesce(sum({c}) {inner}, 0) AS _l{c}" for c in sums])
+    return local.join(F.broadcast(below), "_slice").selectExpr(
+        *names, *[f"_l{c} + _t{c}_before AS {c}_before" for c in sums]
     )
 
 
+def dense_codes(df: DataFrame, column: str, out: str = "code", slices: int = 128) -> DataFrame:
+    """Distinct values of a column with their 0-based position in sorted order."""
+    values = df.select(column).where(f"{column} IS NOT NULL").distinct()
+    return add_rank(values, [], column, [], "_rank", slices=slices).selectExpr(column, f"_rank - 1 AS {out}")
+
+
 def add_quantile_bucket(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    ties: Sequence[str],
-    buckets: int = 5,
-    out: str = "bucket",
-    slices: int = SLICES,
+    df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str], buckets: int = 5, out: str = "bucket", slices: int = SLICES
 ) -> DataFrame:
     """Quantile bucket 0..k-1 with interpolated edges; equal edges are merged.
 
@@ -130,23 +153,17 @@ def add_quantile_bucket(
     place. A value equal to an edge belongs to the lower bucket.
     """
     names = df.columns
-    ranked = add_rank(df, group, value, ties, "_rank", total="_total", slices=slices).withColumn(
-        "_rank", F.col("_rank") - 1
-    )
-    edges = []
-    for k in range(buckets + 1):
-        scaled = (F.col("_total") - 1) * k
-        at = F.floor(scaled / buckets)
-        edges.append(F.max(F.when(F.col("_rank") == at, F.col(value))).alias(f"_lo{k}"))
-        edges.append(F.max(F.when(F.col("_rank") == F.least(at + 1, F.col("_total") - 1), F.col(value))).alias(f"_hi{k}"))
-    found = ranked.where(F.col("_rank").isNotNull()).groupBy(*group).agg(F.max("_total").alias("_total"), *edges)
-    exact = []
+    ranked = add_rank(df, group, value, ties, "_rank", total="_total", slices=slices)
+    picks, edges = [], []
     for k in range(buckets + 1):
-        frac = F.pmod((F.col("_total") - 1) * k, F.lit(buckets)) / F.lit(float(buckets))
-        exact.append(F.when(frac == 0, F.col(f"_lo{k}")).otherwise(
-            F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * frac))
-    found = found.select(*group, F.array_distinct(F.array(*exact)).alias("_edges"))
-    below: Column = F.size(F.filter("_edges", lambda e: e < F.col(value))) - 1
-    return df.join(found, list(group), "left").select(
-        *names, F.when(F.col(value).isNotNull(), F.greatest(below, F.lit(0))).alias(out)
+        at = f"(_total - 1) * {k} div {buckets}"
+        picks.append(f"max(CASE WHEN _rank - 1 = {at} THEN {value} END) AS _lo{k}")
+        picks.append(f"max(CASE WHEN _rank - 1 = least({at} + 1, _total - 1) THEN {value} END) AS _hi{k}")
+        part = f"((_total - 1) * {k} % {buckets})"
+        edges.append(f"CASE WHEN {part} = 0 THEN _lo{k} ELSE _lo{k} + (_hi{k} - _lo{k}) * ({part} / {buckets}D) END")
+    found = ranked.where("_rank IS NOT NULL").groupBy(*group).agg(F.expr("max(_total) AS _total"), *map(F.expr, picks))
+    found = found.selectExpr(*group, f"array_distinct(array({_list(edges)})) AS _edges")
+    bucket = f"greatest(size(filter(_edges, e -> e < {value})) - 1, 0)"
+    return df.join(found, list(group), "left").selectExpr(
+        *names, f"CASE WHEN {value} IS NOT NULL THEN {bucket} END AS {out}"
     )

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import calendar as cal
-from ..functions.rolling import log_return, pct_change, roll_mean, series
-from ..functions.safe import col, rounded
+from ..functions.rolling import log_return, roll_mean
+from ..functions.safe import rounded
 from ..sources import panels
+from ..sources.panels import DAILY
 from .registry import query
 from .twins import frame, r6, using, week_of
 
@@ -25,14 +24,13 @@ weekly_signal AS (SELECT ticker, {week_of('date')} AS week_end, arg_max(close, d
 FROM weekly_signal s LEFT JOIN dim d USING (ticker) WHERE s.sma5 IS NOT NULL AND s.close > s.sma5""",
 )
 def flagship_weekly_signal(spark, folder):
-    w = series()
-    b = panels.bars(spark, folder).withColumns({"sma5": roll_mean("close", 5, w), "lret": log_return("close", w)})
-    week = cal.weekly_last(b, ["close", "sma5", "lret"])
+    b = panels.bars(spark, folder).selectExpr(
+        "*", f"{roll_mean('close', 5, DAILY)} AS sma5", f"{log_return('close', DAILY)} AS lret"
+    )
+    week = cal.weekly_last(b, ["close", "sma5", "lret"]).where("sma5 IS NOT NULL AND close > sma5")
     dim = panels.attributes(spark, folder).select("ticker", "sector", "country")
-    return (
-        week.where("sma5 IS NOT NULL AND close > sma5")
-        .join(dim, "ticker", "left")
-        .select("ticker", "week_end", "sector", "country", "close", rounded("sma5").alias("sma5"), rounded("lret").alias("lret"))
+    return week.join(dim, "ticker", "left").selectExpr(
+        "ticker", "week_end", "sector", "country", "close", f"{rounded('sma5')} AS sma5", f"{rounded('lret')} AS lret"
     )
 
 
@@ -43,7 +41,7 @@ def bars_daily(spark, folder):
 
 @query("labels_weekly", using("labels_w") + "SELECT ticker, week_end, data_type, target, round(fwd, 6) AS fwd FROM labels_w")
 def labels_weekly(spark, folder):
-    return panels.labels_weekly(spark, folder).withColumn("fwd", F.round("fwd", 6))
+    return panels.labels_weekly(spark, folder).selectExpr("ticker", "week_end", "data_type", "target", "round(fwd, 6) AS fwd")
 
 
 @query("predictions_weekly", using("preds") + "SELECT * FROM preds")

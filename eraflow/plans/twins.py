@@ -9,14 +9,13 @@ def week_of(d: str) -> str:
     return WEEK.format(d=d)
 
 
-_TICK_ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
+_TICK_ORDER = "l_orderkey, px"
 _QEND = "CAST(date_trunc('quarter', {d}) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"
 
 _PARTS = {
     "ticks": """ticks AS (
   SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date,
-         floor(l_extendedprice * 100 / l_quantity) / 100.0 AS px, l_quantity AS qty, l_orderkey, l_linenumber,
-         l_partkey, l_extendedprice, l_quantity
+         floor(l_extendedprice * 100 / l_quantity) / 100.0 AS px, l_quantity AS qty, l_orderkey
   FROM lineitem)""",
     "bars": f"""bars AS (
   SELECT ticker, date, first(px ORDER BY {_TICK_ORDER}) AS open, max(px) AS high, min(px) AS low,

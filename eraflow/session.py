@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "eraflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     local = os.path.join(tempfile.gettempdir(), "eraflow-checkpoint")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared folder, with the lineage cut.
+
+    For a narrow result of an expensive plan that several later steps read. A
+    lost executor costs nothing but the tasks it was running.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

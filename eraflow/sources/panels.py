@@ -13,133 +13,146 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import week_end, weekly_last
 from ..functions.indicators import add_rsi_simple
-from ..functions.rolling import pct_change, series
-from ..functions.safe import col, div
-from ..operators.ranking import add_rank
+from ..functions.rolling import Series, lead, pct_change
+from ..functions.safe import div
+from ..operators.ranking import percent_ranks
+from ..session import durable
 
 MARKET_ASSETS = list(range(7))
+DAILY, WEEKLY = Series("ticker", "date"), Series("ticker", "week_end")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def agg(df: DataFrame, keys: list[str], *exprs: str) -> DataFrame:
+    """Grouped aggregation from SQL text."""
+    return df.groupBy(*[F.expr(k) for k in keys]).agg(*[F.expr(e) for e in exprs])
+
+
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily OHLCV per supplier; prices in whole cents; the in-day order is the line key."""
-    line = table(spark, folder, "lineitem")
-    ticks = line.select(
-        col("l_suppkey").alias("ticker"),
-        col("l_shipdate").cast("date").alias("date"),
-        (F.floor(F.try_divide(col("l_extendedprice") * 100, col("l_quantity"))) / 100.0).alias("px"),
-        col("l_quantity").alias("qty"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("at"),
+    """Daily OHLCV per supplier, prices in whole cents.
+
+    Inside a day lines are ordered by order key, then by price. Both fit one
+    BIGINT, so every aggregate has a fixed-width buffer and the query stays a
+    hash aggregation with map-side combine (a struct key would turn it into a
+    sort of all raw rows).
+    """
+    ticks = table(spark, folder, "lineitem").selectExpr(
+        "l_suppkey AS ticker",
+        "CAST(l_shipdate AS DATE) AS date",
+        "floor(try_divide(l_extendedprice * 100, l_quantity)) AS cents",
+        "l_quantity AS qty",
+        "l_orderkey AS key",
     )
-    return ticks.groupBy("ticker", "date").agg(
-        F.min_by("px", "at").alias("open"),
-        F.max("px").alias("high"),
-        F.min("px").alias("low"),
-        F.max_by("px", "at").alias("close"),
-        F.sum("qty").alias("volume"),
+    at = f"key * {2**24} + cents"
+    return agg(
+        ticks,
+        ["ticker", "date"],
+        f"min_by(cents, {at}) / 100D AS open",
+        "max(cents) / 100D AS high",
+        "min(cents) / 100D AS low",
+        f"max_by(cents, {at}) / 100D AS close",
+        "sum(qty) AS volume",
     )
 
 
 def attributes(spark: SparkSession, folder: str) -> DataFrame:
     """Sector dimension of the tickers."""
     s, n, r = (table(spark, folder, t) for t in ("supplier", "nation", "region"))
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    parts = ["r_regionkey", "n_nationkey", "s_suppkey % 100", "s_suppkey % 7"]
     return (
         s.join(n, s.s_nationkey == n.n_nationkey)
         .join(r, n.n_regionkey == r.r_regionkey)
-        .select(
-            col("s_suppkey").alias("ticker"),
-            col("s_name").alias("name"),
-            col("n_name").alias("country"),
-            col("r_name").alias("sector"),
-            F.when(col("s_suppkey") % 10 != 3, col("s_acctbal")).alias("shares"),
-            F.concat(
-                two(col("r_regionkey")), two(col("n_nationkey")), two(col("s_suppkey") % 100), two(col("s_suppkey") % 7)
-            ).alias("code"),
+        .selectExpr(
+            "s_suppkey AS ticker",
+            "s_name AS name",
+            "n_name AS country",
+            "r_name AS sector",
+            "CASE WHEN s_suppkey % 10 <> 3 THEN s_acctbal END AS shares",
+            "concat(" + ", ".join(f"lpad(CAST({p} AS STRING), 2, '0')" for p in parts) + ") AS code",
         )
     )
 
 
 def fundamentals(spark: SparkSession, folder: str) -> DataFrame:
     """Quarterly revenue per ticker, dated by the quarter's last day."""
-    line = table(spark, folder, "lineitem")
-    d = col("l_shipdate").cast("date")
-    quarter_end = F.last_day(F.add_months(F.trunc(d, "QUARTER"), 2))
-    cents = F.round(col("l_extendedprice") * (1 - col("l_discount")) * 100).cast("bigint")
-    return line.groupBy(col("l_suppkey").alias("ticker"), quarter_end.alias("period_end")).agg(
-        (F.sum(cents) / 100.0).alias("revenue")
+    return agg(
+        table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "ticker"),
+        ["ticker", "last_day(add_months(trunc(l_shipdate, 'QUARTER'), 2)) AS period_end"],
+        "sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) / 100D AS revenue",
     )
 
 
 def macro_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
-    return o.groupBy(F.trunc(col("o_orderdate").cast("date"), "MM").alias("date")).agg(
-        F.count(F.lit(1)).alias("order_count"),
-        (F.sum(F.round(col("o_totalprice") * 100).cast("bigint")) / 100.0 / F.count(F.lit(1))).alias("mean_price"),
-        (F.count_if(col("o_orderpriority") == "1-URGENT") / F.count(F.lit(1))).alias("urgent_share"),
+    return agg(
+        table(spark, folder, "orders"),
+        ["trunc(o_orderdate, 'MM') AS date"],
+        "count(*) AS order_count",
+        "sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100D / count(*) AS mean_price",
+        "count_if(o_orderpriority = '1-URGENT') / count(*) AS urgent_share",
     )
 
 
 def macro_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
-    return o.groupBy(week_end(col("o_orderdate").cast("date")).alias("date")).agg(
-        F.count(F.lit(1)).alias("weekly_orders")
+    return agg(
+        table(spark, folder, "orders"),
+        [f"{week_end('CAST(o_orderdate AS DATE)')} AS date"],
+        "count(*) AS weekly_orders",
     )
 
 
 def weekly(spark: SparkSession, folder: str) -> DataFrame:
     """Per ticker and Friday week: last close, trailing 5-bar return, 14-bar RSI, volume."""
-    b = bars(spark, folder)
-    w = series()
-    b = add_rsi_simple(b, periods=[14]).withColumns({"ret5": pct_change("close", 5, w), "rsi": F.round("rsi_14", 6)})
+    b = add_rsi_simple(bars(spark, folder), periods=[14])
+    b = b.selectExpr("*", f"{pct_change('close', 5, DAILY)} AS ret5", "round(rsi_14, 6) AS rsi")
     return weekly_last(b, ["close", "volume", "ret5", "rsi"])
 
 
-def _split(w: DataFrame) -> DataFrame:
-    last = F.max("week_end").alias("last")
-    newest = w.agg(last).scalar()
-    return w.withColumn(
-        "data_type",
-        F.when(col("week_end") == newest, "live")
-        .when(col("week_end") < F.lit("1999-01-01").cast("date"), "train")
-        .otherwise("validation"),
+def weekly_ranks(spark: SparkSession, folder: str, targets: bool = True, models: bool = True) -> DataFrame:
+    """Weekly table with percent ranks inside each era.
+
+    ``target``: rank of the return to the ticker's 4th next era (NULL for the
+    newest eras). ``pred_momentum`` and ``pred_reversal``: two deterministic
+    models, the rank of the trailing return and of the negated RSI.
+    """
+    w = durable(
+        weekly(spark, folder).selectExpr(
+            "ticker", "week_end", f"{div(lead('close', 4, WEEKLY), 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi"
+        )
     )
+    ranks = {"target": "fwd"} if targets else {}
+    if models:
+        ranks |= {"pred_momentum": "ret5", "pred_reversal": "neg_rsi"}
+    ranked = percent_ranks(w, ["week_end"], ranks, "ticker")
+    newest = w.agg(F.max("week_end")).scalar()
+    kind = (
+        F.when(F.col("week_end") == newest, "live")
+        .when(F.expr("week_end < DATE'1999-01-01'"), "train")
+        .otherwise("validation")
+    )
+    return w.select("ticker", "week_end", "fwd", kind.alias("data_type")).join(ranked, ["ticker", "week_end"])
 
 
 def labels_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    """Weekly labels: percent rank within the era of the return to the ticker's 4th next era."""
-    w = weekly(spark, folder).select("ticker", "week_end", "close")
-    s = series("ticker", "week_end")
-    ahead = F.lead("close", 4).over(s)
-    w = w.withColumn("fwd", div(ahead, "close") - 1)
-    w = add_rank(w, ["week_end"], "fwd", ["ticker"], "target", percent=True)
-    return _split(w).select("ticker", "week_end", "data_type", "target", "fwd")
+    return weekly_ranks(spark, folder, models=False).select("ticker", "week_end", "data_type", "target", "fwd")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Two deterministic models: rank of the trailing return, rank of the negated RSI."""
-    w = weekly(spark, folder).select("ticker", "week_end", "ret5", (-col("rsi")).alias("neg_rsi"))
-    w = add_rank(w, ["week_end"], "ret5", ["ticker"], "pred_momentum", percent=True)
-    w = add_rank(w, ["week_end"], "neg_rsi", ["ticker"], "pred_reversal", percent=True)
-    return w.select("ticker", "week_end", "pred_momentum", "pred_reversal")
+    return weekly_ranks(spark, folder, targets=False).select("ticker", "week_end", "pred_momentum", "pred_reversal")
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels joined to predictions, rows with a target and both predictions."""
-    return (
-        labels_weekly(spark, folder)
-        .join(predictions(spark, folder), ["ticker", "week_end"])
-        .where("target IS NOT NULL AND pred_momentum IS NOT NULL AND pred_reversal IS NOT NULL")
+    """Labels with predictions, rows that have a target and both predictions."""
+    return weekly_ranks(spark, folder).where(
+        "target IS NOT NULL AND pred_momentum IS NOT NULL AND pred_reversal IS NOT NULL"
     )
 
 
 def portfolio_weights(spark: SparkSession, folder: str, portfolios: int = 200) -> DataFrame:
     """Candidate proportions per portfolio and asset from integer arithmetic."""
-    assets = bars(spark, folder).where(col("ticker").isin(MARKET_ASSETS)).select(col("ticker").alias("asset")).distinct()
-    p = F.explode(F.sequence(F.lit(0), F.lit(portfolios - 1))).alias("portfolio_id")
-    return assets.select("asset", p).select(
-        "portfolio_id", "asset", (F.pmod(col("portfolio_id") * 37 + col("asset") * 101, F.lit(97)) + 1).alias("proportion")
-    )
+    assets = ", ".join(map(str, MARKET_ASSETS))
+    seen = bars(spark, folder).where(f"ticker IN ({assets})").selectExpr("ticker AS asset").distinct()
+    each = seen.selectExpr("asset", f"explode(sequence(0, {portfolios - 1})) AS portfolio_id")
+    return each.selectExpr("portfolio_id", "asset", "pmod(portfolio_id * 37 + asset * 101, 97) + 1 AS proportion")
