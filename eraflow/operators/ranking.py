@@ -48,17 +48,6 @@ def _cuts(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int
     return sample.groupBy(*group).agg(cuts)  # at most ``slices`` keys per group
 
 
-def _position(key: str, lo: int, hi: int) -> str:
-    """Number of cut points below the key: a decision tree, log2(slices) comparisons.
-
-    A missing cut point (small group) compares as NULL and sends the row left.
-    """
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"CASE WHEN get(_cuts, {mid}) < {key} THEN {_position(key, mid + 1, hi)} ELSE {_position(key, lo, mid)} END"
-
-
 def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int, present: str = "TRUE") -> DataFrame:
     """Add ``_slice``; rows that are not ``present`` are spread over negative slices."""
     names = df.columns
@@ -67,7 +56,9 @@ def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: i
         joined = df.join(cuts, list(group), "left")
     else:
         joined = df.select("*", cuts.select("_cuts").scalar().alias("_cuts"))
-    at = _position(f"struct({_list(order)})", 0, slices - 1)
+    # sorting the key into its group's few cut points keeps the generated code small
+    key = f"struct({_list(order)})"
+    at = f"coalesce(array_position(sort_array(array_append(_cuts, {key})), {key}) - 1, 0)"
     return joined.selectExpr(
         *names, f"CASE WHEN {present} THEN {at} ELSE -1 - pmod(hash({_list(order)}), {slices}) END AS _slice"
     )
