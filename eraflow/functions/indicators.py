@@ -36,27 +36,27 @@ def add_rsi_simple(df: DataFrame, src: str = "close", periods: Sequence[int] = t
         "CASE WHEN _chg IS NOT NULL THEN greatest(_chg, 0D) END AS _up",
         "CASE WHEN _chg IS NOT NULL THEN greatest(-_chg, 0D) END AS _down",
     )
-    out = []
-    for p in periods:
-        g, l = f"avg(_up) {w.last_n(p)}", f"avg(_down) {w.last_n(p)}"
-        out.append(f"CASE WHEN {l} > 0 THEN 100 - 100 / (1 + {g} / {l}) ELSE 100D END AS rsi_{p}")
-    return work.selectExpr(*names, *out)
+    work = work.selectExpr("*", *[f"avg({c}) {w.last_n(p)} AS {c}{p}" for p in periods for c in ("_up", "_down")])
+    rsi = [f"CASE WHEN _down{p} > 0 THEN 100 - 100 / (1 + _up{p} / _down{p}) ELSE 100D END AS rsi_{p}" for p in periods]
+    return work.selectExpr(*names, *rsi)
 
 
-def bollinger(src: str = "close", windows=tuple(BAND_WINDOWS), widths=tuple(BAND_WIDTHS), w: Series = DAILY) -> dict[str, str]:
-    out = {}
+def add_bollinger(df: DataFrame, src: str = "close", windows=tuple(BAND_WINDOWS), widths=tuple(BAND_WIDTHS), w: Series = DAILY) -> DataFrame:
+    """Upper and lower band, basis and relative width. Mean and deviation of a window are computed once."""
+    names = df.columns
+    base = [f"{roll_mean(src, n, w, 1)} AS _mid{n}" for n in windows] + [f"{roll_std(src, n, w, 1)} AS _dev{n}" for n in windows]
+    out = []
     for n in windows:
-        mid, dev = f"({roll_mean(src, n, w, 1)})", f"({roll_std(src, n, w, 1)})"
         for k in widths:
             tag = f"{n}_{str(k).replace('.', 'p')}"
-            up, low = f"({mid} + {dev} * {num(k)})", f"({mid} - {dev} * {num(k)})"
-            out |= {
-                f"bb_upper_{tag}": up,
-                f"bb_lower_{tag}": low,
-                f"bb_basis_{tag}": mid,
-                f"bb_width_{tag}": div(f"{up} - {low}", mid, 0.0),
-            }
-    return out
+            up, low = f"(_mid{n} + _dev{n} * {num(k)})", f"(_mid{n} - _dev{n} * {num(k)})"
+            out += [
+                f"{up} AS bb_upper_{tag}",
+                f"{low} AS bb_lower_{tag}",
+                f"_mid{n} AS bb_basis_{tag}",
+                f"{div(f'{up} - {low}', f'_mid{n}', 0.0)} AS bb_width_{tag}",
+            ]
+    return df.selectExpr("*", *base).selectExpr(*names, *out)
 
 
 def roc(src: str = "close", periods=tuple(ROC_PERIODS), w: Series = DAILY) -> dict[str, str]:
@@ -64,12 +64,11 @@ def roc(src: str = "close", periods=tuple(ROC_PERIODS), w: Series = DAILY) -> di
 
 
 def add_stochastic(df: DataFrame, periods=tuple(RSI_PERIODS), smooth=tuple(STOCH_SMOOTH), w: Series = DAILY) -> DataFrame:
-    k = []
-    for n in periods:
-        lo, hi = f"({roll_min('low', n, w, 1)})", f"({roll_max('high', n, w, 1)})"
-        k.append(f"{div(f'close - {lo}', f'{hi} - {lo}', 0.5)} * 100 AS stoch_k_{n}")
+    names = df.columns
+    base = [f"{roll_min('low', n, w, 1)} AS _lo{n}" for n in periods] + [f"{roll_max('high', n, w, 1)} AS _hi{n}" for n in periods]
+    k = [f"{div(f'close - _lo{n}', f'_hi{n} - _lo{n}', 0.5)} * 100 AS stoch_k_{n}" for n in periods]
     d = [f"{roll_mean(f'stoch_k_{n}', m, w, 1)} AS stoch_d_{n}_{m}" for n in periods for m in smooth]
-    return df.selectExpr("*", *k).selectExpr("*", *d)
+    return df.selectExpr("*", *base).selectExpr(*names, *k).selectExpr("*", *d)
 
 
 def sma(cols=("close", "volume"), windows=tuple(PRICE_WINDOWS), w: Series = DAILY) -> dict[str, str]:

@@ -104,6 +104,8 @@ def log_return(x: str, w: Series, k: int = 1) -> str:
 def gated(x: str, stat: str, n: int, w: Series, min_periods: int | None) -> str:
     """A statistic of the last n rows, NULL below ``min_periods`` (default n) present values."""
     need = n if min_periods is None else min_periods
+    if need <= 1:
+        return stat  # aggregates of no value are NULL anyway
     return f"CASE WHEN count({x}) {w.last_n(n)} >= {need} THEN {stat} END"
 
 

@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the registry."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import calendars, cleaning, core  # noqa: F401
+from . import calendars, cleaning, core, joins, profiles, windows  # noqa: F401
