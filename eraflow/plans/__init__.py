@@ -1,4 +1,4 @@
 """Registered queries; importing the package fills the registry."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import calendars, cleaning, core, crosses, eras, joins, profiles, weighted, windows  # noqa: F401
+from . import calendars, cleaning, core, crosses, eras, joins, learning, profiles, streams, weighted, windows  # noqa: F401

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -25,3 +29,8 @@ def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, mod
 def split_outputs(df: DataFrame, kind: str = "data_type") -> dict[str, DataFrame]:
     """Validation rows for diagnostics, all rows for submission."""
     return {"diagnostics": df.where(F.col(kind) == "validation"), "submission": df}
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared folder of the cluster."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
