@@ -22,10 +22,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from .grouped import weighted_means
 from .rolling import Series, diff, lag
 from .safe import div, num
 
 _FORGET = 46.0  # -ln(1e-20)
+WINDOW_LIMIT = 8
 
 
 @dataclass(frozen=True)
@@ -59,8 +61,15 @@ def block_length(alpha: float) -> int:
     return int(length)
 
 
-def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series()) -> DataFrame:
-    """Append every requested weighted mean; all of them share one shuffle by key."""
+def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series(), method: str = "auto") -> DataFrame:
+    """Append every requested weighted mean; all of them share one shuffle by key.
+
+    method="window" is the form described above, "arrow" a vectorised pass per
+    key (see ``grouped``); "auto" takes windows for up to ``WINDOW_LIMIT`` means
+    and the vectorised pass for the wide sets.
+    """
+    if method == "arrow" or (method == "auto" and len(specs) > WINDOW_LIMIT):
+        return weighted_means(df, [(s.out, s.src, s.alpha, s.adjust, s.min_periods) for s in specs], w)
     names = df.columns
     smooth = [s for s in specs if s.alpha < 1.0]
     sources = sorted({s.src for s in smooth})
@@ -72,23 +81,27 @@ def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series()) -> DataFr
             *[f"first({c}, true) {w.so_far} AS _x0_{c}" for c in starts],
             *[f"min(CASE WHEN {c} IS NOT NULL THEN _pos END) {w.so_far} AS _p0_{c}" for c in starts],
         )
-    total: dict[tuple[str, float], tuple[str, str]] = {}
+    total: dict[tuple[str, float], tuple[str, str | None]] = {}
     for n in sorted({block_length(s.alpha) for s in smooth}):
         work = work.selectExpr("*", f"_pos div {n} AS _blk_{n}", f"_pos % {n} AS _off_{n}")
         inside = Series(f"{w.by}, _blk_{n}", w.at).so_far
         before = f"OVER (PARTITION BY {w.by} ORDER BY _blk_{n} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
-        current, prior = [], []
+        current, prior, sums = [], [], []
         for i, (c, a) in enumerate(sorted({(s.src, s.alpha) for s in smooth if block_length(s.alpha) == n})):
             grow, shrink = (f"pow({num(v)}, _off_{n})" for v in (1.0 / (1.0 - a), 1.0 - a))
-            sides = []
-            for kind, x in (("n", f"{c} * {grow}"), ("d", f"CASE WHEN {c} IS NOT NULL THEN {grow} END")):
+            sides = {"n": f"{c} * {grow}"}
+            if any(s.adjust for s in smooth if (s.src, s.alpha) == (c, a)):
+                sides["d"] = f"CASE WHEN {c} IS NOT NULL THEN {grow} END"
+            for kind, x in sides.items():
                 tag = f"{kind}_{c}_{n}_{i}"
                 current.append(f"sum({x}) {inside} AS _i{tag}")
                 prior.append(f"sum({x}) {before} AS _b{tag}")
-                sides.append(f"({shrink} * (coalesce(_i{tag}, 0D) + {num((1.0 - a) ** n)} * coalesce(_b{tag}, 0D)))")
-            total[c, a] = sides[0], sides[1]
+                sums.append(f"{shrink} * (coalesce(_i{tag}, 0D) + {num((1.0 - a) ** n)} * coalesce(_b{tag}, 0D)) AS _t{tag}")
+                sides[kind] = f"_t{tag}"
+            total[c, a] = sides["n"], sides.get("d")
         # in this order the sort of the first Window also serves the second
-        work = work.selectExpr("*", *current).selectExpr("*", *prior)
+        before_sums = [c for c in work.columns if not c.startswith(("_blk_", "_off_"))]
+        work = work.selectExpr("*", *current).selectExpr("*", *prior).selectExpr(*before_sums, *sums)
     out = []
     for s in specs:
         if s.alpha >= 1.0:

@@ -11,81 +11,90 @@ spill to disk, and are the choice for a few horizons or for finer time grains.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from .rolling import HORIZONS, STAT_WINDOWS, Series
 
+Arrays = Mapping[str, np.ndarray]
 
-def map_series(df: DataFrame, make: Callable[[pd.DataFrame], dict], names: Sequence[str], w: Series = Series(), keep: Sequence[str] = ()) -> DataFrame:
-    """Append double columns computed from the time-ordered rows of each key."""
-    keep = list(keep) or df.columns
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    at = w.at
+# executors need not have this package installed: its task functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, ignore_index=True)
-        made = pd.DataFrame(make(pdf), columns=list(names), copy=False)
-        # NULL, never NaN or infinity
-        made = made.where(np.isfinite(made), None) if not np.isfinite(made.to_numpy()).all() else made
-        return pd.concat([pdf[keep], made], axis=1)
 
-    return df.groupBy(w.by).applyInPandas(one, f"{kept}, {', '.join(f'{n} double' for n in names)}")
+def _arrow(a: np.ndarray) -> pa.Array:
+    """NULL, never NaN or infinity."""
+    if a.dtype != np.float64:
+        return pa.array(a)
+    bad = ~np.isfinite(a)
+    return pa.array(a, mask=bad) if bad.any() else pa.array(a)
 
 
-def _back(a: np.ndarray, k: int) -> np.ndarray:
-    out = np.full(len(a), np.nan)
-    out[k:] = a[: len(a) - k] if k < len(a) else a[:0]
-    return out
+def map_series(
+    df: DataFrame, cols: Sequence[str], make: Callable[[Arrays], Arrays], names: Sequence[str], w: Series = Series(), keep: Sequence[str] = ()
+) -> DataFrame:
+    """Append double columns computed from ``cols`` of the time-ordered rows of each key."""
+    keep = list(keep) or df.columns
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+    at, names = w.at, list(names)
 
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(at)
+        made = make({c: table.column(c).to_numpy().astype(np.float64) for c in cols})
+        return pa.table([table.column(c) for c in keep] + [_arrow(made[n]) for n in names], names=keep + names)
 
-def _span(cum: np.ndarray, n: int) -> np.ndarray:
-    out = cum.copy()
-    out[n:] -= cum[: len(cum) - n] if n < len(cum) else cum[:0]
-    return out
+    needed = list(dict.fromkeys([w.by, at, *keep, *cols]))
+    return df.select(*needed).groupBy(w.by).applyInArrow(one, f"{kept}, {', '.join(f'{n} double' for n in names)}")
 
 
-def _change(a: np.ndarray, k: int = 1) -> np.ndarray:
+def _change(a: np.ndarray) -> np.ndarray:
+    """a / previous a - 1, NaN where undefined."""
+    out = np.full(len(a), np.nan)
     with np.errstate(all="ignore"):
-        r = a / _back(a, k) - 1
-    r[~np.isfinite(r)] = np.nan
-    return r
+        out[1:] = a[1:] / a[:-1] - 1
+    out[~np.isfinite(out)] = np.nan
+    return out
 
 
 def _pack(x: np.ndarray, horizons: Sequence[int], absolute: bool, second_order: bool) -> list[np.ndarray]:
-    size = len(x)
+    """Return, (|return|,) volatility and gap: one matrix (horizon x row) each."""
+    row, h = np.arange(len(x)), np.asarray(horizons)[:, None]
+    at = row[None, :] - h
+    inside = at >= 0
+    at = np.maximum(at, 0)
+
+    def span(cum: np.ndarray) -> np.ndarray:
+        return cum[None, :] - np.where(inside, cum[at], 0)
+
     with np.errstate(all="ignore"):
         d = _change(np.where(x > -1, np.log1p(x), np.nan))
-    if second_order:
-        d = _change(d)
-    seen = ~np.isnan(d)
-    e = np.where(seen, d - (d[seen][0] if seen.any() else 0.0), 0.0)
-    se, qe, ne = np.cumsum(e), np.cumsum(e * e), np.cumsum(seen)
-    sx, nx = np.cumsum(np.nan_to_num(x)), np.cumsum(~np.isnan(x))
-    row = np.arange(size)
-    before = np.r_[np.nan, d[:-1]] if size else d
-    fresh = ~((d == before) | (np.isnan(d) & np.isnan(before)))
-    if size:
-        fresh[0] = True
-    run = np.maximum.accumulate(np.where(fresh, row, 0)) if size else row
-    out = []
-    with np.errstate(all="ignore"):
-        for n in horizons:
-            ret = _change(x, n)
-            out.append(ret)
-            if absolute:
-                out.append(np.abs(ret))
-            s = _span(se, n)
-            vol = np.sqrt(np.maximum((_span(qe, n) - s * s / n) / (n - 1), 0.0))
-            vol[row - run + 1 >= n] = 0.0
-            vol[_span(ne, n) < n] = np.nan
-            gap = x / (_span(sx, n) / n)
-            gap[_span(nx, n) < n] = np.nan
-            out += [vol, gap]
-    return out
+        if second_order:
+            d = _change(d)
+        seen = ~np.isnan(d)
+        # centre on the first change; runs of equal changes have exactly zero deviation
+        e = np.where(seen, d - (d[seen][0] if seen.any() else 0.0), 0.0)
+        before = np.roll(d, 1)
+        fresh = ~((d == before) | (np.isnan(d) & np.isnan(before)))
+        fresh[:1] = True
+        run = np.maximum.accumulate(np.where(fresh, row, 0))
+        ret = np.where(inside, x[None, :] / x[at] - 1, np.nan)
+        s = span(np.cumsum(e))
+        vol = np.sqrt(np.maximum((span(np.cumsum(e * e)) - s * s / h) / (h - 1), 0.0))
+        vol[(row - run + 1)[None, :] >= h] = 0.0
+        vol[span(np.cumsum(seen)) < h] = np.nan
+        gap = x[None, :] / (span(np.cumsum(np.nan_to_num(x))) / h)
+        gap[span(np.cumsum(~np.isnan(x))) < h] = np.nan
+    return [ret, np.abs(ret), vol, gap] if absolute else [ret, vol, gap]
+
+
+def _pack_names(c: str, horizons: Sequence[int], absolute: bool) -> list[str]:
+    kinds = ["return", "return_abs", "volatility", "gap"] if absolute else ["return", "volatility", "gap"]
+    return [f"{c}_{k}_{n}" for n in horizons for k in kinds]
 
 
 def horizon_pack(
@@ -98,14 +107,44 @@ def horizon_pack(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Same columns as the Window form in ``rolling.horizon_pack``."""
-    kinds = ["return", "return_abs", "volatility", "gap"] if absolute else ["return", "volatility", "gap"]
-    names = [f"{c}_{k}_{n}" for c in cols for n in horizons for k in kinds]
+    names = {c: _pack_names(c, horizons, absolute) for c in cols}
 
-    def make(pdf: pd.DataFrame) -> dict:
-        arrays = [a for c in cols for a in _pack(pdf[c].to_numpy(dtype=float), horizons, absolute, second_order)]
-        return dict(zip(names, arrays))
+    def make(x: Arrays) -> dict:
+        out = {}
+        for c in cols:
+            by_horizon = np.stack(_pack(x[c], horizons, absolute, second_order), axis=1)
+            out |= zip(names[c], by_horizon.reshape(-1, len(x[c])))
+        return out
 
-    return map_series(df, make, names, w, keep)
+    return map_series(df, cols, make, [n for c in cols for n in names[c]], w, keep)
+
+
+def horizon_summary(df: DataFrame, col: str, horizons: Sequence[int] = tuple(HORIZONS), w: Series = Series()) -> DataFrame:
+    """Count, mean and maximum of every pack column per key, in long form; the wide rows never leave the task."""
+    kinds = ["return", "volatility", "gap"]
+    by, at = w.by, w.at
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(at)
+        packed = np.stack(_pack(table.column(col).to_numpy().astype(np.float64), horizons, False, False), axis=1)
+        packed = packed.reshape(-1, packed.shape[2])
+        good = np.isfinite(packed)
+        n, size = good.sum(axis=1), len(packed)
+        mean = np.where(good, packed, 0.0).sum(axis=1) / np.where(n > 0, n, np.nan)
+        top = np.where(good, packed, -np.inf).max(axis=1)
+        return pa.table({
+            by: pa.chunked_array([table.column(by).slice(0, 1).combine_chunks()] * size),
+            "kind": kinds * len(horizons),
+            "horizon": pa.array(np.repeat(np.asarray(horizons, dtype=np.int32), len(kinds))),
+            "n": pa.array(n, pa.int64()),
+            "mean": _arrow(mean),
+            "top": _arrow(top),
+        })
+
+    key = df.schema[by].dataType.simpleString()
+    return df.select(by, at, col).groupBy(by).applyInArrow(
+        one, f"{by} {key}, kind string, horizon int, n bigint, mean double, top double"
+    )
 
 
 def rolling_bundle(
@@ -113,15 +152,32 @@ def rolling_bundle(
 ) -> DataFrame:
     """Mean, std, min, max and median per window, min_periods = max(1, n // 2)."""
     kinds = ["mean", "std", "min", "max", "median"]
-    names = [f"{c}_{k}_{n}" for c in cols for n in windows for k in kinds]
 
-    def make(pdf: pd.DataFrame) -> dict:
+    def make(x: Arrays) -> dict:
+        import pandas as pd
+
         out = {}
         for c in cols:
-            x = pdf[c].astype(float)
+            s = pd.Series(x[c])
             for n in windows:
-                r = x.rolling(n, min_periods=max(1, n // 2))
+                r = s.rolling(n, min_periods=max(1, n // 2))
                 out |= {f"{c}_{k}_{n}": getattr(r, k)().to_numpy() for k in kinds}
         return out
 
-    return map_series(df, make, names, w, keep)
+    return map_series(df, cols, make, [f"{c}_{k}_{n}" for c in cols for n in windows for k in kinds], w, keep)
+
+
+def weighted_means(df: DataFrame, specs: Sequence[tuple[str, str, float, bool, int]], w: Series = Series()) -> DataFrame:
+    """Exponentially weighted means, (out, source, alpha, adjust, min_periods) each."""
+    specs = [tuple(s) for s in specs]
+
+    def make(x: Arrays) -> dict:
+        import pandas as pd
+
+        series = {c: pd.Series(a) for c, a in x.items()}
+        return {
+            out: series[src].ewm(alpha=alpha, adjust=adjust, min_periods=least).mean().to_numpy()
+            for out, src, alpha, adjust, least in specs
+        }
+
+    return map_series(df, sorted({s[1] for s in specs}), make, [s[0] for s in specs], w)

@@ -296,13 +296,8 @@ def horizon_frames(spark, folder):
 )
 def horizon_summary(spark, folder):
     """All 84 horizons of the price pack, summarised per ticker."""
-    p = grouped.horizon_pack(panels.bars(spark, folder).select("ticker", "date", "close"), ["close"], _ALL, absolute=False, keep=["ticker"])
-    kinds = ("return", "volatility", "gap")
-    # partial aggregates of single columns, put together after the shuffle
-    aggs = [f"{f}(close_{k}_{n}) AS {f}_{k}_{n}" for k in kinds for n in _ALL for f in ("count", "avg", "max")]
-    a = panels.agg(p, ["ticker"], *aggs)
-    rows = [f"struct('{k}' AS kind, {n} AS horizon, count_{k}_{n} AS n, round(avg_{k}_{n}, 6) AS mean, round(max_{k}_{n}, 6) AS top)" for k in kinds for n in _ALL]
-    return a.selectExpr("ticker", f"inline(array({', '.join(rows)}))")
+    h = grouped.horizon_summary(panels.bars(spark, folder), "close")
+    return h.selectExpr("ticker", "kind", "horizon", "n", "round(mean, 6) AS mean", "round(top, 6) AS top")
 
 
 @query("money_volume_lags", B + "SELECT ticker, date, " + sql_rounding({f"money_volume_{k}": f"lag(volume, {k}) OVER {W} * lag(close, {k}) OVER {W}" for k in range(1, 11)}, 4) + " FROM bars")
