@@ -44,7 +44,7 @@ def map_series(
     at, names = w.at, list(names)
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by(at)
+        table = table.sort_by(at).combine_chunks()
         made = make({c: table.column(c).to_numpy().astype(np.float64) for c in cols})
         return pa.table([table.column(c) for c in keep] + [_arrow(made[n]) for n in names], names=keep + names)
 
@@ -125,7 +125,7 @@ def horizon_summary(df: DataFrame, col: str, horizons: Sequence[int] = tuple(HOR
     by, at = w.by, w.at
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by(at)
+        table = table.sort_by(at).combine_chunks()
         packed = np.stack(_pack(table.column(col).to_numpy().astype(np.float64), horizons, False, False), axis=1)
         packed = packed.reshape(-1, packed.shape[2])
         good = np.isfinite(packed)
@@ -133,7 +133,7 @@ def horizon_summary(df: DataFrame, col: str, horizons: Sequence[int] = tuple(HOR
         mean = np.where(good, packed, 0.0).sum(axis=1) / np.where(n > 0, n, np.nan)
         top = np.where(good, packed, -np.inf).max(axis=1)
         return pa.table({
-            by: pa.chunked_array([table.column(by).slice(0, 1).combine_chunks()] * size),
+            by: pa.repeat(table.column(by)[0], size),
             "kind": kinds * len(horizons),
             "horizon": pa.array(np.repeat(np.asarray(horizons, dtype=np.int32), len(kinds))),
             "n": pa.array(n, pa.int64()),
