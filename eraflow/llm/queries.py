@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, tokens
+from . import embeddings, minhash, suffixes, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +24,99 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op4_minhash_near_dedup")
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.fit(docs, labels.where(~toxicity.is_held_out()))
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", "predicted", "n_patterns")
+
+
+#: components of a table ``link`` (a, b) with both directions and every node's loop
+_REACH = """
+reach(id, root) AS (
+  SELECT DISTINCT a, b FROM link
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN link l ON r.root = l.a
+)"""
+
+OP2_SQL = f"""
+WITH RECURSIVE valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM valid x JOIN valid y ON x.vec_id = y.vec_id OR list_cosine_similarity(x.v, y.v) >= 0.95
+), {_REACH}
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.root, e.vec_id) AS component_id, coalesce(m.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+LEFT JOIN (SELECT a, count(*) - 1 AS n FROM link GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) m ON m.id = e.vec_id
+"""
+
+
+@query("op2_embedding_near_dedup", OP2_SQL)
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP3_SQL = """
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), byte AS (
+  SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 200)) AS p FROM hexed WHERE len(h) >= 400
+), win AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS w FROM byte
+), twice AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1
+), hit AS (
+  SELECT doc_id, p AS b, p + 200 AS e FROM win SEMI JOIN twice USING (w)
+), marked AS (
+  SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hit
+), island AS (
+  SELECT *, sum((reach IS NULL OR b > reach)::INT) OVER (PARTITION BY doc_id ORDER BY b) AS i FROM marked
+), span AS (SELECT doc_id, min(b) AS b, max(e) AS e FROM island GROUP BY doc_id, i
+), edged AS (
+  SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS after FROM span
+), cut AS (
+  SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * before + 1, 2 * (b - before)) || CASE WHEN after IS NULL THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY b) AS kept
+  FROM edged JOIN hexed USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM hexed LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op3_suffix_dedup", OP3_SQL)
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(table(spark, sf_dir, "documents"), length=200)
+    return cut.select(
+        "doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed",
+        F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP4_SQL = f"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[k : k + 3], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS k FROM word WHERE len(w) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), {_REACH}
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id, coalesce(m.root, d.doc_id) = d.doc_id AS kept
+FROM documents d
+LEFT JOIN size n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) m ON m.id = d.doc_id
+"""
+
+
+@query("op4_minhash_near_dedup", OP4_SQL)
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
