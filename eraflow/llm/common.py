@@ -52,6 +52,31 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             at = end
 
 
+FILTER_BITS = 26
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS):
+    """Broadcast bit array of 2**bits bits (8 MiB for 26, whatever the input) that holds all values
+    of a bigint column by their low bits. Values outside may pass: an exact join has to follow."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    slot = f"({column} & {(1 << bits) - 1}L)"
+    words = keys.selectExpr(f"int(shiftright({slot}, 6)) as word", f"shiftleft(1L, int({slot} & 63)) as bit")
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(1 << (bits - 6), np.int64)
+    held[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+
+def passes(held, key):
+    """Whether each uint64 value may be among those of the bit filter."""
+    import numpy as np
+
+    slot = key & np.uint64(64 * len(held) - 1)
+    return (held[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
 def flat(column: pa.Array):
     """Bytes and offsets of a string or binary column; nulls count as empty."""
     import numpy as np

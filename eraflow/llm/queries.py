@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, minhash, suffixes, tokens, toxicity
+from . import embeddings, minhash, mixing, suffixes, tiling, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,11 +62,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH hexed AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents
 ), byte AS (
-  SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 200)) AS p FROM hexed WHERE len(h) >= 400
-), win AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS w FROM byte
+  SELECT doc_id, h, unnest(generate_series(0, octet_length(h) - 200)) AS p FROM raw WHERE octet_length(h) >= 200
+), win AS (SELECT doc_id, p, md5(h[p + 1 : p + 200]) AS w FROM byte
 ), twice AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1
 ), hit AS (
   SELECT doc_id, p AS b, p + 200 AS e FROM win SEMI JOIN twice USING (w)
@@ -79,12 +79,12 @@ WITH hexed AS (
   SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS after FROM span
 ), cut AS (
   SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans,
-    string_agg(substr(h, 2 * before + 1, 2 * (b - before)) || CASE WHEN after IS NULL THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY b) AS kept
-  FROM edged JOIN hexed USING (doc_id) GROUP BY doc_id
+    string_agg(hex(h[before + 1 : b]) || CASE WHEN after IS NULL THEN hex(h[e + 1 :]) ELSE '' END, '' ORDER BY b) AS kept
+  FROM edged JOIN raw USING (doc_id) GROUP BY doc_id
 )
-SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM hexed LEFT JOIN cut USING (doc_id)
+SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(coalesce(unhex(kept), h)) AS kept_sha256
+FROM raw LEFT JOIN cut USING (doc_id)
 """
 
 
@@ -121,8 +121,49 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+OP5_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source
+), weighed AS (SELECT source, n, sqrt(n) AS w FROM counts
+), sums AS (SELECT sum(n) AS all_n, sum(w::DECIMAL(30,12))::DOUBLE AS all_w FROM weighed
+), rate AS (SELECT source, (all_n * w) / (all_w * n) AS r FROM weighed, sums
+), cdf(source, r, k, term, total) AS (
+  SELECT source, r, 0, exp(-r), exp(-r) FROM rate
+  UNION ALL
+  SELECT source, r, k + 1, term * r / (k + 1), total + term * r / (k + 1) FROM cdf WHERE k < r + 12 * sqrt(r) + 40
+), keyed AS (
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS key FROM documents
+), drawn AS (
+  SELECT d.doc_id, d.source, d.key, count(c.k) AS n_copies
+  FROM (SELECT *, ('0x' || substr(md5('17|1|' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM keyed) d
+  JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.total <= d.u
+  GROUP BY ALL
+), copies AS (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM drawn)
+SELECT doc_id, source, copy, n_copies, ('0x' || substr(md5('order 17|' || copy || '|' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
+FROM copies
+"""
+
+
+@query("op5_source_mixing", OP5_SQL)
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square-root smoothed source weights, as many rows as the input in the mean."""
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), power=0.5)
+    return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = tiling.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
+    out = keyed.join(hit.withColumnRenamed("id", "doc_id"), ["doc_id", "text_key"], "left")
+    return out.select(
+        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
+        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+    )

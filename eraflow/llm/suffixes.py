@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, flat, stored
+from .common import bit_filter, by_value, flat, passes, stored
 from .wordsums import mix, powers
 
 by_value(__name__)
@@ -47,7 +47,6 @@ by_value(__name__)
 GRAM = 40
 GROUP = 1200
 _SPAN = 900_000  # bytes looked at together; positions must fit into 20 bits
-_FILTER_BITS = 26
 _SHARD = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -134,11 +133,6 @@ def _keys(length: int):
     return run
 
 
-def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    slot = key & np.uint64((1 << _FILTER_BITS) - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _snippets(length: int, bits, with_bytes: bool):
     def run(batches):
         finder = Anchors(length)
@@ -146,7 +140,7 @@ def _snippets(length: int, bits, with_bytes: bool):
             found = finder.of(data, offsets)
             if not found:
                 continue
-            found = [a[_passes(bits.value, found[4])] for a in found]
+            found = [a[passes(bits.value, found[4])] for a in found]
             text, first, size, place, key, snippet = found
             if with_bytes:
                 lone = np.unique(np.stack([key, snippet, place.astype(np.uint64)], 1), axis=0, return_index=True)[1]
@@ -166,16 +160,6 @@ def _snippets(length: int, bits, with_bytes: bool):
     return run
 
 
-def _bit_filter(keys: DataFrame):
-    """Bit array of 2**26 bits (8 MiB, whatever the input) that holds all ``keys``, broadcast."""
-    slot = F.col("anchor").bitwiseAND((1 << _FILTER_BITS) - 1)
-    words = keys.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast((anchor & {(1 << _FILTER_BITS) - 1}) & 63 as int))").alias("bit"))
-    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
-
 # --- shards and their merge
 
 
@@ -332,13 +316,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = texts.schema["id"].dataType.simpleString()
     twice = stored(texts.select("text").mapInArrow(_keys(length), "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     place = "start bigint, size int, place int, anchor bigint, snippet bigint"
-    found = stored(texts.mapInArrow(_snippets(length, _bit_filter(twice), False), f"id {kind}, text_key bigint, {place}"), "snippets")
+    found = stored(texts.mapInArrow(_snippets(length, bit_filter(twice, "anchor"), False), f"id {kind}, text_key bigint, {place}"), "snippets")
     same = ["anchor", "place", "snippet", "size"]
     kinds = stored(found.groupBy(*same).agg(F.count("*").alias("n")), "kinds")
     several = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     whole = kinds.where("n > 1").select(*same, F.array(F.lit(0)).alias("first"), F.array(F.col("size") - length).alias("last"))
 
-    fetched = texts.select("text").mapInArrow(_snippets(length, _bit_filter(several), True), "anchor bigint, place int, snippet bigint, bytes binary").distinct()
+    fetched = texts.select("text").mapInArrow(_snippets(length, bit_filter(several, "anchor"), True), "anchor bigint, place int, snippet bigint, bytes binary").distinct()
     dealt = fetched.join(several, "anchor").select(
         "anchor", "place", "snippet", "bytes", (F.col("kinds") > GROUP).alias("hot"),
         F.pmod(F.xxhash64("snippet"), F.ceil(F.col("kinds") / GROUP)).alias("part"),

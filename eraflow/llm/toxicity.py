@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult I, threat T, target Y, negation N, reporting R, other O,
+Words become symbols (insult I, weak insult W, threat T, target Y, negation N, reporting R, other O,
 clause end E). Three small deterministic transducers rewrite the symbols, one after
 another: negation lowers an insult or threat within a few words after a negation,
 reported speech marks what a clause only reports, and the clause transducer emits one
@@ -9,9 +9,10 @@ one machine, so a clause costs one table look-up a word. What counts is the matc
 clause pattern: a target, negation or reporting word alone emits nothing.
 
 Fitting uses a sample of labelled rows, ``sample`` of them at most, chosen by a hash
-of the id. It extends the seed words by words and word stems that are many times as
-frequent in toxic texts, sets the weight of every pattern from its log odds, and
-calibrates the score. Everything else covers all rows and whole texts.
+of the id. It extends the seed words by words and word stems that are several times as
+frequent in toxic texts (strong from ``odds``, weak from ``odds`` / 5 on), sets the
+weight of every pattern and number of matches from its log odds, and calibrates the
+score. Everything else covers all rows and whole texts.
 
 Null and empty texts have no patterns; their score is the calibrated base rate of
 such texts. Rows with a null id are scored, are not held out and are not learnt from.
@@ -45,7 +46,12 @@ SEEDS = {
     "R": "said says say wrote writes called calls quoted quotes claimed claims reported according sagte sagt schrieb dit écrit selon dijo dice según",
 }
 #: default weights: insult or threat, lowered by negation or reporting, raised by a target
-DEFAULTS = {f"{k}{t}": w + 1.0 * bool(t) for k, w in {"I": 2.5, "i": 0.8, "J": 1.2, "j": 0.4, "T": 3.0, "t": 1.0, "S": 1.5, "s": 0.5}.items() for t in ("", "+")}
+DEFAULTS = {
+    f"{k}{t}": w + 0.5 * bool(t)
+    for k, w in {"I": 2.5, "i": 0.8, "J": 1.2, "j": 0.4, "W": 0.8, "w": 0.3, "V": 0.4, "v": 0.1, "T": 3.0, "t": 1.0, "S": 1.5, "s": 0.5}.items()
+    for t in ("", "+")
+}
+_MANY = 4  # matches of one pattern that count alike from here on
 _REACH = 3  # words a negation reaches forward
 _STRETCH = 1 << 20
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
@@ -60,7 +66,7 @@ def negation() -> dict:
         after = max(0, state - 1)
         for s in "OYR":
             out[state, s] = (after, s)
-        for s in "IT":
+        for s in "IWT":
             out[state, s] = (after, s.lower() if state else s)
         out[state, "N"] = (_REACH, "O")
         out[state, "E"] = (0, "E")
@@ -68,7 +74,7 @@ def negation() -> dict:
 
 
 def reporting() -> dict:
-    marked = {"I": "J", "i": "j", "T": "S", "t": "s"}
+    marked = {"I": "J", "i": "j", "W": "V", "w": "v", "T": "S", "t": "s"}
     out = {}
     for state in (0, 1):
         for s in "OY":
@@ -82,7 +88,7 @@ def reporting() -> dict:
 
 def clauses() -> dict:
     """States: 0 nothing yet, 1 a target was seen, or the pattern that waits for a target."""
-    hits = "IiJjTtSs"
+    hits = "IiJjWwVvTtSs"
     out: dict = {}
     for state in (0, 1, *hits):
         waits = state if isinstance(state, str) else ""
@@ -117,13 +123,16 @@ class Grammar:
 
     words: dict[str, str] = field(default_factory=lambda: {w: k for k, ws in SEEDS.items() for w in ws.split()})
     stems: dict[str, str] = field(default_factory=dict)
-    weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULTS))
+    weights: dict[tuple[str, int], float] = field(default_factory=lambda: {(p, n): w * math.log2(1 + n) for p, w in DEFAULTS.items() for n in range(1, _MANY + 1)})
     slope: float = 1.0
     base: float = -2.5
 
     def score(self, patterns: Counter) -> float:
-        x = sum(self.weights[p] * math.log2(1 + n) for p, n in patterns.items())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * x))))
+        x = self.base + self.slope * self.evidence(patterns)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    def evidence(self, patterns: dict[str, int]) -> float:
+        return sum(self.weights[p, min(n, _MANY)] for p, n in patterns.items())
 
 
 class Matcher:
@@ -149,7 +158,7 @@ class Matcher:
         state, machine, symbol = 0, self.machine, self.symbol
         for part in stretches(text.lower()):
             tokens = _TOKEN.findall(part)
-            if not any(symbol(w) in "IT" for w in set(tokens)):
+            if not any(symbol(w) in "IWT" for w in set(tokens)):
                 found.update(machine[state, "E"][1])
                 state = 0
                 continue
@@ -204,27 +213,39 @@ def _document_counts(part: DataFrame, only: frozenset | None, least: int, most:
     return {r["feature"]: r["n"] for r in total.orderBy(F.desc("n"), "feature").limit(most).collect()}
 
 
-def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, odds: float) -> tuple[list[str], list[str]]:
-    """Words and stems at least ``odds`` times as frequent in toxic texts.
+def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, odds: float) -> tuple[dict[str, str], dict[str, str]]:
+    """Words and stems with their symbol: W if ``odds`` / 5 times as frequent in toxic texts, I from ``odds`` on.
 
-    Of the stems of a word the shortest such one is taken, and then lengthened as long as
-    it keeps 95 % of its texts.
+    Of the stems of a word the shortest such one is taken, and lengthened as long as it
+    keeps 95 % of its texts. Chance alone would bring up one feature in ten million.
     """
-    sure = {f for f, n in toxic.items() if (n + 0.5) / (n_toxic + 1) >= odds * (clean.get(f, 0) + 0.5) / (n_clean + 1)}
-    stems = set()
+
+    def ratio(f: str) -> float:
+        return (toxic[f] + 0.5) / (n_toxic + 1) / ((clean.get(f, 0) + 0.5) / (n_clean + 1))
+
+    def telling(f: str) -> bool:
+        n, r = toxic[f], ratio(f)
+        return r >= odds / 5 and n * math.log(r) - n + n / r >= 7 * math.log(10)
+
     longer: dict[str, str] = {}
     for f in toxic:
         if not f.endswith("$") and (f[:-1] not in longer or toxic[f] > toxic[longer[f[:-1]]]):
             longer[f[:-1]] = f
-    for f in sorted(sure):
-        if f.endswith("$") or any(f[:n] in sure for n in _STEM if n < len(f)):
+    words: dict[str, str] = {}
+    stems: dict[str, str] = {}
+    begun: set[str] = set()
+    for f in sorted(filter(telling, toxic), key=lambda f: (f.endswith("$"), len(f), f)):
+        if any(f[:n] in begun for n in _STEM):
+            continue
+        if f.endswith("$"):
+            words[f[:-1]] = "I" if ratio(f) >= odds else "W"
             continue
+        begun.add(f)
         full = toxic[f]
         while f in longer and toxic[longer[f]] >= 0.95 * full:
             f = longer[f]
-        stems.add(f)
-    words = [f[:-1] for f in sorted(sure) if f.endswith("$") and not any(f[:n] in sure for n in _STEM if n < len(f))]
-    return words, sorted(stems)
+        stems[f] = "I" if ratio(f) >= odds else "W"
+    return words, stems
 
 
 def _vectors(grammar: Grammar):
@@ -273,18 +294,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return grammar
     toxic = _document_counts(train.where("toxic = 1"), None, least, most_features)
     clean = _document_counts(train.where("toxic = 0"), frozenset(toxic), 1, most_features)
-    words, stems = lexicon(toxic, clean, n_toxic, n_clean, odds)
-    grammar.words = dict.fromkeys(words, "I") | grammar.words
-    grammar.stems = dict.fromkeys(stems, "I")
+    words, grammar.stems = lexicon(toxic, clean, n_toxic, n_clean, odds)
+    grammar.words = words | grammar.words
     seen = train.mapInArrow(_vectors(grammar), "toxic int, patterns string").groupBy("patterns").agg(
         F.sum(F.expr("int(toxic = 0)")).alias("clean"), F.sum(F.expr("int(toxic = 1)")).alias("toxic")
     )
     rows = [({k: int(v) for k, v in (p.split(":") for p in r["patterns"].split())}, r["clean"], r["toxic"]) for r in seen.collect()]
-    for p, default in DEFAULTS.items():
-        pos = sum(t for v, _, t in rows if p in v) + math.exp(default)
-        neg = sum(c for v, c, _ in rows if p in v) + 1.0
-        grammar.weights[p] = max(0.0, math.log(pos / neg) - math.log((n_toxic + 1) / (n_clean + 1)))
-    points = [(sum(grammar.weights[p] * math.log2(1 + n) for p, n in v.items()), c, t) for v, c, t in rows]
+    for p in DEFAULTS:
+        before = 0.0
+        for n in range(1, _MANY + 1):
+            prior = math.exp(grammar.weights[p, n])
+            pos = sum(t for v, _, t in rows if min(v.get(p, 0), _MANY) == n) / (n_toxic + 1)
+            neg = sum(c for v, c, _ in rows if min(v.get(p, 0), _MANY) == n) / (n_clean + 1)
+            few = 1.0 / (n_clean + 1)
+            before = grammar.weights[p, n] = max(before, math.log((pos + few * prior) / (neg + few)))
+    points = [(grammar.evidence(v), c, t) for v, c, t in rows]
     grammar.slope, grammar.base = calibrate(points)
     return grammar
 
