@@ -10,9 +10,9 @@ clause pattern: a target, negation or reporting word alone emits nothing.
 
 Fitting uses a sample of labelled rows, ``sample`` of them at most, chosen by a hash
 of the id. It extends the seed words by words and word stems that are several times as
-frequent in toxic texts (strong from ``odds``, weak from ``odds`` / 5 on), sets the
-weight of every pattern and number of matches from its log odds, and calibrates the
-score. Everything else covers all rows and whole texts.
+frequent in toxic texts, strong and weak ones apart (``lexicon``), sets the
+weight of each number of matches of a kind from its log odds, and calibrates the score.
+Negated and reported matches count less, matches with a target in their clause more. Everything else covers all rows and whole texts.
 
 Null and empty texts have no patterns; their score is the calibrated base rate of
 such texts. Rows with a null id are scored, are not held out and are not learnt from.
@@ -45,13 +45,16 @@ SEEDS = {
     "N": "not never no none neither nor without isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais aucun nunca ni sin",
     "R": "said says say wrote writes called calls quoted quotes claimed claims reported according sagte sagt schrieb dit écrit selon dijo dice según",
 }
-#: default weights: insult or threat, lowered by negation or reporting, raised by a target
-DEFAULTS = {
-    f"{k}{t}": w + 0.5 * bool(t)
-    for k, w in {"I": 2.5, "i": 0.8, "J": 1.2, "j": 0.4, "W": 0.8, "w": 0.3, "V": 0.4, "v": 0.1, "T": 3.0, "t": 1.0, "S": 1.5, "s": 0.5}.items()
+#: what one match of a pattern counts: less if negated or reported, more with a target in its clause
+COUNTS = {
+    f"{k}{t}": round(n + 0.25 * bool(t), 2)
+    for k, n in {"I": 1.0, "i": 0.5, "J": 0.75, "j": 0.4, "W": 1.0, "w": 0.5, "V": 0.75, "v": 0.4, "T": 1.0, "t": 0.5, "S": 0.75, "s": 0.4}.items()
     for t in ("", "+")
 }
-_MANY = 4  # matches of one pattern that count alike from here on
+_KIND = {p: {"I": "I", "J": "I", "W": "W", "V": "W", "T": "T", "S": "T"}[p[0].upper()] for p in COUNTS}
+#: weight of one match of each kind before any label is seen
+DEFAULTS = {"I": 2.5, "W": 0.8, "T": 3.0}
+_MANY = 4  # matches of one kind that weigh alike from here on
 _REACH = 3  # words a negation reaches forward
 _STRETCH = 1 << 20
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
@@ -123,7 +126,7 @@ class Grammar:
 
     words: dict[str, str] = field(default_factory=lambda: {w: k for k, ws in SEEDS.items() for w in ws.split()})
     stems: dict[str, str] = field(default_factory=dict)
-    weights: dict[tuple[str, int], float] = field(default_factory=lambda: {(p, n): w * math.log2(1 + n) for p, w in DEFAULTS.items() for n in range(1, _MANY + 1)})
+    weights: dict[tuple[str, int], float] = field(default_factory=lambda: {(k, n): w * math.log2(1 + n) for k, w in DEFAULTS.items() for n in range(_MANY + 1)})
     slope: float = 1.0
     base: float = -2.5
 
@@ -132,7 +135,20 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
     def evidence(self, patterns: dict[str, int]) -> float:
-        return sum(self.weights[p, min(n, _MANY)] for p, n in patterns.items())
+        """Weights of the counts per kind, between whole numbers on a straight line."""
+        total = 0.0
+        for kind, n in counts(patterns).items():
+            low = min(int(n), _MANY)
+            high = min(low + 1, _MANY)
+            total += self.weights[kind, low] + (n - low) * (self.weights[kind, high] - self.weights[kind, low])
+        return total
+
+
+def counts(patterns: dict[str, int]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for p, n in patterns.items():
+        out[_KIND[p]] = min(_MANY, out.get(_KIND[p], 0.0) + n * COUNTS[p])
+    return out
 
 
 class Matcher:
@@ -214,37 +230,30 @@ def _document_counts(part: DataFrame, only: frozenset | None, least: int, most:
 
 
 def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, odds: float) -> tuple[dict[str, str], dict[str, str]]:
-    """Words and stems with their symbol: W if ``odds`` / 5 times as frequent in toxic texts, I from ``odds`` on.
+    """Words and stems with their symbol: W if ``odds`` / 5 times as frequent in toxic texts, I if
+    3 * ``odds`` times even with two more clean texts.
 
-    Of the stems of a word the shortest such one is taken, and lengthened as long as it
-    keeps 95 % of its texts. Chance alone would bring up one feature in ten million.
+    Of the stems of a word, and the word itself, the one whose counts are the least
+    likely by chance is taken, and none that it begins with or that begins with it.
+    Chance alone would bring up one feature in ten million.
     """
 
     def ratio(f: str) -> float:
         return (toxic[f] + 0.5) / (n_toxic + 1) / ((clean.get(f, 0) + 0.5) / (n_clean + 1))
 
-    def telling(f: str) -> bool:
+    def gain(f: str) -> float:
         n, r = toxic[f], ratio(f)
-        return r >= odds / 5 and n * math.log(r) - n + n / r >= 7 * math.log(10)
+        return n * math.log(r) - n + n / r if r >= odds / 5 else 0.0
 
-    longer: dict[str, str] = {}
-    for f in toxic:
-        if not f.endswith("$") and (f[:-1] not in longer or toxic[f] > toxic[longer[f[:-1]]]):
-            longer[f[:-1]] = f
+    gains = {f: g for f in toxic if (g := gain(f)) >= 7 * math.log(10)}
     words: dict[str, str] = {}
     stems: dict[str, str] = {}
     begun: set[str] = set()
-    for f in sorted(filter(telling, toxic), key=lambda f: (f.endswith("$"), len(f), f)):
-        if any(f[:n] in begun for n in _STEM):
-            continue
-        if f.endswith("$"):
-            words[f[:-1]] = "I" if ratio(f) >= odds else "W"
+    for f in sorted(gains, key=lambda f: (-gains[f], f.endswith("$"), -len(f), f)):
+        if f in begun or any(f[:n] in stems for n in _STEM if n < len(f)) or f.endswith("$") and any(f[:n] in begun for n in (len(f) - 1,)):
             continue
-        begun.add(f)
-        full = toxic[f]
-        while f in longer and toxic[longer[f]] >= 0.95 * full:
-            f = longer[f]
-        stems[f] = "I" if ratio(f) >= odds else "W"
+        (words if f.endswith("$") else stems)[f.rstrip("$")] = "I" if ratio(f) * (clean.get(f, 0) + 0.5) >= 3 * odds * (clean.get(f, 0) + 2) else "W"
+        begun.update(f[:n] for n in _STEM if n < len(f) + 1)
     return words, stems
 
 
@@ -300,14 +309,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.sum(F.expr("int(toxic = 0)")).alias("clean"), F.sum(F.expr("int(toxic = 1)")).alias("toxic")
     )
     rows = [({k: int(v) for k, v in (p.split(":") for p in r["patterns"].split())}, r["clean"], r["toxic"]) for r in seen.collect()]
-    for p in DEFAULTS:
+    binned = [({k: max(1, round(n)) for k, n in counts(v).items()}, c, t) for v, c, t in rows]
+    for kind in DEFAULTS:
         before = 0.0
         for n in range(1, _MANY + 1):
-            prior = math.exp(grammar.weights[p, n])
-            pos = sum(t for v, _, t in rows if min(v.get(p, 0), _MANY) == n) / (n_toxic + 1)
-            neg = sum(c for v, c, _ in rows if min(v.get(p, 0), _MANY) == n) / (n_clean + 1)
             few = 1.0 / (n_clean + 1)
-            before = grammar.weights[p, n] = max(before, math.log((pos + few * prior) / (neg + few)))
+            pos = sum(t for v, _, t in binned if v.get(kind) == n) / (n_toxic + 1)
+            neg = sum(c for v, c, _ in binned if v.get(kind) == n) / (n_clean + 1)
+            before = grammar.weights[kind, n] = max(before, math.log((pos + few * math.exp(grammar.weights[kind, n])) / (neg + few)))
     points = [(grammar.evidence(v), c, t) for v, c, t in rows]
     grammar.slope, grammar.base = calibrate(points)
     return grammar
