@@ -211,3 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = part.select(F.col("id").alias("rep"), "component")
     out = member.join(root, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the least id of their group of near-duplicates; rows that repeat id and text once."""
+    stay = near_duplicates(docs, id_col, text_col, size, percent).where("kept").select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    known = docs.join(stay, id_col, "left_semi")
+    once = known.withColumn("_text_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    return once.select(docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, extract, minhash, mixing, suffixes, tiling, tokens, toxicity
+from . import archives, embeddings, extract, licenses, minhash, mixing, suffixes, tiling, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,25 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "n_copies", "shuffle_key")
 
 
+OP6_SQL = """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages
+), marked AS (SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, sha1(p) AS h FROM page WHERE page_id IS NOT NULL
+), first AS (SELECT h, max(page_id) AS first FROM marked GROUP BY h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM marked JOIN first USING (h)
+"""
+
+
+@query("op6_warc_packages", OP6_SQL)
+def op6_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = archives.write_packages(table(spark, sf_dir, "pages"), least_bytes=0)
+    return archives.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -162,6 +181,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_notices(table(spark, sf_dir, "documents"), containment=0.8)
+    return found.withColumn("n_licenses", F.size("licenses"))
+
+
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

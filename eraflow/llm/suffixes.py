@@ -371,3 +371,37 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = texts.schema["id"].dataType.simpleString()
     out = both.mapInArrow(_cut, f"id {kind}, spans array<struct<begin:bigint,end:bigint>>, kept binary, n_removed bigint")
     return out.select(F.col("id").alias(id_col), "spans", "kept", "n_removed")
+
+
+def _trim(text_col: str):
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, runs in zip(batch.column(text_col), batch.column("_spans").to_pylist()):
+                if not runs:
+                    texts.append(text.as_py())
+                    continue
+                raw, at, parts = text.as_buffer().to_pybytes(), 0, []
+                for r in runs:  # only characters that lie in the span as a whole
+                    begin, end = r["begin"], r["end"]
+                    while begin < end and raw[begin] & 0xC0 == 0x80:
+                        begin += 1
+                    while end > begin and end < len(raw) and raw[end] & 0xC0 == 0x80:
+                        end -= 1
+                    parts.append(raw[at:begin])
+                    at = end
+                texts.append(b"".join([*parts, raw[at:]]).decode())
+            at = batch.schema.get_field_index(text_col)
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(["_spans"])
+
+    return run
+
+
+def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+    """``docs`` with the characters that lie within repeated spans taken out of the text, other columns as they are."""
+    found = repeated_spans(docs, id_col, text_col, length)
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    spans_of = found.groupBy(key.alias("_k"), F.col("text_key").alias("_text_key")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
+    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_text_key", F.xxhash64(text_col))
+    both = keyed.join(spans_of, ["_k", "_text_key"], "left").select(*docs.columns, "_spans")
+    return both.mapInArrow(_trim(text_col), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

@@ -139,3 +139,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, text_key, item_ids, coverage): rows that cover ``threshold`` of an item; coverage is the largest."""
     hit = coverage(docs, items, id_col, text_col, item_col, item_text, seed).where(F.col("coverage") >= threshold)
     return hit.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that cover no benchmark item, all columns as they are."""
+    hit = contaminated(docs, items, id_col, text_col, **settings).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_k"), F.col("text_key").alias("_text_key"))
+    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_text_key", F.xxhash64(text_col))
+    return keyed.join(hit, ["_k", "_text_key"], "left_anti").select(docs.columns)

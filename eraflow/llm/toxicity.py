@@ -343,6 +343,23 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     return out.select(F.col("id").alias(id_col), "score", "n_patterns", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def _added(grammar: Grammar, text_col: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(grammar)
+        for batch in pieces(batches, text_col):
+            found = [grammar.score(matcher.patterns(t or "")) for t in batch.column(text_col).to_pylist()]
+            yield batch.append_column(name, pa.array(found, pa.float64()))
+
+    return run
+
+
+def clean(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, all columns as they are."""
+    name = "_score" + "_" * max((len(c) for c in docs.columns), default=0)  # clashes with no column
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(_added(grammar, text_col, name), f"{kinds}, `{name}` double").where(F.col(name) < threshold).drop(name)
+
+
 def is_held_out(id_col: str = "doc_id"):
     """Rows kept from learning: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
