@@ -4,17 +4,16 @@
    give its minima; a signature keeps 16 bits of each, and ``rows`` of them make one
    band key. Texts with equal sets collapse to their least id before anything else,
    so copies cost one row each, however many there are.
-2. Texts that share a band key meet in a bucket. No pairs are made inside a bucket:
-   every member is paired with the bucket's pivot only. Pairs whose set sizes rule a
-   link out, or whose signatures agree in too few of their lowest bits, are dropped
-   (a pair of similarity 0.8 agrees in 115 of 128 bits in the mean, and in less than
-   95 with a chance of 1e-8). The pivot with which a member shares most buckets is then
-   compared on full sets.
-3. Components of the confirmed links come from alternating large-star and small-star.
-   Pivot pairs that still lie in different components are compared next; last, in
-   buckets that hold more than one component, members outside the pivot's component
-   are compared with the bucket's members in other components. After that no
-   candidate pair across components is left untested.
+2. Texts that share a band key meet in a bucket, whose pivot is one of them. No pairs
+   are made inside a bucket: in three rounds over more and more bands, a text is compared
+   with one pivot, that with which it shares most buckets. Components of the confirmed
+   links follow, and later rounds only look into buckets that still hold several.
+3. Last, texts that share a bucket but lie in different components are compared, each
+   pair once, so no candidate pair across components is left untested.
+4. Before full sets are compared, pairs whose set sizes rule a link out, or whose
+   signatures differ in too many of their lowest bits, are dropped (a pair of similarity
+   0.8 differs in 13 of 128 bits in the mean, and in more than 31 with a chance of 2e-8).
+   Components come from alternating large-star and small-star.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares no bucket with a chance of 5e-8.
 
@@ -152,12 +151,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stored(both.mapInArrow(_linked(percent), "a bigint, b bigint").distinct(), "links")
 
 
-def _component(df: DataFrame, part: DataFrame, column: str) -> DataFrame:
+def _component(df: DataFrame, part: DataFrame | None, column: str) -> DataFrame:
     """Adds the component of ``column`` as c<column>; a node without links is its own."""
+    if part is None:
+        return df.withColumn("c" + column, F.col(column))
     found = part.select(F.col("id").alias(column), F.col("component").alias("c" + column))
     return df.join(found, column, "left").withColumn("c" + column, F.coalesce("c" + column, column))
 
 
+def _most_bits(count: int, similarity: float) -> int:
+    """Bits in which a pair of that similarity may differ, 5.5 standard deviations above the mean."""
+    differ = (1 - similarity) / 2
+    return int(count * differ + 5.5 * (count * differ * (1 - differ)) ** 0.5)
+
+
+def _mixed_buckets(placed: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, ca, band, key) of the bands from ``low`` to ``high``, and the buckets that hold several components with their pivot b."""
+    rowed = placed.select("a", "ca", F.posexplode(F.slice("bands", low + 1, high - low)).alias("at", "key")).select("a", "ca", (F.col("at") + low).alias("band"), "key")
+    seen = rowed.groupBy("band", "key").agg(F.min_by("a", F.xxhash64("a")).alias("b"), F.min("ca").alias("least"), F.max("ca").alias("most"))
+    return rowed, stored(seen.where("least <> most").select("band", "key", "b"), "mixed")
+
+
+def _best_pivots(alone: DataFrame, part: DataFrame | None, low: int, high: int, test: str) -> DataFrame:
+    """For each text the pivot it shares most mixed buckets with, if that lies in another component and may be a link."""
+    placed = _component(alone, part, "a")
+    rowed, mixed = _mixed_buckets(placed, low, high)
+    pairs = rowed.join(mixed, ["band", "key"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    best = stored(pairs.groupBy("a").agg(F.max_by("b", "shared").alias("b")), "best")
+    other = placed.select(F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
+    both = best.join(placed.select("a", "ca", "n", "bits"), "a").join(other, "b")
+    return stored(both.where(f"ca <> cb and {test}").select("a", "b").distinct(), "first")
+
+
+def _rest(alone: DataFrame, part: DataFrame | None, bands: int, test: str) -> DataFrame:
+    """All pairs of one bucket, in different components, that may be links. A pair that shares several
+    buckets is made in the first one."""
+    placed = _component(alone, part, "a")
+    rowed, mixed = _mixed_buckets(placed, 0, bands)
+    inside = rowed.join(mixed, ["band", "key"]).join(placed.select(F.col("a").alias("b"), F.col("ca").alias("cb")).distinct(), "b")
+    inside = stored(inside.join(placed.select("a", "n", "bits", "bands"), "a").select("band", "key", "a", "ca", "cb", "n", "bits", "bands"), "inside")
+    out = inside.where("ca <> cb").select(
+        "band", "key", F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands")
+    )
+    once = "array_position(zip_with(bands, other_bands, (p, q) -> p = q), true) = band + 1"
+    meet = inside.join(stored(out, "outside"), ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {test} and {once}")
+    return stored(meet.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct(), "late")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable), kept.
@@ -174,42 +214,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id"))
     shown = [F.when(F.col("id") == rep, F.col(c)).alias(c) for c in ("bands", "bits")]
     member = stored(marked.join(equal, same, "left").select("id", F.col("n_shingles").alias("n"), rep.alias("rep"), *shown), "members")
-    alone = member.where("bands is not null")
-    rowed = alone.select(F.col("id").alias("a"), F.posexplode("bands").alias("band", "key"))
-    bucket = ["band", "key"]
-    pivots = stored(
-        rowed.groupBy(*bucket).agg(F.count("*").alias("m"), F.min_by("a", F.xxhash64("a")).alias("b")).where("m > 1").drop("m"), "pivots"
-    )
-    inside = stored(rowed.join(pivots, bucket), "inside")  # members of buckets with more than one text
-    traits = stored(alone.select("id", "n", "bits"), "traits")
-    pairs = stored(inside.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
-    few = int(bands * rows * (1 - percent / 100) / 2 + 6 * (bands * rows * (percent / 100 + 1) / 2 * (1 - percent / 100) / 2) ** 0.5)
-    test = _compatible(percent, few)
-    near = pairs.join(traits.withColumnRenamed("id", "a"), "a").join(traits.select(F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits")), "b")
-    near = stored(near.where(test).select("a", "b", "shared"), "near")
-    first = stored(near.groupBy("a").agg(F.max_by("b", "shared").alias("b")), "first")
-    links = _verified(first, texts, size, percent)
-    part = stored(connected(links), "part")
-
-    rest = near.select("a", "b").join(first, ["a", "b"], "left_anti")
-    rest = stored(_component(_component(rest, part, "a"), part, "b").where("ca <> cb").select("a", "b"), "rest")
-    if not rest.isEmpty():
-        links = stored(links.union(_verified(rest, texts, size, percent)), "links")
-        part = stored(connected(links), "part")
-
-    placed = _component(_component(inside, part, "a"), part, "b").join(traits.withColumnRenamed("id", "a"), "a")
-    placed = stored(placed.select(*bucket, "a", "b", "ca", "cb", "n", "bits"), "placed")
-    other = [F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits")]
-    outside = stored(placed.where("ca <> cb").select(*bucket, *other), "outside")
-    if not outside.isEmpty():
-        # the pivot itself has met every member; two outsiders meet once
-        meet = placed.join(outside, bucket).where(f"a <> b and ca <> cx and (ca = cb or x < a) and {test}")
-        late = stored(meet.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct(), "late")
-        if not late.isEmpty():
-            part = stored(connected(links.union(_verified(late, texts, size, percent))), "part")
+    alone = member.where("bands is not null").select(F.col("id").alias("a"), "n", "bits", "bands")
+    test = _compatible(percent, _most_bits(bands * rows, percent / 100))
+    links = part = None
+    for low, high in ((0, 2), (2, bands // 4), (bands // 4, bands)):
+        first = _best_pivots(alone, part, low, high, test)
+        if not first.isEmpty():
+            fresh = _verified(first, texts, size, percent)
+            links = fresh if links is None else stored(links.union(fresh), "links")
+            part = stored(connected(links), "part")
+    late = _rest(alone, part, bands, test)
+    if not late.isEmpty():
+        fresh = _verified(late, texts, size, percent)
+        part = stored(connected(fresh if links is None else links.union(fresh)), "part")
+    if part is None:
+        return _result(member.withColumn("component", F.lit(None).cast("bigint")), id_col)
 
     root = part.select(F.col("id").alias("rep"), "component")
-    out = member.join(root, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    return _result(member.join(root, "rep", "left"), id_col)
+
+
+def _result(found: DataFrame, id_col: str) -> DataFrame:
+    out = found.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
