@@ -22,20 +22,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .grouped import weighted_means
 from .rolling import Series, diff, lag
 from .safe import div, num
 
 _FORGET = 46.0  # -ln(1e-20)
-WINDOW_LIMIT = 8
 
 
 @dataclass(frozen=True)
 class Ewm:
     """One weighted mean: ``out`` = mean of ``src`` with smoothing ``alpha``.
 
-    adjust=True divides by the sum of weights, adjust=False starts the
-    recurrence at the first value (its input must have no inner holes).
+    adjust=True divides by the sum of weights; a hole lets older weights decay.
+    adjust=False starts the recurrence at the first value. Over a hole that
+    recurrence has no agreed meaning, so a missing value after the first one is
+    an error when the query runs.
     """
 
     out: str
@@ -61,15 +61,11 @@ def block_length(alpha: float) -> int:
     return int(length)
 
 
-def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series(), method: str = "auto") -> DataFrame:
+def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series()) -> DataFrame:
     """Append every requested weighted mean; all of them share one shuffle by key.
 
-    method="window" is the form described above, "arrow" a vectorised pass per
-    key (see ``grouped``); "auto" takes windows for up to ``WINDOW_LIMIT`` means
-    and the vectorised pass for the wide sets.
+    One form for any number of means: asking for more never changes a column.
     """
-    if method == "arrow" or (method == "auto" and len(specs) > WINDOW_LIMIT):
-        return weighted_means(df, [(s.out, s.src, s.alpha, s.adjust, s.min_periods) for s in specs], w)
     names = df.columns
     smooth = [s for s in specs if s.alpha < 1.0]
     sources = sorted({s.src for s in smooth})
@@ -113,6 +109,8 @@ def add_ewm(df: DataFrame, specs: Sequence[Ewm], w: Series = Series(), method: s
         else:
             rest = num(1.0 - s.alpha)
             value = f"{num(s.alpha)} * {top} + {rest} * _x0_{s.src} * pow({rest}, _pos - _p0_{s.src})"
+            hole = f"raise_error('recursive mean {s.out}: {s.src} has a hole after its first value')"
+            value = f"CASE WHEN _cnt_{s.src} = _pos - _p0_{s.src} + 1 THEN {value} ELSE CAST({hole} AS DOUBLE) END"
         out.append(f"CASE WHEN _cnt_{s.src} >= {s.min_periods} THEN {value} END AS {s.out}")
     return work.selectExpr(*names, *out)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from .rolling import HORIZONS, STAT_WINDOWS, Series
+from .rolling import HORIZONS, Series
 
 Arrays = Mapping[str, np.ndarray]
 
@@ -61,6 +61,20 @@ def _change(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def _deviation(e: np.ndarray, horizons: Sequence[int]) -> np.ndarray:
+    """Sample deviation of the last n values, each window centred on its own mean: one large
+    change leaves no trace once it has left the window, which running sums can't promise."""
+    out = np.full((len(horizons), len(e)), np.nan)
+    for i, n in enumerate(horizons):
+        if n > 1 and len(e) >= n:
+            views = np.lib.stride_tricks.sliding_window_view(e, n)
+            for at in range(0, len(views), 4096):
+                part = views[at : at + 4096]
+                flat = part.max(axis=1) == part.min(axis=1)
+                out[i, n - 1 + at : n - 1 + at + 4096] = np.where(flat, 0.0, part.std(axis=1, ddof=1))
+    return out
+
+
 def _pack(x: np.ndarray, horizons: Sequence[int], absolute: bool, second_order: bool) -> list[np.ndarray]:
     """Return, (|return|,) volatility and gap: one matrix (horizon x row) each."""
     row, h = np.arange(len(x)), np.asarray(horizons)[:, None]
@@ -76,16 +90,9 @@ def _pack(x: np.ndarray, horizons: Sequence[int], absolute: bool, second_order:
         if second_order:
             d = _change(d)
         seen = ~np.isnan(d)
-        # centre on the first change; runs of equal changes have exactly zero deviation
-        e = np.where(seen, d - (d[seen][0] if seen.any() else 0.0), 0.0)
-        before = np.roll(d, 1)
-        fresh = ~((d == before) | (np.isnan(d) & np.isnan(before)))
-        fresh[:1] = True
-        run = np.maximum.accumulate(np.where(fresh, row, 0))
+        e = np.where(seen, d, 0.0)
         ret = np.where(inside, x[None, :] / x[at] - 1, np.nan)
-        s = span(np.cumsum(e))
-        vol = np.sqrt(np.maximum((span(np.cumsum(e * e)) - s * s / h) / (h - 1), 0.0))
-        vol[(row - run + 1)[None, :] >= h] = 0.0
+        vol = _deviation(e, horizons)
         vol[span(np.cumsum(seen)) < h] = np.nan
         gap = x[None, :] / (span(np.cumsum(np.nan_to_num(x))) / h)
         gap[span(np.cumsum(~np.isnan(x))) < h] = np.nan
@@ -145,39 +152,3 @@ def horizon_summary(df: DataFrame, col: str, horizons: Sequence[int] = tuple(HOR
     return df.select(by, at, col).groupBy(by).applyInArrow(
         one, f"{by} {key}, kind string, horizon int, n bigint, mean double, top double"
     )
-
-
-def rolling_bundle(
-    df: DataFrame, cols: Sequence[str], windows: Sequence[int] = tuple(STAT_WINDOWS), w: Series = Series(), keep: Sequence[str] = ()
-) -> DataFrame:
-    """Mean, std, min, max and median per window, min_periods = max(1, n // 2)."""
-    kinds = ["mean", "std", "min", "max", "median"]
-
-    def make(x: Arrays) -> dict:
-        import pandas as pd
-
-        out = {}
-        for c in cols:
-            s = pd.Series(x[c])
-            for n in windows:
-                r = s.rolling(n, min_periods=max(1, n // 2))
-                out |= {f"{c}_{k}_{n}": getattr(r, k)().to_numpy() for k in kinds}
-        return out
-
-    return map_series(df, cols, make, [f"{c}_{k}_{n}" for c in cols for n in windows for k in kinds], w, keep)
-
-
-def weighted_means(df: DataFrame, specs: Sequence[tuple[str, str, float, bool, int]], w: Series = Series()) -> DataFrame:
-    """Exponentially weighted means, (out, source, alpha, adjust, min_periods) each."""
-    specs = [tuple(s) for s in specs]
-
-    def make(x: Arrays) -> dict:
-        import pandas as pd
-
-        series = {c: pd.Series(a) for c, a in x.items()}
-        return {
-            out: series[src].ewm(alpha=alpha, adjust=adjust, min_periods=least).mean().to_numpy()
-            for out, src, alpha, adjust, least in specs
-        }
-
-    return map_series(df, sorted({s[1] for s in specs}), make, [s[0] for s in specs], w)

@@ -172,58 +172,26 @@ def horizon_pack(
 ) -> DataFrame:
     """Return, |return|, volatility and mean gap of each column for many horizons.
 
-    A sliding frame is re-aggregated for every row, so its cost grows with the
-    window length; with dozens of horizons up to 300 rows that dominates. Here
-    each column gets running sums once (of the values, and of the centred
-    one-step changes and their squares), and a window of n rows is the
-    difference of two running sums n rows apart: constant work per row and
-    horizon. Runs of equal changes are detected, so a flat window has exactly
-    zero deviation. second_order=True takes the change of the change.
+    The mean comes from running sums of the values. The deviation of the one-step
+    changes is taken over the window's own rows: differences of running squares
+    would lose all digits for the rest of a series after one large change.
+    second_order=True takes the change of the change.
     """
     base = list(keep) or df.columns
-    step = df.selectExpr("*", f"row_number() {w.over} AS _row", *[f"{pct_change(log1p(c), 1, w)} AS _d_{c}" for c in cols])
+    step = df.selectExpr("*", *[f"{pct_change(log1p(c), 1, w)} AS _d_{c}" for c in cols])
     d = "_d"
     if second_order:
         step = step.selectExpr("*", *[f"{pct_change(f'_d_{c}', 1, w)} AS _dd_{c}" for c in cols])
         d = "_dd"
-    # centre on the first change of the series: deviations are shift-invariant
-    step = step.selectExpr(
-        "*",
-        *[f"{d}_{c} - first({d}_{c}, true) {w.so_far} AS _e_{c}" for c in cols],
-        *[f"CASE WHEN NOT ({d}_{c} <=> lag({d}_{c}) {w.over}) THEN _row END AS _new_{c}" for c in cols],
-    )
-    sums = []
-    for c in cols:
-        sums += [
-            f"sum({c}) {w.so_far} AS _sx_{c}",
-            f"count({c}) {w.so_far} AS _nx_{c}",
-            f"sum(_e_{c}) {w.so_far} AS _se_{c}",
-            f"sum(_e_{c} * _e_{c}) {w.so_far} AS _qe_{c}",
-            f"count(_e_{c}) {w.so_far} AS _ne_{c}",
-            f"max(_new_{c}) {w.so_far} AS _run_{c}",
-        ]
-    step = step.selectExpr("*", *sums)
-    # the running sums n rows before, one projection for all horizons
-    back = [f"lag({p}_{c}, {n}, 0) {w.over} AS {p}_{c}_{n}" for c in cols for n in horizons for p in ("_sx", "_nx", "_se", "_qe", "_ne")]
-    back += [f"lag({c}, {n}) {w.over} AS _x_{c}_{n}" for c in cols for n in horizons]
-    step = step.selectExpr("*", *back)
     out = []
     for c in cols:
         for n in horizons:
-            ret = f"({div(c, f'_x_{c}_{n}')} - 1)"
+            ret = f"({div(c, lag(c, n, w))} - 1)"
             out.append(f"{ret} AS {c}_return_{n}")
             if absolute:
                 out.append(f"abs({ret}) AS {c}_return_abs_{n}")
-
-            def span(p: str, c: str = c, n: int = n) -> str:
-                return f"(coalesce({p}_{c}, 0) - coalesce({p}_{c}_{n}, 0))"
-
-            var = f"greatest(({span('_qe')} - {span('_se')} * {span('_se')} / {n}) / {n - 1}, 0D)"
-            out.append(
-                f"CASE WHEN {span('_ne')} >= {n} THEN "
-                f"CASE WHEN _row - _run_{c} + 1 >= {n} THEN 0D ELSE sqrt({var}) END END AS {c}_volatility_{n}"
-            )
-            out.append(f"CASE WHEN {span('_nx')} >= {n} THEN {div(c, span('_sx') + f' / {n}')} END AS {c}_gap_{n}")
+            out.append(f"{roll_std(f'{d}_{c}', n, w)} AS {c}_volatility_{n}")
+            out.append(f"{div(c, f'({roll_mean(c, n, w)})')} AS {c}_gap_{n}")
     return step.selectExpr(*base, *out)
 
 

@@ -47,8 +47,9 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object] = ATTRIBUTE_DEFA
 
 
 def lenient_number(x: str, default: float, digits: int = 0) -> str:
-    """Text or number to a rounded integer; what does not parse becomes the default."""
-    return f"CAST(round(coalesce(try_cast({x} AS DOUBLE), {num(default)}), {digits}) AS BIGINT)"
+    """Text or number to a rounded integer; what does not parse, is not finite or does not fit becomes the default."""
+    parsed = finite(f"try_cast({x} AS DOUBLE)")
+    return f"coalesce(try_cast(round({parsed}, {digits}) AS BIGINT), CAST(round({num(default)}, {digits}) AS BIGINT))"
 
 
 def sentinel_fill(cols: Sequence[str], value: float = SENTINEL) -> dict[str, str]:
@@ -93,20 +94,25 @@ def first_per_key(df: DataFrame, keys: Sequence[str], priority: Sequence[str]) -
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
 
 
+_FLOAT_MAX = 3.4028234663852886e38
 _INTS = [("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)]
 
 
 def narrow_types(df: DataFrame, cols: Sequence[str] | None = None, floats: bool = True) -> DataFrame:
     """Cast numeric columns to the smallest type that holds their range.
 
-    One aggregation gives all ranges; the driver receives a single row. Doubles
-    become floats (there is no half precision), integers byte, short or int.
+    One aggregation gives all ranges; the driver receives a single row. Integers
+    become byte, short or int. Doubles become floats (there is no half precision)
+    if all finite values lie in the range of a float, and stay doubles otherwise.
     """
     numeric = [f for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and (cols is None or f.name in cols)]
     whole = [f.name for f in numeric if isinstance(f.dataType, T.IntegralType)]
-    casts = {f.name: "float" for f in numeric if floats and isinstance(f.dataType, T.DoubleType)}
-    if whole:
-        row = df.selectExpr(*[f"min({c}) AS lo_{c}" for c in whole], *[f"max({c}) AS hi_{c}" for c in whole]).first()
+    doubles = [f.name for f in numeric if floats and isinstance(f.dataType, T.DoubleType)]
+    casts = {}
+    if whole or doubles:
+        sizes = [f"max(abs({finite(c)})) AS top_{c}" for c in doubles]
+        row = df.selectExpr(*[f"min({c}) AS lo_{c}" for c in whole], *[f"max({c}) AS hi_{c}" for c in whole], *sizes).first()
+        casts = {c: "float" for c in doubles if (row[f"top_{c}"] or 0.0) <= _FLOAT_MAX}
         for c in whole:
             lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
             if lo is None:
@@ -147,14 +153,15 @@ def split_sets(df: DataFrame, target: str = "target", kind: str = "data_type") -
 def carry_forward_missing(df: DataFrame, era: str, current: str, previous: str, cols: Sequence[str], by: str = "ticker") -> DataFrame:
     """Give keys that have the previous era but not the current one a row with their last values.
 
-    ``current`` and ``previous`` are SQL expressions of the two eras.
+    ``current`` and ``previous`` are SQL expressions of the two eras. Rows that were
+    there keep their values, missing ones too.
     """
     now = df.where(f"{era} = {current}").select(by)
     gone = df.where(f"{era} = {previous}").select(by).distinct().join(now, by, "left_anti")
-    rows = df.unionByName(gone.selectExpr(by, f"{current} AS {era}"), allowMissingColumns=True)
+    added = gone.selectExpr(by, f"{current} AS {era}", "true AS _added")
+    rows = df.selectExpr("*", "false AS _added").unionByName(added, allowMissingColumns=True)
     w = Series(by, era)
-    keep = [c for c in df.columns if c not in cols]
-    return rows.selectExpr(*keep, *[f"{filled_forward(c, w)} AS {c}" for c in cols])
+    return rows.selectExpr(*[f"CASE WHEN _added THEN {filled_forward(c, w)} ELSE {c} END AS {c}" if c in cols else c for c in df.columns])
 
 
 def hash_unit(keys: Sequence[str], seed: int) -> str:

@@ -25,6 +25,11 @@ def on_calendar(prices: DataFrame, calendar: DataFrame, at: str = "date", day: s
     return prices.join(F.broadcast(calendar), F.col(at) == F.col(day), "inner")
 
 
+def on_fridays(prices: DataFrame, at: str = "date", day: str = "friday_date") -> DataFrame:
+    """Rows of Fridays, whatever the range of dates; equal to a calendar of all Fridays."""
+    return prices.where(f"weekday({at}) = 4").selectExpr("*", f"{at} AS {day}")
+
+
 def labels_onto_prices(labels: DataFrame, prices: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Right join: every price row, with its label where one exists."""
     return labels.join(prices, list(keys), "right")

@@ -23,8 +23,7 @@ def sector_left(spark, folder):
 
 @query("friday_inner", using("bars") + "SELECT ticker, date, close, date AS friday_date FROM bars WHERE isodow(date) = 5")
 def friday_inner(spark, folder):
-    b = panels.bars(spark, folder).select("ticker", "date", "close")
-    return relate.on_calendar(b, cal.fridays(spark, "1990-01-01", "2010-12-31"))
+    return relate.on_fridays(panels.bars(spark, folder).select("ticker", "date", "close"))
 
 
 _PREP = using("bars", "dim", "labels_w") + """SELECT b.ticker, d.name, b.date AS friday_date, l.data_type, b.close, b.high, b.low, b.volume, d.code,
@@ -37,7 +36,7 @@ def price_right(spark, folder):
     """The data preparation path: prices with sectors, Fridays only, labels joined on."""
     b = panels.bars(spark, folder)
     dim = panels.attributes(spark, folder).select("ticker", "name", "code")
-    fridays = relate.with_attributes(relate.on_calendar(b, cal.fridays(spark, "1990-01-01", "2010-12-31")), dim)
+    fridays = relate.with_attributes(relate.on_fridays(b), dim)
     labels = panels.labels_weekly(spark, folder).selectExpr("ticker", "week_end AS friday_date", "data_type", "target")
     out = relate.labels_onto_prices(labels, fridays, ["ticker", "friday_date"])
     return out.select("ticker", "name", "friday_date", "data_type", "close", "high", "low", "volume", "code", "target")

@@ -98,7 +98,8 @@ _STAT5 = _STAT | {"median": "median"}
     B + "SELECT ticker, date, " + sql_singles({f"close_{k}_{n}": _gate(f, "close", n, max(1, n // 2)) for n in rl.STAT_WINDOWS for k, f in _STAT5.items()}) + " FROM bars",
 )
 def rolling_stats(spark, folder):
-    return singles(grouped.rolling_bundle(panels.bars(spark, folder), ["close"], keep=["ticker", "date"]))
+    b = panels.bars(spark, folder)
+    return singles(b.selectExpr("ticker", "date", *named(rl.rolling_stats(["close"]))))
 
 
 @query(
@@ -111,9 +112,9 @@ def rolling_frames(spark, folder):
     return singles(b.selectExpr("ticker", "date", *named(rl.rolling_stats(["volume"], (5, 10, 20), median=False))))
 
 
-@query("rolling_median", B + "SELECT ticker, date, " + sql_rounding({f"close_median_{n}": _gate("median", "close", n, max(1, n // 2)) for n in (5, 10, 20, 50)}) + " FROM bars")
+@query("rolling_median", B + "SELECT ticker, date, " + sql_rounding({f"close_median_{n}": _gate("median", "close", n, max(1, n // 2)) for n in rl.STAT_WINDOWS}) + " FROM bars")
 def rolling_median(spark, folder):
-    return keys_and(panels.bars(spark, folder), {f"close_median_{n}": rl.roll_median("close", n, DAILY, max(1, n // 2)) for n in (5, 10, 20, 50)})
+    return keys_and(panels.bars(spark, folder), {f"close_median_{n}": rl.roll_median("close", n, DAILY, max(1, n // 2)) for n in rl.STAT_WINDOWS})
 
 
 @query(

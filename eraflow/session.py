@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +28,8 @@ def build_session(app: str = "eraflow", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, laptops) a fresh local folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. A local folder is used only on
+    a ``local`` master; elsewhere executors could not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,8 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    local = os.path.join(tempfile.gettempdir(), "eraflow-checkpoint")
-    spark.sparkContext.setCheckpointDir(local)
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eraflow-"))
     return spark.sparkContext.getCheckpointDir()
 
 

@@ -35,10 +35,9 @@ def noisy(n, keys=3, holes=()):
     return rows
 
 
-@pytest.mark.parametrize("method", ["window", "arrow"])
-def test_ema_forms(spark, method):
+def test_ema_forms(spark):
     df = frame(spark, [1, 2, 3])
-    out = ewm.add_ewm(df, [ewm.Ewm("r", "x", 0.5, adjust=False), ewm.Ewm("n", "x", 0.5)], W, method)
+    out = ewm.add_ewm(df, [ewm.Ewm("r", "x", 0.5, adjust=False), ewm.Ewm("n", "x", 0.5)], W)
     assert column(out, "r") == pytest.approx([1, 1.5, 2.25])
     assert column(out, "n") == pytest.approx([1, 5 / 3, 17 / 7])
 
@@ -48,13 +47,11 @@ def test_ema_blocks_match_pandas(spark):
     df = spark.createDataFrame(rows, "k int, t int, x double")
     pdf = pd.DataFrame(rows, columns=["k", "t", "x"])
     specs = [ewm.by_span("s2", "x", 2), ewm.by_span("s25", "x", 25), ewm.by_span("s200", "x", 200), ewm.wilder("w14", "x", 14)]
-    a = ewm.add_ewm(df, specs, W, "window").orderBy("k", "t").toPandas()
-    b = ewm.add_ewm(df, specs, W, "arrow").orderBy("k", "t").toPandas()
+    a = ewm.add_ewm(df, specs, W).orderBy("k", "t").toPandas()
     args = {"s2": {"span": 2}, "s25": {"span": 25}, "s200": {"span": 200}, "w14": {"com": 13, "min_periods": 14}}
     for name, kw in args.items():
         want = pdf.groupby("k").x.transform(lambda s, kw=kw: s.ewm(**kw).mean()).to_numpy()
         np.testing.assert_allclose(a[name], want, rtol=1e-10)
-        np.testing.assert_allclose(b[name], want, rtol=1e-10)
 
 
 def test_block_length_keeps_two_blocks_exact():
@@ -175,3 +172,33 @@ def test_suffix_country(spark):
     assert [r.c for r in df.selectExpr(f"{clean.suffix_country('t')} AS c").collect()] == ["US", "GB", None]
     assert len(clean.SUFFIX_COUNTRY) == 49
     assert len(rolling.HORIZONS) == 84 and len(rolling.LAG_STEPS) == 28
+
+
+def test_more_means_never_change_one(spark):
+    df = frame(spark, [1, 2, 5, None, None, 6, 3, None, 8])
+    one = [ewm.by_span("m", "x", 5)]
+    more = one + [ewm.by_span(f"m{n}", "x", n) for n in range(2, 22)]
+    alone, among = column(ewm.add_ewm(df, one, W), "m"), column(ewm.add_ewm(df, more, W), "m")
+    want = pd.Series([1, 2, 5, None, None, 6, 3, None, 8], dtype=float).ewm(span=5).mean()
+    np.testing.assert_allclose(np.array(alone, float), want, rtol=1e-12)
+    np.testing.assert_allclose(np.array(among, float), want, rtol=1e-12)
+
+
+def test_recursive_mean_refuses_holes(spark):
+    lead = frame(spark, [None, None, 1, 2, 5])
+    got = column(ewm.add_ewm(lead, [ewm.by_span("m", "x", 5, adjust=False)], W), "m")
+    assert got[:2] == [None, None]
+    np.testing.assert_allclose(got[2:], pd.Series([1.0, 2, 5]).ewm(span=5, adjust=False).mean())
+    holed = ewm.add_ewm(frame(spark, [1, 2, None, 5]), [ewm.by_span("m", "x", 5, adjust=False)], W)
+    with pytest.raises(Exception, match="has a hole"):
+        holed.collect()
+
+
+def test_volatility_after_one_large_change(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([[1e-7, 1.0, 1e-6], 1 + np.cumsum(rng.normal(size=400)) * 1e-4])
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, t int, x double")
+    want = np.log1p(pd.Series(x)).pct_change().rolling(20).apply(lambda v: np.std(v, ddof=1), raw=True)
+    for form in (rolling, grouped):
+        got = form.horizon_pack(df, ["x"], [20], W).orderBy("t").toPandas()["x_volatility_20"]
+        np.testing.assert_allclose(got, want, rtol=1e-6)

@@ -149,3 +149,47 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).where("friday_date = 2").count() == 25
     sinks.write_csv(df, str(tmp_path / "c"))
     assert readers.read_csv(spark, str(tmp_path / "c"), "id bigint, friday_date bigint", ["id"]).count() == 100
+
+
+def test_assets_of_any_type_and_order(spark):
+    rows = [(t, d, 100.0 + 7 * i + (d * (3 + i)) % 11) for i, t in enumerate(["BBB US", "AAA", "O'X"]) for d in range(30)]
+    prices = spark.createDataFrame(rows, "ticker string, date int, close double")
+    assets = ["BBB US", "AAA", "O'X"]
+    returns = portfolio.simple_returns(prices)
+    matrix = portfolio.return_matrix(returns, assets)
+    wide = pd.DataFrame(rows, columns=["t", "d", "c"]).pivot(index="d", columns="t", values="c").pct_change().dropna()
+    cov = {(r["a"], r["b"]): r["cov"] for r in portfolio.annualised_covariance(matrix, assets).collect()}
+    assert len(cov) == 9
+    for (a, b), v in cov.items():
+        assert v == pytest.approx(wide[a].cov(wide[b]) * 252)
+    mean = {r["asset"]: r["annual_return"] for r in portfolio.annualised_returns(matrix, assets).collect()}
+    assert mean["O'X"] == pytest.approx((1 + wide["O'X"]).prod() ** (252 / len(wide)) - 1)
+    weights = spark.createDataFrame([(1, a, 0.5 if a == "AAA" else 0.25) for a in assets], "portfolio_id int, asset string, weight double")
+    scored = portfolio.score_portfolios(weights, portfolio.annualised_returns(matrix, assets), portfolio.annualised_covariance(matrix, assets), assets).first()
+    w = np.array([0.5 if a == "AAA" else 0.25 for a in assets])
+    assert scored["port_std"] == pytest.approx(np.sqrt(w @ (wide[assets].cov().to_numpy() * 252) @ w), abs=1e-4)
+    numbers = spark.createDataFrame([(t, d, 50.0 + (d * (t + 2)) % 7) for t in (1, 3) for d in range(20)], "ticker int, date int, close double")
+    two = portfolio.annualised_covariance(portfolio.return_matrix(portfolio.simple_returns(numbers), [3, 1]), [3, 1])
+    assert {(r["a"], r["b"]) for r in two.collect()} == {(1, 1), (1, 3), (3, 1), (3, 3)}
+    assert {r["pair"] for r in cross.pair_spreads(prices, assets).collect()} == {"BBB US_AAA", "BBB US_O'X", "AAA_O'X"}
+
+
+def test_awkward_numbers(spark):
+    texts = [("1.6",), ("NaN",), ("Infinity",), ("1e30",), ("x",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(texts, "v string").selectExpr(clean.lenient_number("v", 7) + " AS n").collect()]
+    assert got == [2, 7, 7, 7, 7, 7]
+    wide = spark.createDataFrame([(1.0, 1e300), (2.0, float("inf"))], "a double, b double")
+    assert dict(clean.narrow_types(wide).dtypes) == {"a": "float", "b": "double"}
+
+
+def test_carry_forward_leaves_rows_that_were_there(spark):
+    rows = [(1, 1, 5.0), (1, 2, None), (2, 1, 6.0), (3, 2, 7.0)]
+    out = clean.carry_forward_missing(spark.createDataFrame(rows, "ticker int, era int, x double"), "era", "2", "1", ["x"])
+    assert out.columns == ["ticker", "era", "x"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows, (2, 2, 6.0)], key=str)
+
+
+def test_fridays_of_any_year(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'2031-01-01', DATE'2031-01-31')) AS date")
+    got = [r["friday_date"].isoformat() for r in relate.on_fridays(days).collect()]
+    assert got == ["2031-01-03", "2031-01-10", "2031-01-17", "2031-01-24", "2031-01-31"]
