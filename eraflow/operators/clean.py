@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,11 +134,10 @@ def widen_types(df: DataFrame) -> DataFrame:
     )
 
 
-def relabel_live(df: DataFrame, era: str, live_era: str, kind: str = "data_type") -> DataFrame:
-    """Rows of the given era (an expression) become ``live``."""
-    return df.selectExpr(
-        *[c for c in df.columns if c != kind], f"CASE WHEN {era} = {live_era} THEN 'live' ELSE {kind} END AS {kind}"
-    )
+def relabel_live(df: DataFrame, era: str, live_era: Column, kind: str = "data_type") -> DataFrame:
+    """Rows of the given era (a column, such as a scalar subquery) become ``live``."""
+    named = F.when(F.col(era) == live_era, "live").otherwise(F.col(kind)).alias(kind)
+    return df.select(*[c for c in df.columns if c != kind], named)
 
 
 def split_sets(df: DataFrame, target: str = "target", kind: str = "data_type") -> dict[str, DataFrame]:
@@ -150,15 +149,15 @@ def split_sets(df: DataFrame, target: str = "target", kind: str = "data_type") -
     }
 
 
-def carry_forward_missing(df: DataFrame, era: str, current: str, previous: str, cols: Sequence[str], by: str = "ticker") -> DataFrame:
+def carry_forward_missing(df: DataFrame, era: str, current: Column, previous: Column, cols: Sequence[str], by: str = "ticker") -> DataFrame:
     """Give keys that have the previous era but not the current one a row with their last values.
 
-    ``current`` and ``previous`` are SQL expressions of the two eras. Rows that were
+    ``current`` and ``previous`` are columns, such as scalar subqueries. Rows that were
     there keep their values, missing ones too.
     """
-    now = df.where(f"{era} = {current}").select(by)
-    gone = df.where(f"{era} = {previous}").select(by).distinct().join(now, by, "left_anti")
-    added = gone.selectExpr(by, f"{current} AS {era}", "true AS _added")
+    now = df.where(F.col(era) == current).select(by)
+    gone = df.where(F.col(era) == previous).select(by).distinct().join(now, by, "left_anti")
+    added = gone.select(by, current.alias(era), F.lit(True).alias("_added"))
     rows = df.selectExpr("*", "false AS _added").unionByName(added, allowMissingColumns=True)
     w = Series(by, era)
     return rows.selectExpr(*[f"CASE WHEN _added THEN {filled_forward(c, w)} ELSE {c} END AS {c}" if c in cols else c for c in df.columns])
@@ -166,7 +165,8 @@ def carry_forward_missing(df: DataFrame, era: str, current: str, previous: str,
 
 def hash_unit(keys: Sequence[str], seed: int) -> str:
     """Uniform number in [0, 1) from the row key: the same in every run and partitioning."""
-    return f"(pmod(xxhash64({seed}, {', '.join(keys)}), {2**53}) / {float(2**53)!r}D)"
+    text = f"concat_ws('|', '{seed}', {', '.join(f'string({k})' for k in keys)})"
+    return f"(CAST(conv(substring(md5({text}), 1, 13), 16, 10) AS BIGINT) / {float(2**52)!r}D)"
 
 
 def probe_columns(keys: Sequence[str], seed: int = 42) -> dict[str, str]:

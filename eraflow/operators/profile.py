@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,11 +39,11 @@ def number_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(F.expr(f"array({', '.join(stats)}) AS s")).selectExpr("inline(s)")
 
 
-def live_universe(df: DataFrame, recent: str, previous: str, at_least: int = 5, by: str = "ticker", era: str = "week_end") -> DataFrame:
+def live_universe(df: DataFrame, recent: Column, previous: Column, at_least: int = 5, by: str = "ticker", era: str = "week_end") -> DataFrame:
     """Keys whose last era is the recent one; the previous one if fewer than ``at_least`` keys have it."""
     last = df.groupBy(by).agg(F.max(era).alias(era))
-    enough = last.selectExpr(f"count_if({era} = {recent}) >= {at_least}").scalar()
-    return last.where(F.col(era) == F.when(enough, F.expr(recent)).otherwise(F.expr(previous)))
+    enough = last.select((F.count_if(F.col(era) == recent) >= at_least).alias("enough")).scalar()
+    return last.where(F.col(era) == F.when(enough, recent).otherwise(previous))
 
 
 def crosstab_percent(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:

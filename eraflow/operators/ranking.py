@@ -24,6 +24,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 SLICES = 32
 _PER_CUT = 4  # sampled keys per cut point
 
@@ -135,6 +137,18 @@ def dense_codes(df: DataFrame, column: str, out: str = "code", slices: int = 128
     return add_rank(values, [], column, [], "_rank", slices=slices).selectExpr(column, f"_rank - 1 AS {out}")
 
 
+def label_codes(df: DataFrame, key: str, columns: Sequence[str], slices: int = 128) -> DataFrame:
+    """``key`` (unique) and <column>_code per column: the 0-based position in the sorted distinct values.
+
+    All columns are unpivoted and ranked together, so their number multiplies no pass.
+    """
+    long = df.select(key, *columns).unpivot([key], list(columns), "_what", "_value")
+    pairs = durable(long.where("_value IS NOT NULL").select("_what", "_value").distinct())
+    codes = add_rank(pairs, ["_what"], "_value", [], "_rank", slices=slices)
+    coded = long.join(codes, ["_what", "_value"], "left")
+    return coded.groupBy(key).agg(*[F.expr(f"CAST(max(CASE WHEN _what = '{c}' THEN _rank - 1 END) AS BIGINT) AS {c}_code") for c in columns])
+
+
 def add_quantile_bucket(
     df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str], buckets: int = 5, out: str = "bucket", slices: int = SLICES
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import calendar as cal
 from ..functions.rolling import filled, lag, log_return, pct_change
 from ..functions.safe import clip_low, div, ln, named, rounded, sqrt
 from ..operators import clean
-from ..operators.ranking import dense_codes
+from ..operators.ranking import label_codes
 from ..sources import panels
 from ..sources.panels import DAILY, WEEKLY
 from .registry import query
@@ -148,18 +148,20 @@ def code_prefix(spark, folder):
     return panels.attributes(spark, folder).selectExpr("ticker", "code", *named(clean.code_prefixes()))
 
 
+#: nine text columns, as many as the reference encodes
+_CODED = {
+    "name": "name", "country": "country", "sector": "sector", "code": "code", "code_1": "substring(code, 1, 2)", "code_2": "substring(code, 1, 4)",
+    "code_3": "substring(code, 1, 6)", "country_initial": "substring(country, 1, 1)", "name_end": "substring(name, -2, 2)",
+}
+
+
 @query(
     "label_encode",
-    using("dim") + """SELECT ticker, CAST(dense_rank() OVER (ORDER BY name) - 1 AS BIGINT) AS name_code,
- CAST(dense_rank() OVER (ORDER BY country) - 1 AS BIGINT) AS country_code,
- CAST(dense_rank() OVER (ORDER BY sector) - 1 AS BIGINT) AS sector_code FROM dim""",
+    using("dim") + "SELECT ticker, " + ", ".join(f"CAST(dense_rank() OVER (ORDER BY {e}) - 1 AS BIGINT) AS {c}_code" for c, e in _CODED.items()) + " FROM dim",
 )
 def label_encode(spark, folder):
-    d = panels.attributes(spark, folder)
-    out = d
-    for c in ("name", "country", "sector"):
-        out = out.join(dense_codes(d, c, f"{c}_code"), c, "left")
-    return out.select("ticker", "name_code", "country_code", "sector_code")
+    d = panels.attributes(spark, folder).selectExpr("ticker", *[f"{e} AS {c}" for c, e in _CODED.items()])
+    return label_codes(d, "ticker", list(_CODED))
 
 
 _SUFFIX = "split_part('US LN JP GY FP HK XX', ' ', CAST(s_suppkey % 7 AS INTEGER) + 1)"
@@ -202,8 +204,8 @@ def select_features(spark, folder):
 )
 def relabel_live(spark, folder):
     w = panels.weekly(spark, folder).selectExpr("ticker", "week_end", "'validation' AS data_type")
-    newest = panels.table(spark, folder, "lineitem").selectExpr(f"max({cal.week_end('CAST(l_shipdate AS DATE)')}) AS d").first().d
-    return clean.relabel_live(w, "week_end", f"DATE'{newest}'")
+    newest = panels.table(spark, folder, "lineitem").selectExpr(f"max({cal.week_end('CAST(l_shipdate AS DATE)')}) AS d").scalar()
+    return clean.relabel_live(w, "week_end", newest)
 
 
 @query(
@@ -250,8 +252,8 @@ SELECT p.ticker, {LAST_WEEK}, p.close, p.volume FROM weekly p WHERE p.week_end =
 )
 def carry_forward_missing(spark, folder):
     w = panels.weekly(spark, folder).select("ticker", "week_end", "close", "volume")
-    newest = panels.table(spark, folder, "lineitem").selectExpr(f"max({cal.week_end('CAST(l_shipdate AS DATE)')}) AS d").first().d
-    return clean.carry_forward_missing(w, "week_end", f"DATE'{newest}'", f"date_sub(DATE'{newest}', 7)", ["close", "volume"])
+    newest = panels.table(spark, folder, "lineitem").selectExpr(f"max({cal.week_end('CAST(l_shipdate AS DATE)')}) AS d").scalar()
+    return clean.carry_forward_missing(w, "week_end", newest, F.date_sub(newest, 7), ["close", "volume"])
 
 
 @query(

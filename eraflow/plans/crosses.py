@@ -71,7 +71,7 @@ def _corr(n):
     return f"CASE WHEN count(a + b) OVER {f} >= {max(2, n // 2)} THEN corr(a, b) OVER {f} END"
 
 
-_CW = (5, 20, 50, 200)
+_CW = tuple(rl.STAT_WINDOWS)
 
 
 @query(
@@ -92,9 +92,19 @@ def column_transforms(spark, folder):
     return panels.bars(spark, folder).selectExpr("ticker", "date", *[f"CAST({e} AS FLOAT) AS {n}" for n, e in t.items()])
 
 
-@query("probe_columns")
+def _unit(seed):
+    return f"(('0x' || substr(md5('{seed}|' || ticker || '|' || date), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "probe_columns",
+    using("bars") + f"""SELECT ticker, date, {_unit(42)} AS random_uniform, {r6(f'sqrt(-2 * ln(1 - {_unit(42)})) * cos(2 * pi() * {_unit(43)})')} AS random_normal,
+ CAST(floor(4 * {_unit(44)}) AS INTEGER) AS random_category FROM bars""",
+)
 def probes(spark, folder):
-    return panels.bars(spark, folder).selectExpr("ticker", "date", *named(probe_columns(["ticker", "date"])))
+    e = probe_columns(["ticker", "date"])
+    e["random_normal"] = rounded(e["random_normal"])
+    return panels.bars(spark, folder).selectExpr("ticker", "date", *named(e))
 
 
 @query(

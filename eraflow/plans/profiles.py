@@ -70,8 +70,8 @@ def number_profile(spark, folder):
 )
 def live_universe(spark, folder):
     w = panels.bars(spark, folder).selectExpr("ticker", f"{cal.week_end()} AS week_end")
-    newest = w.agg(F.max("week_end").alias("d")).first().d
-    return profile.live_universe(w, f"DATE'{newest}'", f"date_sub(DATE'{newest}', 7)")
+    newest = w.agg(F.max("week_end").alias("d")).scalar()
+    return profile.live_universe(w, newest, F.date_sub(newest, 7))
 
 
 _FLAG = ["A", "N", "R"]

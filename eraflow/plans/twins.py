@@ -52,7 +52,8 @@ rsid AS (
          arg_max(ret5, date) AS ret5, arg_max(rsi, date) AS rsi
   FROM rsid GROUP BY 1, 2)""",
     "labels_w": """forward AS (
-  SELECT ticker, week_end, lead(close, 4) OVER (PARTITION BY ticker ORDER BY week_end) / close - 1 AS fwd FROM weekly),
+  SELECT ticker, week_end, first(close) OVER (PARTITION BY ticker ORDER BY week_end
+    RANGE BETWEEN INTERVAL 28 DAYS FOLLOWING AND INTERVAL 28 DAYS FOLLOWING) / close - 1 AS fwd FROM weekly),
 labels_w AS (
   SELECT ticker, week_end, fwd,
          CASE WHEN fwd IS NOT NULL THEN

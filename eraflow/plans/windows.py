@@ -48,19 +48,21 @@ def sql_singles(exprs):
 W = "(PARTITION BY ticker ORDER BY date)"
 
 
-@query("lags", B + "SELECT ticker, date, " + ", ".join(f"lag(close, {k}) OVER {W} AS close_lag_{k}" for k in rl.LAG_STEPS) + " FROM bars")
+_OHLCV = ["open", "high", "low", "close", "volume"]
+
+
+@query("lags", B + "SELECT ticker, date, " + ", ".join(f"lag({c}, {k}) OVER {W} AS {c}_lag_{k}" for c in _OHLCV for k in rl.LAG_STEPS) + " FROM bars")
 def lags(spark, folder):
-    return panels.bars(spark, folder).selectExpr("ticker", "date", *named(rl.lags(["close"])))
+    return panels.bars(spark, folder).selectExpr("ticker", "date", *named(rl.lags(_OHLCV)))
 
 
 @query(
     "lags_long",
-    using("bars", extra="""l AS (SELECT ticker, date, 'close' AS feature, close AS value FROM bars UNION ALL SELECT ticker, date, 'volume', volume FROM bars
- UNION ALL SELECT ticker, date, 'high', high FROM bars)""")
-    + "SELECT ticker, date, feature, value, " + ", ".join(f"lag(value, {k}) OVER (PARTITION BY ticker, feature ORDER BY date) AS lag_{k}" for k in (1, 5, 20, 100)) + " FROM l",
+    using("bars", extra="l AS (" + " UNION ALL ".join(f"SELECT ticker, date, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM bars" for c in _OHLCV) + ")")
+    + "SELECT ticker, date, feature, value, " + ", ".join(f"lag(value, {k}) OVER (PARTITION BY ticker, feature ORDER BY date) AS lag_{k}" for k in rl.LAG_STEPS) + " FROM l",
 )
 def lags_long(spark, folder):
-    return rl.lags_long(panels.bars(spark, folder), ["close", "volume", "high"], [1, 5, 20, 100])
+    return rl.lags_long(panels.bars(spark, folder).withColumn("volume", F.col("volume").cast("double")), _OHLCV)
 
 
 @query("first_difference", B + f"SELECT ticker, date, {r6('close - lag(close) OVER ' + W)} AS diff_1 FROM bars")
@@ -68,7 +70,7 @@ def first_difference(spark, folder):
     return keys_and(panels.bars(spark, folder), {"diff_1": rl.diff("close", DAILY)})
 
 
-_K = [1, 4, 20, 40, 60, 251]
+_K = list(rl.HORIZONS)
 
 
 @query(
@@ -77,7 +79,8 @@ _K = [1, 4, 20, 40, 60, 251]
 )
 def pct_changes(spark, folder):
     e = {f"ret_{k}": rl.pct_change("close", k, DAILY) for k in _K}
-    return keys_and(panels.bars(spark, folder), e | {f"abs_{n}": f"abs({x})" for n, x in e.items()})
+    r = panels.bars(spark, folder).selectExpr("ticker", "date", *named(e))
+    return keys_and(r, {n: n for n in e} | {f"abs_{n}": f"abs({n})" for n in e})
 
 
 @query("log_returns", B + "SELECT ticker, date, " + sql_rounding({f"lret_{k}": f"ln(close) - ln(lag(close, {k}) OVER {W})" for k in (1, 2, 3)}) + " FROM bars")

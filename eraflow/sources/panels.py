@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import week_end, weekly_last
 from ..functions.indicators import add_rsi_simple
-from ..functions.rolling import Series, lead, pct_change
+from ..functions.rolling import Series, pct_change
 from ..functions.safe import div
 from ..operators.ranking import percent_ranks
 from ..session import durable
 
 MARKET_ASSETS = list(range(7))
 DAILY, WEEKLY = Series("ticker", "date"), Series("ticker", "week_end")
+_LATER = "first(close) OVER (PARTITION BY ticker ORDER BY unix_date(week_end) RANGE BETWEEN 28 FOLLOWING AND 28 FOLLOWING)"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -113,13 +114,13 @@ def weekly(spark: SparkSession, folder: str) -> DataFrame:
 def weekly_ranks(spark: SparkSession, folder: str, targets: bool = True, models: bool = True) -> DataFrame:
     """Weekly table with percent ranks inside each era.
 
-    ``target``: rank of the return to the ticker's 4th next era (NULL for the
-    newest eras). ``pred_momentum`` and ``pred_reversal``: two deterministic
+    ``target``: rank of the return to the week four weeks later (NULL where the
+    ticker has no bar in that week, as for the newest eras). ``pred_momentum`` and ``pred_reversal``: two deterministic
     models, the rank of the trailing return and of the negated RSI.
     """
     w = durable(
         weekly(spark, folder).selectExpr(
-            "ticker", "week_end", f"{div(lead('close', 4, WEEKLY), 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi"
+            "ticker", "week_end", f"{div(f'({_LATER})', 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi"
         )
     )
     ranks = {"target": "fwd"} if targets else {}

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from eraflow.operators import clean, cross, era, learn, portfolio, profile, ranking, relate
 from eraflow.sources import readers, sinks
@@ -184,7 +185,7 @@ def test_awkward_numbers(spark):
 
 def test_carry_forward_leaves_rows_that_were_there(spark):
     rows = [(1, 1, 5.0), (1, 2, None), (2, 1, 6.0), (3, 2, 7.0)]
-    out = clean.carry_forward_missing(spark.createDataFrame(rows, "ticker int, era int, x double"), "era", "2", "1", ["x"])
+    out = clean.carry_forward_missing(spark.createDataFrame(rows, "ticker int, era int, x double"), "era", F.lit(2), F.lit(1), ["x"])
     assert out.columns == ["ticker", "era", "x"]
     assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows, (2, 2, 6.0)], key=str)
 
