@@ -264,7 +264,7 @@ _RESULT = pa.schema([
 ])
 
 
-def _merge(length: int, most: int = 4 << 20):
+def _merge(length: int, most: int = 2 << 20):
     """Rows sorted by anchor; works through about ``most`` bytes of whole groups at a time."""
 
     def work(rows: list) -> pa.RecordBatch:
