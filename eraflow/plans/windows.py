@@ -75,12 +75,12 @@ _K = list(rl.HORIZONS)
 
 @query(
     "pct_changes",
-    B + "SELECT ticker, date, " + sql_rounding({f"ret_{k}": f"close / lag(close, {k}) OVER {W} - 1" for k in _K} | {f"abs_ret_{k}": f"abs(close / lag(close, {k}) OVER {W} - 1)" for k in _K}) + " FROM bars",
+    B + "SELECT ticker, date, " + sql_singles({f"ret_{k}": f"close / lag(close, {k}) OVER {W} - 1" for k in _K} | {f"abs_ret_{k}": f"abs(close / lag(close, {k}) OVER {W} - 1)" for k in _K}) + " FROM bars",
 )
 def pct_changes(spark, folder):
-    e = {f"ret_{k}": rl.pct_change("close", k, DAILY) for k in _K}
-    r = panels.bars(spark, folder).selectExpr("ticker", "date", *named(e))
-    return keys_and(r, {n: n for n in e} | {f"abs_{n}": f"abs({n})" for n in e})
+    p = grouped.horizon_pack(panels.bars(spark, folder).select("ticker", "date", "close"), ["close"], _K, keep=["ticker", "date"])
+    names = {f"ret_{k}": f"close_return_{k}" for k in _K} | {f"abs_ret_{k}": f"close_return_abs_{k}" for k in _K}
+    return p.selectExpr("ticker", "date", *[f"CAST({c} AS FLOAT) AS {n}" for n, c in names.items()])
 
 
 @query("log_returns", B + "SELECT ticker, date, " + sql_rounding({f"lret_{k}": f"ln(close) - ln(lag(close, {k}) OVER {W})" for k in (1, 2, 3)}) + " FROM bars")
