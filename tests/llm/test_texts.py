@@ -58,9 +58,9 @@ def test_fit_and_score(spark):
         words = sentence(rng, 40).split(" ")
         if bad:
             words[rng.randrange(40)] = rng.choice(["idiot", "grumblix", "grumblor", "scum"])
-        rows.append((i, " ".join(words)))
-        labels.append((i, int(bad)))
-    labels += [(0, 0), (None, 1), (9999, 1), (3, None)]
+        rows.append((1000 + i, " ".join(words)))
+        labels.append((1000 + i, int(bad)))
+    labels += [(1000, 0), (None, 1), (9999, 1), (1003, None)]
     label = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     df = docs(spark, rows + texts()[20:])
     grammar = toxicity.fit(df, label.where(~toxicity.is_held_out()))
@@ -177,7 +177,7 @@ def test_contamination(spark):
     items = [(i, sentence(rng, 40)) for i in range(6)] + [(6, "too short"), (7, None), (8, ""), (None, sentence(rng, 30)), (0, sentence(rng, 40))]
     body = items[2][1].split(" ")
     moved = " ".join(body[20:] + sentence(rng, 7).split(" ") + body[:20])
-    rows = [(1, sentence(rng, 50)), (2, sentence(rng, 30) + " " + items[1][1] + " " + sentence(rng, 5)), (3, moved.upper()), (4, " ".join(body[:15])), (5, None), (6, ""), (None, items[3][1]),
+    rows = [(1, sentence(rng, 50)), (2, sentence(rng, 30) + " " + items[1][1] + " " + sentence(rng, 5)), (3, "".join(c.upper() if c.isascii() else c for c in moved)), (4, " ".join(body[:15])), (5, None), (6, ""), (None, items[3][1]),
             (7, items[10][1]), (8, items[4][1]), (8, "clean " + sentence(rng, 20)), (9, "too short")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     df = docs(spark, rows)
