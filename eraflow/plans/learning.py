@@ -12,9 +12,9 @@ from ..operators import clean, era, learn
 from ..operators.ranking import percent_ranks
 from ..session import durable
 from ..sources import panels, sinks
-from ..sources.panels import DAILY, WEEKLY
+from ..sources.panels import DAILY
 from .registry import query
-from .twins import r6, using
+from .twins import frame, r6, using, week_of
 
 FEATURES = ["ret5", "ret20", "rsi", "gap20", "vol20", "random_uniform"]
 
@@ -28,7 +28,7 @@ def model_table(spark, folder):
     )
     w = weekly_last(b, ["close", "ret5", "ret20", "rsi", "gap20", "vol20"])
     probe = clean.probe_columns(["ticker", "week_end"])["random_uniform"]
-    w = durable(w.selectExpr("*", f"{div(lead('close', 4, WEEKLY), 'close')} - 1 AS fwd", f"{probe} AS random_uniform"))
+    w = durable(w.selectExpr("*", f"{div(f'({panels.LATER})', 'close')} - 1 AS fwd", f"{probe} AS random_uniform"))
     ranked = percent_ranks(w, ["week_end"], {"target": "fwd"}, "ticker")
     newest = w.agg(F.max("week_end")).scalar()
     kind = F.when(F.col("week_end") == newest, "live").when(F.expr("week_end < DATE'1999-01-01'"), "train").otherwise("validation")
@@ -76,6 +76,41 @@ def hash_split(spark, folder):
     return panels.table(spark, folder, "orders").selectExpr("o_orderkey", f"{learn.hash_split('o_orderkey')} AS is_train")
 
 
+_W = "(PARTITION BY ticker ORDER BY date)"
+_INPUT = using("bars", extra=f"""c AS (SELECT *, close - lag(close) OVER {_W} AS chg FROM bars),
+f AS (SELECT ticker, date, {week_of('date')} AS week_end, close, close / lag(close, 5) OVER {_W} - 1 AS ret5, close / lag(close, 20) OVER {_W} - 1 AS ret20,
+  CASE WHEN avg(greatest(-chg, 0)) OVER {frame(14)} > 0 THEN 100 - 100 / (1 + avg(greatest(chg, 0)) OVER {frame(14)} / avg(greatest(-chg, 0)) OVER {frame(14)}) ELSE 100 END AS rsi,
+  CASE WHEN count(close) OVER {frame(20)} >= 20 THEN close / avg(close) OVER {frame(20)} END AS gap20,
+  CASE WHEN count(close) OVER {frame(20)} >= 20 THEN stddev_samp(close) OVER {frame(20)} END AS vol20 FROM c),
+w AS (SELECT ticker, week_end, arg_max(close, date) AS close, arg_max(ret5, date) AS ret5, arg_max(ret20, date) AS ret20, arg_max(rsi, date) AS rsi,
+  arg_max(gap20, date) AS gap20, arg_max(vol20, date) AS vol20 FROM f GROUP BY 1, 2),
+l AS (SELECT *, first(close) OVER (PARTITION BY ticker ORDER BY week_end RANGE BETWEEN INTERVAL 28 DAYS FOLLOWING AND INTERVAL 28 DAYS FOLLOWING) / close - 1 AS fwd FROM w),
+t AS (SELECT *, CASE WHEN fwd IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY week_end, fwd IS NULL ORDER BY fwd, ticker) AS DOUBLE)
+  / count(fwd) OVER (PARTITION BY week_end) END AS target,
+  CASE WHEN week_end = (SELECT max(week_end) FROM w) THEN 'live' WHEN week_end < DATE '1999-01-01' THEN 'train' ELSE 'validation' END AS data_type FROM l)
+""")
+_COMPLETE = "ret5 IS NOT NULL AND ret20 IS NOT NULL AND rsi IS NOT NULL AND gap20 IS NOT NULL AND vol20 IS NOT NULL"
+
+
+@query(
+    "model_inputs",
+    _INPUT + "SELECT ticker, week_end, data_type, " + ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in ("target", "ret5", "ret20", "rsi", "gap20"))
+    + f", ('0x' || substr(md5('42|' || ticker || '|' || week_end), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.5 AS probe_low FROM t WHERE {_COMPLETE}",
+)
+def model_inputs(spark, folder):
+    """The table all models are trained on and scored with."""
+    t = model_table(spark, folder)
+    return t.selectExpr(
+        "ticker", "week_end", "data_type", *[f"CAST({c} AS FLOAT) AS {c}" for c in ("target", "ret5", "ret20", "rsi", "gap20")], "random_uniform < 0.5 AS probe_low"
+    )
+
+
+@query("submission_keys", _INPUT + f"SELECT ticker AS id, CAST(strftime(week_end, '%Y%m%d') AS INTEGER) AS friday_date FROM t WHERE data_type = 'live' AND {_COMPLETE}")
+def submission_keys(spark, folder):
+    """The rows a submission has to hold, after the CSV round trip."""
+    return submission(spark, folder).where("signal IS NOT NULL").select("id", "friday_date")
+
+
 @query("gbt_predict")
 def gbt_predict(spark, folder):
     """Trees with early stopping on the validation eras; all labelled rows scored by three models and their mean."""

@@ -20,7 +20,7 @@ from ..session import durable
 
 MARKET_ASSETS = list(range(7))
 DAILY, WEEKLY = Series("ticker", "date"), Series("ticker", "week_end")
-_LATER = "first(close) OVER (PARTITION BY ticker ORDER BY unix_date(week_end) RANGE BETWEEN 28 FOLLOWING AND 28 FOLLOWING)"
+LATER = "first(close) OVER (PARTITION BY ticker ORDER BY unix_date(week_end) RANGE BETWEEN 28 FOLLOWING AND 28 FOLLOWING)"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -120,7 +120,7 @@ def weekly_ranks(spark: SparkSession, folder: str, targets: bool = True, models:
     """
     w = durable(
         weekly(spark, folder).selectExpr(
-            "ticker", "week_end", f"{div(f'({_LATER})', 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi"
+            "ticker", "week_end", f"{div(f'({LATER})', 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi"
         )
     )
     ranks = {"target": "fwd"} if targets else {}
