@@ -5,8 +5,9 @@
    band key. Texts with equal sets collapse to their least id before anything else,
    so copies cost one row each, however many there are.
 2. Texts that share a band key meet in a bucket, whose pivot is one of them. No pairs
-   are made inside a bucket: in three rounds over more and more bands, a text is compared
-   with one pivot, that with which it shares most buckets. Components of the confirmed
+   are made inside a bucket: in two rounds, over a quarter of the bands and the others,
+   a text is compared with one pivot, that with which it shares most buckets. Pivots are
+   the members with the fullest buckets, so copies meet the text they were made from. Components of the confirmed
    links follow, and later rounds only look into buckets that still hold several.
 3. Last, texts that share a bucket but lie in different components are compared, each
    pair once, so no candidate pair across components is left untested.
@@ -151,6 +152,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stored(both.mapInArrow(_linked(percent), "a bigint, b bigint").distinct(), "links")
 
 
+def _tile(percent: int):
+    """Links among the pairs of one tile; rows are sets (a, shingles) or pairs (a, b)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        given = table.filter(pc.is_valid(table["shingles"]))
+        sets = {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(given["a"].to_pylist(), given["shingles"])}
+        asked = table.filter(pc.is_valid(table["b"])).sort_by("a")
+        left, right = asked["a"].to_numpy(), asked["b"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]])) if len(left) else np.zeros(1, int)
+        linked = np.zeros(len(left), bool)
+        for s, e in zip(edge[:-1], edge[1:]):
+            own = sets[left[s]]
+            others = [sets[b] for b in right[s:e].tolist()]
+            sizes = np.array([len(o) for o in others])
+            every = np.concatenate(others)
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            common = np.add.reduceat((own[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            linked[s:e] = 100 * common >= percent * (len(own) + sizes - common)
+        return pa.table({"a": pa.array(left[linked], pa.int64()), "b": pa.array(right[linked], pa.int64())})
+
+    return run
+
+
+def _verified_in_tiles(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tile: int = 512) -> DataFrame:
+    """Links among stored ``pairs`` that lie close together: each set goes to a tile once, not to each of its pairs.
+
+    Groups of candidates are cut into blocks of about ``tile`` texts, and every pair of
+    blocks is a tile; small groups share tiles.
+    """
+    sets = _sets_of(pairs, texts, size)
+    group = stored(connected(pairs), "candidates")
+    blocks = stored(group.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks")), "blocks")
+    shared = max(1, group.count() // tile)
+    key = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("component"), F.lit(shared))).otherwise(F.col("component"))
+    spot = stored(group.join(blocks, "component").select("id", key.alias("tile"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "spots")
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    whole = sets.join(spot, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    there = spot.select(F.col("id").alias("b"), F.col("block").alias("other"))
+    asked = pairs.select("a", "b").join(spot.select(F.col("id").alias("a"), "tile", "block"), "a").join(there, "b")
+    rows = whole.select("tile", low, high, F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles").union(
+        asked.select("tile", low, high, "a", "b", F.lit(None).cast("binary"))
+    )
+    return stored(rows.groupBy("tile", "low", "high").applyInArrow(_tile(percent), "a bigint, b bigint").distinct(), "links")
+
+
 def _component(df: DataFrame, part: DataFrame | None, column: str) -> DataFrame:
     """Adds the component of ``column`` as c<column>; a node without links is its own."""
     if part is None:
@@ -165,25 +214,36 @@ def _most_bits(count: int, similarity: float) -> int:
     return int(count * differ + 5.5 * (count * differ * (1 - differ)) ** 0.5)
 
 
+def _least_places(count: int, similarity: float) -> int:
+    """Minima in which a pair of that similarity agrees at least, 5.5 standard deviations below the mean."""
+    return int(count * similarity - 5.5 * (count * similarity * (1 - similarity)) ** 0.5)
+
+
 def _mixed_buckets(placed: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (a, ca, band, key) of the bands from ``low`` to ``high``, and the buckets that hold several components with their pivot b."""
+    """Rows (a, ca, band, key) of the bands from ``low`` to ``high``, and the buckets that hold several components, with one member b and their size m."""
     rowed = placed.select("a", "ca", F.posexplode(F.slice("bands", low + 1, high - low)).alias("at", "key")).select("a", "ca", (F.col("at") + low).alias("band"), "key")
-    seen = rowed.groupBy("band", "key").agg(F.min_by("a", F.xxhash64("a")).alias("b"), F.min("ca").alias("least"), F.max("ca").alias("most"))
-    return rowed, stored(seen.where("least <> most").select("band", "key", "b"), "mixed")
+    seen = rowed.groupBy("band", "key").agg(F.min_by("a", F.xxhash64("a")).alias("b"), F.count("*").alias("m"), F.min("ca").alias("least"), F.max("ca").alias("most"))
+    return rowed, stored(seen.where("least <> most").select("band", "key", "b", "m"), "mixed")
 
 
 def _best_pivots(alone: DataFrame, part: DataFrame | None, low: int, high: int, test: str) -> DataFrame:
-    """For each text the pivot it shares most mixed buckets with, if that lies in another component and may be a link."""
+    """For each text the pivot it shares most mixed buckets with, if that lies in another component and may be a link.
+
+    The pivot of a bucket is the member whose buckets are the fullest: the text that the others were copied from.
+    """
     placed = _component(alone, part, "a")
     rowed, mixed = _mixed_buckets(placed, low, high)
-    pairs = rowed.join(mixed, ["band", "key"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    inside = stored(rowed.join(mixed, ["band", "key"]).select("a", "band", "key", "m"), "inside")
+    fullness = stored(inside.groupBy("a").agg(F.sum("m").alias("fullness")), "fullness")
+    pivots = inside.join(fullness, "a").groupBy("band", "key").agg(F.max_by("a", "fullness").alias("b"))
+    pairs = inside.join(stored(pivots, "pivots"), ["band", "key"]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     best = stored(pairs.groupBy("a").agg(F.max_by("b", "shared").alias("b")), "best")
     other = placed.select(F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
     both = best.join(placed.select("a", "ca", "n", "bits"), "a").join(other, "b")
     return stored(both.where(f"ca <> cb and {test}").select("a", "b").distinct(), "first")
 
 
-def _rest(alone: DataFrame, part: DataFrame | None, bands: int, test: str) -> DataFrame:
+def _rest(alone: DataFrame, part: DataFrame | None, bands: int, test: str, least: int) -> DataFrame:
     """All pairs of one bucket, in different components, that may be links. A pair that shares several
     buckets is made in the first one."""
     placed = _component(alone, part, "a")
@@ -193,8 +253,11 @@ def _rest(alone: DataFrame, part: DataFrame | None, bands: int, test: str) -> Da
     out = inside.where("ca <> cb").select(
         "band", "key", F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands")
     )
+    # 16-bit places in which whole signatures agree, 5.5 standard deviations below the mean
+    lanes = "int(v & 65535L = 0) + int(shiftrightunsigned(v, 16) & 65535L = 0) + int(shiftrightunsigned(v, 32) & 65535L = 0) + int(shiftrightunsigned(v, 48) = 0)"
+    agree = f"aggregate(zip_with(bands, other_bands, (p, q) -> p ^ q), 0, (s, v) -> s + {lanes}) >= {least}" if least else "true"
     once = "array_position(zip_with(bands, other_bands, (p, q) -> p = q), true) = band + 1"
-    meet = inside.join(stored(out, "outside"), ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {test} and {once}")
+    meet = inside.join(stored(out, "outside"), ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {test} and {once} and {agree}")
     return stored(meet.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct(), "late")
 
 
@@ -217,15 +280,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = member.where("bands is not null").select(F.col("id").alias("a"), "n", "bits", "bands")
     test = _compatible(percent, _most_bits(bands * rows, percent / 100))
     links = part = None
-    for low, high in ((0, 2), (2, bands // 4), (bands // 4, bands)):
+    for low, high in ((0, bands // 4), (bands // 4, bands)):
         first = _best_pivots(alone, part, low, high, test)
         if not first.isEmpty():
             fresh = _verified(first, texts, size, percent)
             links = fresh if links is None else stored(links.union(fresh), "links")
             part = stored(connected(links), "part")
-    late = _rest(alone, part, bands, test)
+    late = _rest(alone, part, bands, test, _least_places(bands * rows, percent / 100) if rows == 4 else 0)
     if not late.isEmpty():
-        fresh = _verified(late, texts, size, percent)
+        fresh = _verified_in_tiles(late, texts, size, percent)
         part = stored(connected(fresh if links is None else links.union(fresh)), "part")
     if part is None:
         return _result(member.withColumn("component", F.lit(None).cast("bigint")), id_col)
