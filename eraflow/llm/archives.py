@@ -349,8 +349,11 @@ def read_packages(packages: DataFrame) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits) of all records of the packages in ``path``."""
     spark = packages.sparkSession
     listed = stored(packages.select("path").repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(_listing, "path string, offset bigint, length bigint"), "records")
-    # stretches of 1 MiB of a package go to one task each, and are read front to back
-    spread = listed.repartition("path", F.shiftright("offset", 20)).sortWithinPartitions("path", "offset")
+    # stretches of 1 MiB of a package go to one task each, and are read front to back; the rows are
+    # small and the ranges are not, so the number of tasks follows the bytes
+    total = listed.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, total // (16 << 20))
+    spread = listed.repartition(tasks, "path", F.shiftright("offset", 20)).sortWithinPartitions("path", "offset")
     read = spread.mapInArrow(_ranges, "page bigint, url string, type string, bytes bigint, sha string, refers bigint, payload binary")
     return read.select(
         F.col("page").alias("page_id"), "url", F.col("type").alias("record_type"), F.col("bytes").alias("payload_bytes"), F.col("sha").alias("payload_digest"),
