@@ -34,7 +34,7 @@ def unit(*parts: Column | str) -> Column:
 
 def poisson_count(rate: Column, number: Column) -> Column:
     """The count k whose Poisson interval [cdf(k - 1), cdf(k)) holds ``number``."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
+    last = F.ceil(rate + 9 * F.sqrt(rate) + 20).cast("int")  # what lies beyond has a chance below 2**-52
     start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).cast("bigint").alias("k"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -74,4 +74,6 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     counted = rated.withColumn("n_copies", drawn).drop("_rate").where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
     shuffled = copies.withColumn("shuffle_key", unit(f"order {seed}", F.col("copy").cast("string"), *key))
-    return shuffled.repartitionByRange("shuffle_key", id_col).sortWithinPartitions("shuffle_key", id_col)
+    # keys are uniform: equal ranges of them are equal parts, and no sample of the draws is needed
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shuffled.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key", id_col)
