@@ -12,8 +12,9 @@
 3. Last, texts that share a bucket but lie in different components are compared, each
    pair once, so no candidate pair across components is left untested.
 4. Before full sets are compared, pairs whose set sizes rule a link out, or whose
-   signatures differ in too many of their lowest bits, are dropped (a pair of similarity
-   0.8 differs in 13 of 128 bits in the mean, and in more than 31 with a chance of 2e-8).
+   signatures differ in too many bits, are dropped. A bit is hashed from one minimum and its
+   place, so bits of different minima are independent also in sets of few shingles. A pair of
+   similarity 0.8 differs in 13 of 128 bits in the mean, and in more than 39 with a chance of 3e-11.
    Components come from alternating large-star and small-star.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares no bucket with a chance of 5e-8.
@@ -25,6 +26,7 @@ repeat an id count as one document; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,7 @@ from .wordsums import mix, shingles, words
 by_value(__name__)
 
 BANDS, ROWS = 32, 4
+LOST = 1e-10  # chance at which a test on signatures may drop a link
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +90,12 @@ def _signatures(size: int, bands: int, rows: int):
 
 
 def _bits(minima: np.ndarray) -> np.ndarray:
-    """The lowest bit of every minimum, 64 to a number; zeros fill the last number."""
-    packed = np.packbits((minima & 1).astype(np.uint8), axis=1)
+    """A bit hashed from every minimum and its place, 64 to a number; zeros fill the last number.
+
+    The lowest bit itself would not do: in x * odd + add it is that of x, but for a constant.
+    """
+    place = np.arange(minima.shape[1], dtype=np.uint64) << np.uint64(16)
+    packed = np.packbits((mix(minima + place) & np.uint64(1)).astype(np.uint8), axis=1)
     packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
     return np.ascontiguousarray(packed).view(np.int64)
 
@@ -208,15 +215,20 @@ def _component(df: DataFrame, part: DataFrame | None, column: str) -> DataFrame:
     return df.join(found, column, "left").withColumn("c" + column, F.coalesce("c" + column, column))
 
 
+def _tail(count: int, p: float) -> list[float]:
+    """Chances of more than 0, 1, ... successes in ``count`` trials."""
+    each = [math.comb(count, k) * p**k * (1 - p) ** (count - k) for k in range(count + 1)]
+    return [math.fsum(each[k + 1 :]) for k in range(count + 1)]
+
+
 def _most_bits(count: int, similarity: float) -> int:
-    """Bits in which a pair of that similarity may differ, 5.5 standard deviations above the mean."""
-    differ = (1 - similarity) / 2
-    return int(count * differ + 5.5 * (count * differ * (1 - differ)) ** 0.5)
+    """Bits in which a pair of that similarity may differ; more have a chance below ``LOST``."""
+    return next(k for k, chance in enumerate(_tail(count, (1 - similarity) / 2)) if chance < LOST)
 
 
 def _least_places(count: int, similarity: float) -> int:
-    """Minima in which a pair of that similarity agrees at least, 5.5 standard deviations below the mean."""
-    return int(count * similarity - 5.5 * (count * similarity * (1 - similarity)) ** 0.5)
+    """Minima in which a pair of that similarity agrees at least; fewer have a chance below ``LOST``."""
+    return count - next(k for k, chance in enumerate(_tail(count, 1 - similarity)) if chance < LOST)
 
 
 def _mixed_buckets(placed: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +265,7 @@ def _rest(alone: DataFrame, part: DataFrame | None, bands: int, test: str, least
     out = inside.where("ca <> cb").select(
         "band", "key", F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands")
     )
-    # 16-bit places in which whole signatures agree, 5.5 standard deviations below the mean
+    # 16-bit places in which whole signatures agree
     lanes = "int(v & 65535L = 0) + int(shiftrightunsigned(v, 16) & 65535L = 0) + int(shiftrightunsigned(v, 32) & 65535L = 0) + int(shiftrightunsigned(v, 48) = 0)"
     agree = f"aggregate(zip_with(bands, other_bands, (p, q) -> p ^ q), 0, (s, v) -> s + {lanes}) >= {least}" if least else "true"
     once = "array_position(zip_with(bands, other_bands, (p, q) -> p = q), true) = band + 1"

@@ -54,6 +54,21 @@ def test_minhash_against_all_pairs(spark):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
 
 
+def test_minhash_short_texts(spark):
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for n, longer, edits, many in ((7, 1, 0, 3000), (11, 2, 0, 2000), (12, 0, 1, 1000), (19, 4, 0, 300), (21, 0, 2, 300)):
+        for _ in range(many):
+            a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            b = a[: n - edits] + [f"w{rng.randrange(10**9)}" for _ in range(longer + edits)]
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    sets = shingle_sets(rows, 4)
+    assert all(100 * len(sets[a] & sets[b]) == 80 * len(sets[a] | sets[b]) for a, b in pairs)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), size=4).collect()}
+    assert got == groups(pairs, sets)
+
+
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     nothing = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark)).collect()}
