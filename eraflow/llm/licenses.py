@@ -8,8 +8,14 @@ keeps 80 % of a template has a similarity of 0.19 or more with its window, and s
 band with a chance below 0.81 ** 64, about 1e-6. The minima of windows come from the
 minima of blocks of eight shingles, so every shingle is hashed once whatever the number
 of window sizes, and windows are looked at only around blocks that hold a wanted minimum. A retrieved template is then looked up exactly: the share of its
-different shingles within the window must be ``containment`` or more. Where windows of
-several licenses overlap, the one with the largest share stands (ties: all of them).
+different shingles within the window must be ``containment`` or more.
+
+Licenses compete for a place only where the matched words themselves lie, as the notice of
+one may hold most of another's (GPL in LGPL). A run of a window begins and ends with a
+matched shingle, holds ``containment`` of the template, and is at most a quarter longer than
+the template (or as long as the shortest such run). A run falls to a run of another license
+with a larger share that it has half of the shorter one's places in common with (ties: all
+stand), and a license is found if one of its runs stands. Notices side by side all stand.
 
 Templates are short public license notices, a bounded list given by the caller
 (``MOST_TEMPLATES`` at most) that goes to every task. Documents are scanned whole in one
@@ -145,14 +151,57 @@ class Templates:
         return out
 
 
-def _strongest(seen: list[tuple[float, int, int, str]]) -> dict[str, tuple[float, int]]:
-    """Best share and place of each license that no better one overlaps."""
+def runs(template: np.ndarray, window: np.ndarray, containment: float) -> list[tuple[float, int, int]]:
+    """(share, first place, place after the last) of the runs of ``window`` that hold ``containment`` of the template."""
+    slot = np.minimum(np.searchsorted(template, window), len(template) - 1)
+    at = np.flatnonzero(template[slot] == window)
+    slot = slot[at]
+    last = np.full(len(template), -1)
+    before = np.empty(len(at), np.int64)  # the match before with the same shingle
+    for k, i in enumerate(slot):
+        before[k] = last[i]
+        last[i] = k
+    need = next(n for n in range(1, len(template) + 1) if n / len(template) >= containment)
+    held = lambda k: np.cumsum(before[k:] < k)  # noqa: E731  different shingles from a match to each later one
+    reach = {}
+    for k in range(len(at)):
+        close = int(np.searchsorted(held(k), need))
+        if k + close < len(at):
+            reach[k] = int(at[k + close] - at[k]) + 1
+    longest = max(len(template) + len(template) // 4, min(reach.values(), default=0))
+    out = []
+    for k in (k for k in reach if reach[k] <= longest):
+        seen = held(k)
+        most = int(seen[np.searchsorted(at, at[k] + longest) - 1 - k])
+        end = k + int(np.searchsorted(seen, most))
+        if not (slot[k + 1 : end + 1] == slot[k]).any():
+            out.append((most / len(template), int(at[k]), int(at[end]) + 1))
+    return out
+
+
+def _standing(found: set[tuple[float, int, int, str]]) -> set[str]:
+    """Licenses with a run that no run of another license with a larger share takes."""
+    width = max(end - start for _, start, end, _ in found)
+    taken: dict[int, list[tuple[float, int, int, str]]] = {}  # by the parts of that width they begin in
+    names = set()
+    for share, start, end, name in sorted(found, key=lambda m: (-m[0], m[1], m[2], m[3])):
+        near = (r for part in range(start // width - 1, end // width + 1) for r in taken.get(part, ()))
+        if not any(s > share and n != name and 2 * (min(e, end) - max(b, start)) >= min(e - b, end - start) for s, b, e, n in near):
+            taken.setdefault(start // width, []).append((share, start, end, name))
+            names.add(name)
+    return names
+
+
+def _best(known: Templates, seen: list[tuple[float, int, int, np.ndarray]], containment: float) -> dict[str, tuple[float, int]]:
+    """Best share and place of each license that stands; seen are (share, place, template, window)."""
+    names = {known.names[t] for _, _, t, _ in seen}
+    if len(names) > 1:
+        found = {(s, place + b, place + e, known.names[t]) for _, place, t, window in seen for s, b, e in runs(known.sets[t], window, containment)}
+        names = _standing(found)
     best: dict[str, tuple[float, int]] = {}
-    taken: list[tuple[float, int, int, str]] = []
-    for share, start, end, name in sorted(seen, key=lambda m: (-m[0], m[1], m[3])):
-        if not any(s > share and n != name and start < e and b < end for s, b, e, n in taken):
-            taken.append((share, start, end, name))
-            best.setdefault(name, (share, start))
+    for share, place, t, _ in sorted(seen, key=lambda m: (-m[0], m[1])):
+        if known.names[t] in names:
+            best.setdefault(known.names[t], (share, place))
     return best
 
 
@@ -163,7 +212,7 @@ def _scan(notices: dict[str, list[str]], containment: float):
         for batch in pieces(batches, "text", 2 << 20):
             data, offsets = flat(batch.column("text"))
             hashed, cut = word_hashes(data, offsets)
-            seen: list[list[tuple[float, int, int, str]]] = [[] for _ in range(batch.num_rows)]
+            seen: list[list[tuple[float, int, int, np.ndarray]]] = [[] for _ in range(batch.num_rows)]
             parts, rows, begins = [], [], []  # texts, long ones in stretches that overlap by a window
             for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
                 every = _full_shingles(hashed[a:b])
@@ -173,8 +222,8 @@ def _scan(notices: dict[str, list[str]], containment: float):
                     begins.append(at)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
             for x, t, start, share in known.matches(np.concatenate(parts) if parts else hashed[:0], ends, containment):
-                seen[rows[x]].append((share, begins[x] + start, begins[x] + start + known.blocks[t] * BLOCK, known.names[t]))
-            best = [_strongest(s) for s in seen]
+                seen[rows[x]].append((share, begins[x] + start, t, parts[x][start : start + known.blocks[t] * BLOCK]))
+            best = [_best(known, s, containment) for s in seen]
             order = [sorted(b) for b in best]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(order, pa.list_(pa.string())), pa.array([[b[n][0] for n in o] for b, o in zip(best, order)], pa.list_(pa.float64())),

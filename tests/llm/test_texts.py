@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -140,6 +141,50 @@ def test_licenses(spark):
     assert licenses.license_notices(empty(spark)).count() == 0
 
 
+def license_sets(text):
+    words = re.findall(r"[a-z0-9\u0080-\uffff]+", text.lower())
+    return {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+
+
+def strongest_in(notice):
+    """Names with the largest share of a template in this one notice, by brute force."""
+    held = license_sets(notice)
+    shares = [(len(license_sets(t) & held) / len(license_sets(t)), name) for name, ts in licenses.NOTICES.items() for t in ts]
+    return {name for share, name in shares if share >= 0.8 and share == max(shares)[0]}
+
+
+def test_neighbouring_licenses_against_brute_force(spark):
+    rng = random.Random(4)
+    pick = [(n, licenses.NOTICES[n][-1]) for n in ("Apache-2.0", "MIT", "BSD", "ISC", "MPL-2.0", "Unlicense", "CC-BY-SA-4.0", "LGPL-3.0", "AGPL-3.0", "GPL-2.0")]
+    rows, want = [], {}
+
+    def add(notices, gaps):
+        want[len(rows)] = sorted(set().union(*map(strongest_in, notices)))
+        rows.append((len(rows), sentence(rng, 9) + "".join(" " + n + " " + sentence(rng, g) for n, g in zip(notices, gaps))))
+
+    def edited(notice, changes):
+        words = notice.split(" ")
+        for k in rng.sample(range(len(words)), changes):
+            words[k] = f"changed{k}"
+        return " ".join(words)
+
+    for gap in (0, 1, 5, 20, 60, 100):
+        for name in ("MIT", "BSD"):
+            weak = licenses.NOTICES[name][-1].split(" ")
+            weak[9] = "changed"
+            strong = licenses.NOTICES["Apache-2.0"][1]
+            for both in ([strong, " ".join(weak)], [" ".join(weak), strong]):
+                add(both, [gap, 30])
+                assert want[len(rows) - 1] == sorted(["Apache-2.0", name])
+    for _ in range(300):
+        chosen = rng.sample(pick[:7], rng.randrange(1, 4)) + rng.sample(pick[7:], rng.randrange(0, 2))
+        rng.shuffle(chosen)
+        notices = [edited(t, rng.randrange(0, 3)) for _, t in chosen]
+        add([n for n in notices if strongest_in(n)], [rng.randrange(0, 90) for _ in notices])
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_notices(docs(spark, rows)).collect()}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
 def shared(a, b, seed):
     return [(i, j) for i in range(len(a) - seed + 1) for j in range(len(b) - seed + 1) if a[i : i + seed] == b[j : j + seed]]
 
