@@ -192,7 +192,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     docs = table(spark, sf_dir, "documents")
     hit = tiling.contaminated(docs, table(spark, sf_dir, "benchmark"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
-    out = keyed.join(hit.withColumnRenamed("id", "doc_id"), ["doc_id", "text_key"], "left")
+    hit = hit.withColumnRenamed("text_key", "hit_key")
+    out = keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("hit_key")), "left")
     return out.select(
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),

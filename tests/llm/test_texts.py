@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from eraflow.llm import licenses, mixing, tiling, tokens, toxicity
+from eraflow.llm import licenses, mixing, queries, tiling, tokens, toxicity
 
 from .data import docs, empty, sentence, texts
 
@@ -233,3 +233,12 @@ def test_contamination(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 4, 5, 6, 8, 9]
     assert tiling.contaminated(df, bench.limit(0)).count() == 0
     assert tiling.without_contaminated(empty(spark), bench).count() == 0
+
+
+def test_contamination_query_with_null_ids(spark, tmp_path):
+    rng = random.Random(6)
+    item = sentence(rng, 40)
+    docs(spark, [(None, item), (None, sentence(rng, 30)), (1, item), (2, sentence(rng, 30))]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in queries.op10_benchmark_decontamination(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, True, 1.0, [9]), (None, False, 0.0, []), (1, True, 1.0, [9]), (2, False, 0.0, [])], key=repr)
