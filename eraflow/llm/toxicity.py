@@ -202,6 +202,8 @@ def stretches(text: str) -> Iterator[str]:
 # --- fitting
 
 _STEM = range(3, 13)
+_LEAST_GAIN = 7 * math.log(10)
+_MOST_COUNTED = 1 << 18  # features a task counts before it hands them on
 
 
 def _features(text: str) -> set[str]:
@@ -210,23 +212,34 @@ def _features(text: str) -> set[str]:
     return {w + "$" for w in words} | {w[:n] for w in words for n in _STEM if n <= len(w)}
 
 
-def _count_features(only: frozenset | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in pieces(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                found = _features(text or "")
-                counts.update(found if only is None else found & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (feature, n_toxic, n_clean), several for a feature where a task holds many different ones."""
 
-    return run
+    def rows() -> pa.RecordBatch:
+        every = list(toxic.keys() | clean.keys())
+        columns = [pa.array(every, pa.string()), *(pa.array([c[f] for f in every], pa.int64()) for c in (toxic, clean))]
+        return pa.RecordBatch.from_arrays(columns, names=["feature", "n_toxic", "n_clean"])
+
+    toxic: Counter = Counter()
+    clean: Counter = Counter()
+    for batch in pieces(batches, "text"):
+        for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+            (toxic if label else clean).update(_features(text or ""))
+            if len(toxic) + len(clean) > _MOST_COUNTED:
+                yield rows()
+                toxic.clear()
+                clean.clear()
+    yield rows()
 
 
-def _document_counts(part: DataFrame, only: frozenset | None, least: int, most: int) -> dict[str, int]:
-    """Texts that hold a feature; the ``most`` frequent ones with ``least`` texts or more."""
-    counted = part.select("text").mapInArrow(_count_features(only), "feature string, n bigint")
-    total = counted.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["feature"]: r["n"] for r in total.orderBy(F.desc("n"), "feature").limit(most).collect()}
+def _candidates(train: DataFrame, n_toxic: int, n_clean: int, least: int, odds: float) -> tuple[dict[str, int], dict[str, int]]:
+    """Toxic and clean texts that hold a feature, for all features that ``lexicon`` may take (its conditions, less a margin for rounding)."""
+    counted = train.where("toxic in (0, 1)").select("toxic", "text").mapInArrow(_count_features, "feature string, n_toxic bigint, n_clean bigint")
+    total = counted.groupBy("feature").agg(F.sum("n_toxic").alias("n"), F.sum("n_clean").alias("c")).where(F.col("n") >= least)
+    rated = total.withColumn("r", (F.col("n") + 0.5) / F.lit(n_toxic + 1.0) / ((F.col("c") + 0.5) / F.lit(n_clean + 1.0)))
+    rated = rated.where(F.col("r") >= odds / 5 * (1 - 1e-9)).where(F.col("n") * F.log("r") - F.col("n") + F.col("n") / F.col("r") >= _LEAST_GAIN - 1e-6)
+    found = rated.select("feature", "n", "c").collect()
+    return {x["feature"]: x["n"] for x in found}, {x["feature"]: x["c"] for x in found}
 
 
 def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, odds: float) -> tuple[dict[str, str], dict[str, str]]:
@@ -245,7 +258,7 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         n, r = toxic[f], ratio(f)
         return n * math.log(r) - n + n / r if r >= odds / 5 else 0.0
 
-    gains = {f: g for f in toxic if (g := gain(f)) >= 7 * math.log(10)}
+    gains = {f: g for f in toxic if (g := gain(f)) >= _LEAST_GAIN}
     words: dict[str, str] = {}
     stems: dict[str, str] = {}
     begun: set[str] = set()
@@ -291,7 +304,7 @@ def calibrate(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000,
-        least: int = 5, odds: float = 20.0, most_features: int = 50_000) -> Grammar:
+        least: int = 5, odds: float = 20.0) -> Grammar:
     """Fit on at most ``sample`` labelled rows; pass only rows that may be learnt from."""
     known = labels.where(f"{id_col} is not null and {label_col} is not null").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # sample rows at most: small enough to broadcast
@@ -301,8 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
         return grammar
-    toxic = _document_counts(train.where("toxic = 1"), None, least, most_features)
-    clean = _document_counts(train.where("toxic = 0"), frozenset(toxic), 1, most_features)
+    toxic, clean = _candidates(train, n_toxic, n_clean, least, odds)
     words, grammar.stems = lexicon(toxic, clean, n_toxic, n_clean, odds)
     grammar.words = words | grammar.words
     seen = train.mapInArrow(_vectors(grammar), "toxic int, patterns string").groupBy("patterns").agg(

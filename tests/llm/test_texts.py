@@ -78,6 +78,17 @@ def test_fit_and_score(spark):
     assert toxicity.score(empty(spark), bare).count() == 0
 
 
+def test_rare_words_are_learnt_from_many_features(spark):
+    rng = random.Random(12)
+    filler = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(7000))
+    rows = [(i, filler + (" zorgblat" if i else "")) for i in range(6)] + [(i, filler if i < 12 else sentence(rng, 30)) for i in range(6, 56)]
+    label = spark.createDataFrame([(i, int(i < 6)) for i, _ in rows], "doc_id bigint, toxic int")
+    counts = Counter(f for i, t in rows[:6] for f in toxicity._features(t))
+    assert sum(n > 5 for n in counts.values()) > 50_000
+    grammar = toxicity.fit(docs(spark, rows), label)
+    assert any("zorgblat".startswith(s) for s in [*grammar.stems, *grammar.words])
+
+
 def poisson(rate, u):
     k, term = 0, math.exp(-rate)
     total = term
