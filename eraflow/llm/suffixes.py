@@ -1,4 +1,4 @@
-"""Repeated byte strings across texts by merging shard Burrows-Wheeler transforms.
+"""Repeated byte strings across texts by merging shard suffix orders.
 
 A text loses every byte covered by a string of ``length`` bytes that also starts
 somewhere else, in another text or in the same one.
@@ -13,11 +13,12 @@ aggregation, keep the rest of the corpus out of the shuffles; a full filter woul
 let more rows through to the exact joins.
 
 **Merging.** The different snippets of an anchor meet in one task, in shards of bounded
-bytes. Each shard gets its suffix order and Burrows-Wheeler transform. Shards are merged
-by refining their interleave: at depth h every suffix has the number of its block of
+bytes. Each shard gets its suffix order. Shards are merged by prefix doubling over these
+orders, in place of an interleave refined from Burrows-Wheeler transforms, which goes one
+byte deeper per round; no transform is read and no common prefixes are kept: at depth h every suffix has the number of its block of
 equal h-byte prefixes; the next depth merges the shards' own orders by (block of the
 suffix, block of the suffix h further), so suffixes of a shard are never sorted again,
-and depth doubles per round. Where a block splits, the common prefix ends. Blocks at
+and depth doubles per round. Blocks at
 depth ``length`` that hold two suffixes or more are the repeated intervals.
 
 **Hot anchors.** An anchor with more than ``GROUP`` different snippets is dealt over
