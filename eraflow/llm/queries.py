@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, embeddings, extract, licenses, minhash, mixing, suffixes, tiling, tokens, toxicity
+from . import (
+    alignment, archives, disclosure, dualtree, embeddings, extract, licenses, minhash, mixing, suffixes, tiling, tokens, toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +200,48 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
     )
+
+
+@query("op11_private_terms")
+def op11_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.private_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"),
+        F.concat_ws(",", F.expr("nullif(base_spans, '')"), F.expr("nullif(term_spans, '')")).alias("spans"), "n_terms",
+    )
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+OP13_SQL = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), item AS (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM item
+), size AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM doc GROUP BY r
+), total AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM size
+), held AS (SELECT r, term, count(*) AS tf FROM doc SEMI JOIN asked USING (term) GROUP BY r, term
+), rare AS (SELECT term, count(*) AS df FROM held GROUP BY term
+), part AS (
+  SELECT r, term, floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_docs) // all_terms))) AS x
+  FROM held JOIN rare USING (term) JOIN size USING (r), total
+), scored AS (
+  SELECT i, any_value(item_id) AS item_id, r, sum(x)::BIGINT AS score FROM asked JOIN part USING (term) GROUP BY i, r HAVING sum(x) > 0
+), placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank FROM scored JOIN (SELECT r, doc_id FROM size) USING (r)
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+
+@query("op13_dual_tree_search", OP13_SQL)
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
