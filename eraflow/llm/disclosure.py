@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_filter, by_value, pieces, stored
+from .common import bit_filter, by_value, passes, pieces, stored
 from .terms import Sieve, term_lists
 
 by_value(__name__)
@@ -186,12 +186,17 @@ def _found(window: int, most: int):
     return run
 
 
-def _holders(held, most: int):
-    """Per text: the different terms, and general forms of its terms, that pass the filter."""
+def _holders(held, copied, most: int):
+    """Per text: the different terms, and general forms of its terms, that pass the filter.
+
+    The key stays only where the text may have copies: other texts need none to count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import itertools
 
+        import numpy as np
+
         exact, wide = Sieve(held.value), Sieve(held.value, _general_bytes)
         for batch in pieces(batches, "text", most):
             out = []
@@ -205,7 +210,9 @@ def _holders(held, most: int):
                 out.append(own)
             flat = pa.array(list(itertools.chain.from_iterable(out)), pa.binary()).cast(pa.string())
             ends = pa.array(list(itertools.accumulate(map(len, out), initial=0)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(ends, flat)], names=["key", "terms"])
+            key = batch.column("key").to_numpy()
+            keys = pa.array(key, mask=~passes(copied.value, key.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, flat)], names=["key", "terms"])
 
     return run
 
@@ -259,8 +266,10 @@ def revealing(docs: DataFrame, found: DataFrame, residual_bits: float = 0.5, sup
     asked = pairs.select("term").distinct()
     held = bit_filter(asked.select(F.xxhash64("term").alias("h")), "h")
     texts = docs.select("key", F.col("text").cast("binary").alias("text"))
-    holders = texts.mapInArrow(_holders(held, batch_bytes), "key bigint, terms array<string>")
-    total = holders.select("key", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("all"))
+    copied = bit_filter(found.groupBy("key").count().where("count > 1"), "key")
+    holders = texts.mapInArrow(_holders(held, copied, batch_bytes), "key bigint, terms array<string>")
+    total = holders.select("key", F.explode("terms").alias("term")).groupBy("term", "key").agg(F.count("*").alias("n"))
+    total = total.groupBy("term").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("all"))
     risky = stored(pairs.join(total, "term").withColumn("p", F.col("near") / F.col("all")).where(F.col("p") >= least), "risky_terms")
     wide = risky.where("term like '%*'").select("entity", F.col("term").alias("general"), F.lit(True).alias("told"))
     known = near.select("entity", "term", "general").distinct()

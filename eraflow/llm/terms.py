@@ -43,7 +43,7 @@ def digest(term: bytes) -> int:
 class Sieve:
     """Which terms may be in a bit filter of ``xxhash64`` values; remembers about ``most`` bytes of answers."""
 
-    def __init__(self, held, form=None, most: int = 32 << 20):
+    def __init__(self, held, form=None, most: int = 16 << 20):
         self.held, self.form, self.most = held, form, most
         self.seen: set[bytes] = set()
         self.yes: dict[bytes, bytes] = {}
