@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import grouped
+from ..functions import grouped, moments
 from ..functions import indicators as ind
 from ..functions import rolling as rl
 from ..functions.safe import log1p, named, rounded
@@ -78,9 +78,8 @@ _K = list(rl.HORIZONS)
     B + "SELECT ticker, date, " + sql_singles({f"ret_{k}": f"close / lag(close, {k}) OVER {W} - 1" for k in _K} | {f"abs_ret_{k}": f"abs(close / lag(close, {k}) OVER {W} - 1)" for k in _K}) + " FROM bars",
 )
 def pct_changes(spark, folder):
-    p = grouped.horizon_pack(panels.bars(spark, folder).select("ticker", "date", "close"), ["close"], _K, keep=["ticker", "date"])
-    names = {f"ret_{k}": f"close_return_{k}" for k in _K} | {f"abs_ret_{k}": f"close_return_abs_{k}" for k in _K}
-    return p.selectExpr("ticker", "date", *[f"CAST({c} AS FLOAT) AS {n}" for n, c in names.items()])
+    change = panels.bars(spark, folder).selectExpr("ticker", "date", *[f"CAST({rl.pct_change('close', k, DAILY)} AS FLOAT) AS ret_{k}" for k in _K])
+    return change.selectExpr("*", *[f"abs(ret_{k}) AS abs_ret_{k}" for k in _K])
 
 
 @query("log_returns", B + "SELECT ticker, date, " + sql_rounding({f"lret_{k}": f"ln(close) - ln(lag(close, {k}) OVER {W})" for k in (1, 2, 3)}) + " FROM bars")
@@ -102,7 +101,7 @@ _STAT5 = _STAT | {"median": "median"}
 )
 def rolling_stats(spark, folder):
     b = panels.bars(spark, folder)
-    return singles(b.selectExpr("ticker", "date", *named(rl.rolling_stats(["close"]))))
+    return singles(moments.add_rolling_stats(b.select("ticker", "date", "close"), ["close"]))
 
 
 @query(
@@ -304,6 +303,87 @@ def horizon_summary(spark, folder):
     return h.selectExpr("ticker", "kind", "horizon", "n", "round(mean, 6) AS mean", "round(top, 6) AS top")
 
 
+def _long_packs(columns, second=False):
+    """All horizons of several series of a table ``s``: a row per (ticker, series, horizon) with the kinds' values."""
+    out = []
+    for n in _ALL:
+        kinds = {"ret": f"x / nullif(lag(x, {n}) OVER o, 0) - 1", "vol": _gate("stddev_samp", "d", n, n),
+                 "gap": f"CASE WHEN abs({_gate('avg', 'x', n, n)}) > {moments.ZERO} THEN x / ({_gate('avg', 'x', n, n)}) END"}
+        if second:
+            kinds["vol2"] = _gate("stddev_samp", "e", n, n)
+        text = ", ".join(f"{e} AS {k}" for k, e in kinds.items()).replace("(PARTITION BY ticker ORDER BY date", "(PARTITION BY ticker, series ORDER BY date")
+        out.append(f"SELECT ticker, series, {n} AS horizon, {text} FROM g WINDOW o AS (PARTITION BY ticker, series ORDER BY date)")
+    unpivoted = " UNION ALL ".join(f"SELECT ticker, date, '{c}' AS series, CAST({c} AS DOUBLE) AS x FROM s" for c in columns)
+    change = "u AS (" + unpivoted + "), c AS (SELECT *, CASE WHEN x > -1 THEN ln(1 + x) END AS y FROM u), " \
+        "f AS (SELECT *, y / nullif(lag(y) OVER (PARTITION BY ticker, series ORDER BY date), 0) - 1 AS d FROM c), " \
+        "g AS (SELECT *, d / nullif(lag(d) OVER (PARTITION BY ticker, series ORDER BY date), 0) - 1 AS e FROM f)"
+    return change, " UNION ALL ".join(out)
+
+
+def _squash(x):
+    """Between -1 and 1: a mean of quotients that may be very large shouldn't hang on the largest."""
+    return f"avg({x} / (1 + abs({x})))"
+
+
+def _digests(kinds):
+    out = []
+    for k in kinds:
+        out += [f"count({k}) AS n_{k}", f"round({_squash(k)}, 6) + 0 AS {k}"]
+    return out
+
+
+_PRICE_CHANGE, _PRICE_ROWS = _long_packs(["close"], second=True)
+
+
+@query(
+    "price_horizons",
+    using("bars", extra="s AS (SELECT ticker, date, close FROM bars), " + _PRICE_CHANGE)
+    + "SELECT ticker, series, horizon, " + ", ".join(_digests(["ret", "vol", "vol2", "gap"])) + f" FROM ({_PRICE_ROWS}) GROUP BY ticker, series, horizon",
+)
+def price_horizons(spark, folder):
+    """Return, both volatilities and mean gap of the price for all horizons, every row of them summed up per ticker."""
+    packs = moments.horizons_long(panels.bars(spark, folder), ["close"], second=True)
+    rows = packs.selectExpr("ticker", "series", "inline(packs)")
+    return rows.groupBy("ticker", "series", "horizon").agg(*[F.expr(e) for e in _digests(["ret", "vol", "vol2", "gap"])])
+
+
+def volume_series(spark, folder):
+    """The six series of the volume family: standardised volume, log returns of price, volume and money, standardised money and market value."""
+    b = panels.bars(spark, folder).join(panels.attributes(spark, folder).select("ticker", "shares"), "ticker", "left")
+    b = b.selectExpr("ticker", "date", "close", "volume", "close * volume / 1000 AS money", "shares * close / 1000 AS value")
+    return b.selectExpr(
+        "ticker", "date", f"{ind.history_zscore('volume', causal=False)} AS volume_z", f"{rl.log_return('close', DAILY)} AS lret",
+        f"{rl.log_return('volume', DAILY)} AS lret_volume", f"{rl.log_return('money', DAILY)} AS lret_money",
+        f"{ind.history_zscore('money', causal=False)} AS money_z", f"{ind.history_zscore('value', causal=False)} AS value_z",
+    )
+
+
+VOLUME_SERIES = ["volume_z", "lret", "lret_volume", "lret_money", "money_z", "value_z"]
+
+
+def _z(c):
+    return f"({c} - avg({c}) OVER p) / nullif(stddev_pop({c}) OVER p, 0)"
+
+
+_VOLUME_SQL = f"""m AS (SELECT ticker, date, close, volume, close * volume / 1000 AS money, shares * close / 1000 AS value FROM bars LEFT JOIN dim USING (ticker)),
+s AS (SELECT ticker, date, {_z('volume')} AS volume_z, ln(close) - ln(lag(close) OVER w) AS lret, ln(volume) - ln(lag(volume) OVER w) AS lret_volume,
+  ln(money) - ln(lag(money) OVER w) AS lret_money, {_z('money')} AS money_z, {_z('value')} AS value_z
+  FROM m WINDOW w AS (PARTITION BY ticker ORDER BY date), p AS (PARTITION BY ticker))"""
+_VOLUME_CHANGE, _VOLUME_ROWS = _long_packs(VOLUME_SERIES)
+
+
+@query(
+    "volume_horizons",
+    using("bars", "dim", extra=f"{_VOLUME_SQL}, {_VOLUME_CHANGE}")
+    + "SELECT ticker, series, horizon, " + ", ".join(_digests(["ret", "ret_abs", "vol", "gap"])) + f" FROM (SELECT *, abs(ret) AS ret_abs FROM ({_VOLUME_ROWS})) GROUP BY ticker, series, horizon",
+)
+def volume_horizons(spark, folder):
+    """Return, its size, volatility and mean gap of all six series for all horizons, every row of them summed up per ticker."""
+    packs = moments.horizons_long(volume_series(spark, folder), VOLUME_SERIES)
+    rows = packs.selectExpr("ticker", "series", "inline(packs)")
+    return rows.groupBy("ticker", "series", "horizon").agg(*[F.expr(e) for e in _digests(["ret", "ret_abs", "vol", "gap"])])
+
+
 @query("money_volume_lags", B + "SELECT ticker, date, " + sql_rounding({f"money_volume_{k}": f"lag(volume, {k}) OVER {W} * lag(close, {k}) OVER {W}" for k in range(1, 11)}, 4) + " FROM bars")
 def money_volume_lags(spark, folder):
     return keys_and(panels.bars(spark, folder), ind.money_volume_lags(), 4)
