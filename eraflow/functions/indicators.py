@@ -59,6 +59,10 @@ def add_bollinger(df: DataFrame, src: str = "close", windows=tuple(BAND_WINDOWS)
     return df.selectExpr("*", *base).selectExpr(*names, *out)
 
 
+def bollinger_names(windows=tuple(BAND_WINDOWS), widths=tuple(BAND_WIDTHS)) -> list[str]:
+    return [f"bb_{k}_{n}_{str(x).replace('.', 'p')}" for n in windows for x in widths for k in ("upper", "lower", "basis", "width")]
+
+
 def roc(src: str = "close", periods=tuple(ROC_PERIODS), w: Series = DAILY) -> dict[str, str]:
     return {f"roc_{k}": f"{div(diff(src, w, k), lag(src, k, w), 0.0)} * 100" for k in periods}
 

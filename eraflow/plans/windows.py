@@ -483,11 +483,3 @@ def candle_shape(spark, folder):
 )
 def bar_ratios(spark, folder):
     return keys_and(ind.add_bar_moments(panels.bars(spark, folder)), ind.bar_ratios())
-
-
-@query("feature_expansion")
-def feature_expansion(spark, folder):
-    """The per-ticker feature pass: many indicator groups over one shuffle of the bars."""
-    exprs = ind.sma() | ind.roc() | ind.candle_shape() | rl.lags(["close"]) | rl.shifted_range("close", DAILY)
-    narrow = ind.add_bollinger(panels.bars(spark, folder).selectExpr("*", *named(exprs)))
-    return grouped.horizon_pack(narrow, ["close", "volume"])  # last: 84 horizons x 4 kinds x 2 series
