@@ -110,13 +110,14 @@ def probes(spark, folder):
 @query(
     "sequences",
     using("bars", extra=f"s AS (SELECT ticker, date, close, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS past FROM bars)")
-    + "SELECT ticker, date, close AS next_value, past[1] AS oldest, past[60] AS newest, len(past) AS n, round(list_sum(past), 4) AS total FROM s WHERE len(past) = 60",
+    + "SELECT ticker, date, close AS next_value, past[1] AS oldest, past[60] AS newest, len(past) AS n, round(list_sum(past), 4) AS total, array_to_string(list_transform(past, lambda x: CAST(round(x * 100) AS BIGINT)), ',') AS past_cents FROM s WHERE len(past) = 60",
 )
 def sequences(spark, folder):
-    """60 past values per sample; the report shows the ends and the sum of each array."""
+    """60 past values per sample: the ends, the sum, and all of them in cents."""
     f = DAILY.rows(-60, -1)
     s = panels.bars(spark, folder).selectExpr("ticker", "date", "close", f"collect_list(close) {f} AS past").where("size(past) = 60")
     return s.selectExpr(
         "ticker", "date", "close AS next_value", "past[0] AS oldest", "past[59] AS newest", "bigint(size(past)) AS n",
         "round(aggregate(past, 0D, (a, x) -> a + x), 4) AS total",
+        "array_join(transform(past, x -> string(bigint(round(x * 100)))), ',') AS past_cents",
     )

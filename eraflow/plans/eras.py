@@ -143,7 +143,9 @@ mat AS MATERIALIZED (SELECT r.ticker AS asset, r.date, r.ret FROM rets r WHERE t
 mu AS MATERIALIZED (SELECT asset, product(1 + ret) ** (252.0 / (SELECT count(*) FROM rets WHERE ticker = 0)) - 1 AS annual_return FROM mat GROUP BY 1),
 cov AS MATERIALIZED (SELECT x.asset AS a, y.asset AS b, covar_samp(x.ret, y.ret) * 252 AS cov FROM mat x JOIN mat y ON x.date = y.date GROUP BY 1, 2)"""
 _PF = _RET + f""",
-prop AS (SELECT p AS portfolio_id, a AS asset, ((p * 37 + a * 101) % 97) + 1 AS proportion FROM range(200) r(p), (SELECT unnest([{_A}]) AS a)),
+spent AS MATERIALIZED (SELECT o_custkey AS portfolio_id, l_suppkey AS asset, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS cents
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IN ({_A}) GROUP BY 1, 2),
+prop AS (SELECT portfolio_id, asset, coalesce(cents, 0) AS proportion FROM (SELECT DISTINCT portfolio_id FROM spent) CROSS JOIN (SELECT unnest([{_A}]) AS asset) LEFT JOIN spent USING (portfolio_id, asset)),
 wt AS MATERIALIZED (SELECT portfolio_id, asset, round(CAST(proportion AS DOUBLE) / sum(proportion) OVER (PARTITION BY portfolio_id), 3) AS weight FROM prop),
 risk AS (SELECT x.portfolio_id, round(sqrt(sum(x.weight * y.weight * cov)), 4) AS port_std FROM wt x JOIN wt y USING (portfolio_id) JOIN cov ON x.asset = a AND y.asset = b GROUP BY 1),
 gain AS (SELECT portfolio_id, round(sum(weight * annual_return), 4) AS port_return FROM wt JOIN mu USING (asset) GROUP BY 1),

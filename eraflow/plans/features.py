@@ -190,12 +190,11 @@ def feature_groups(spark, folder) -> dict[str, DataFrame]:
     key = ["ticker", "date", "last_of_week"]
     close, money = b.select(*key, "close"), b.selectExpr(*key, "volume", "close * volume AS money")
     logs = b.selectExpr(*key, *[f"{rl.log_return(c, DAILY)} AS {c}" for c in ("open", "high", "low", "close", "volume")])
-    space = ewm.add_rsi_wilder(ewm.add_rsi_wilder(logs, "close", weighted.RET_RSI, "ret_rsi"), "volume", weighted.RET_VOLUME_RSI, "ret_volume_rsi")
-    space = ewm.add_macd(space, "close", weighted.RET_MACD, percent=True, out="ret_macd")
     spans = [ewm.by_span(f"ret_ema_{n}", "close", n) for n in weighted.RET_EMA] + [ewm.by_span(f"ret_volume_ema_{n}", "volume", n) for n in weighted.RET_VOLUME_EMA]
-    space = ewm.add_ewm(space, spans)
     powers = {f"ret_pow_{str(n).replace('.', '')}": null_power("close", n) for n in (0.5, 2, 3)}
-    space = space.selectExpr("*", *named(powers), f"{ind.history_std('close', False)} AS ret_std", f"{ind.history_skew('close', False)} AS ret_skew")
+    space = {"ret_std": ind.history_std("close", False), "ret_skew": ind.history_skew("close", False), "ret_high_low": "high - low", "ret_close_open": "close - open"}
+    space |= {f"ret_shift_{k}": rl.lag("close", k, DAILY) for k in weighted.RET_SHIFTS}
+    raw = ("open", "high", "low", "close", "volume")
     shapes = ind.add_bar_moments(b).selectExpr("*", *named(ind.candle_shape() | ind.bar_ratios() | ind.bar_basics() | ind.roc() | ind.sma()))
     shapes = shapes.selectExpr("*", *named(rl.lags(["close"]) | rl.shifted_range("close", DAILY) | ind.money_volume_lags()))
     dates = cal.date_parts() | cal.cyclical() | {k: f"int({v})" for k, v in cal.period_flags().items()} | cal.flag_sums()
@@ -206,27 +205,40 @@ def feature_groups(spark, folder) -> dict[str, DataFrame]:
         "strength": ewm.add_rsi_wilder(ind.add_rsi_simple(close), "close", ind.WILDER_PERIODS, "wilder").drop("close"),
         "means": ewm.add_atr(ewm.add_ewm(b, [ewm.by_span(f"ema_{n}", "close", n, adjust=False) for n in ind.PRICE_WINDOWS]), ind.PRICE_WINDOWS).drop("open", "high", "low", "close", "volume", "shares"),
         "macd": ewm.add_macd(ewm.add_macd(close, "close", ind.MACD_ABS), "close", ind.MACD_PCT, percent=True, out="macd_pct").drop("close"),
-        "money": ewm.add_rsi_wilder(ewm.add_rsi_wilder(money, "money", ind.WILDER_PERIODS, "money_wilder"), "volume", ind.WILDER_PERIODS, "volume_wilder").drop("money", "volume"),
+        "money": ewm.add_rsi_wilder(money.drop("volume"), "money", ind.WILDER_PERIODS, "money_wilder").drop("money"),
+        "volume": ewm.add_rsi_wilder(money.drop("money"), "volume", ind.WILDER_PERIODS, "volume_wilder").drop("volume"),
         "rolling": moments.add_rolling_stats(close, ["close"]).drop("close"),
-        "returns": space.drop("open", "high", "low", "close", "volume"),
+        "returns": logs.selectExpr("*", *named(powers | space)).drop(*raw),
+        "return_strength": ewm.add_rsi_wilder(logs.select(*key, "close"), "close", weighted.RET_RSI, "ret_rsi").drop("close"),
+        "return_volume_strength": ewm.add_rsi_wilder(logs.select(*key, "volume"), "volume", weighted.RET_VOLUME_RSI, "ret_volume_rsi").drop("volume"),
+        "return_means": ewm.add_ewm(logs.select(*key, "close", "volume"), spans).drop("close", "volume"),
+        "return_macd": ewm.add_macd(logs.select(*key, "close"), "close", weighted.RET_MACD, percent=True, out="ret_macd").drop("close"),
         "months": ind.add_monthly_pack(close).drop("close"),
     }
     groups["zscores"] = add_zscores(b, keep=["last_of_week"]).select(*key, *_Z)
-    inputs = poly_inputs(b, keep=["last_of_week"]).where("last_of_week")
-    groups["polynomials"] = cross.add_monomials(inputs, POLY_INPUTS, 4, "poly").select(*key, "poly")
+    groups["polynomials"] = poly_inputs(b, keep=["last_of_week"]).select(*key, F.array(*map(F.col, POLY_INPUTS)).alias("poly_inputs"))
     groups["price_packs"] = moments.add_horizons(
         close.selectExpr("*", f"{rl.pct_change('log1p(close)', 1, DAILY)} AS _d").selectExpr("*", f"{rl.pct_change('_d', 1, DAILY)} AS _e"),
-        "close", "_d", out="close_packs", second="_e").select(*key, "close_packs")
+        "close", "_d", out="p", second="_e").select(*key, *[F.expr(f"transform(p, x -> float(x.{k})) AS close_{k}") for k in ("ret", "vol", "vol2", "gap")])
     return {name: g.where("last_of_week").drop("last_of_week") for name, g in groups.items()}
 
 
 def feature_frame(spark, folder, only: list[str] | None = None) -> DataFrame:
-    """All groups side by side, a row per ticker and Friday week (its last bar)."""
+    """All groups side by side, a row per ticker and Friday week (its last bar).
+
+    Terms and horizons come as arrays: ``poly`` in the order of ``monomial_steps``,
+    ``close_ret`` and the like in that of the horizons.
+    """
     parts = {
         name: bucketed(spark, folder, f"features_{name}", lambda g=g: g, ["ticker", "date"], ["ticker", "date"])
         for name, g in feature_groups(spark, folder).items() if only is None or name in only
     }
-    return joined(list(parts.values()), ["ticker", "date"])
+    frame = joined(list(parts.values()), ["ticker", "date"])
+    if "poly_inputs" not in frame.columns:
+        return frame
+    # functions of one row need no table of their own
+    inputs = [f"poly_inputs[{i}]" for i in range(len(POLY_INPUTS))]
+    return cross.add_monomials(frame, inputs, 4, "poly").drop("poly_inputs")
 
 
 @query("feature_expansion")

@@ -151,9 +151,11 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def portfolio_weights(spark: SparkSession, folder: str, portfolios: int = 200) -> DataFrame:
-    """Candidate proportions per portfolio and asset from integer arithmetic."""
-    assets = ", ".join(map(str, MARKET_ASSETS))
-    seen = bars(spark, folder).where(f"ticker IN ({assets})").selectExpr("ticker AS asset").distinct()
-    each = seen.selectExpr("asset", f"explode(sequence(0, {portfolios - 1})) AS portfolio_id")
-    return each.selectExpr("portfolio_id", "asset", "pmod(portfolio_id * 37 + asset * 101, 97) + 1 AS proportion")
+def portfolio_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate portfolios: what each customer spent on each declared asset, in cents; all assets of a customer with any."""
+    lines = table(spark, folder, "lineitem").where(F.col("l_suppkey").isin(MARKET_ASSETS))
+    spent = lines.selectExpr("l_orderkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT) AS cents")
+    bought = table(spark, folder, "orders").selectExpr("o_orderkey AS l_orderkey", "CAST(o_custkey AS INT) AS portfolio_id").join(spent, "l_orderkey")
+    wide = agg(bought, ["portfolio_id"], *[f"sum(CASE WHEN l_suppkey = {a} THEN cents ELSE 0 END) AS a{a}" for a in MARKET_ASSETS])
+    rows = ", ".join(f"struct(CAST({a} AS BIGINT) AS asset, a{a} AS proportion)" for a in MARKET_ASSETS)
+    return wide.selectExpr("portfolio_id", f"inline(array({rows}))")

@@ -12,7 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 SAMPLE = [
     "flagship_weekly_signal", "weekly_last", "dedup_first", "label_encode", "asof_report_lag", "live_universe", "rolling_frames",
     "rsi_wilder", "macd_pct", "pair_spread_ratio", "era_score", "era_quintiles", "portfolio_score", "auc_rank", "chrono_split",
-    "stream_daily_bars",
+    "stream_daily_bars", "rolling_stats", "price_horizons", "volume_horizons", "zscore_inputs", "poly_terms_full", "interactions_panel",
+    "features_trend", "features_strength", "portfolio_best", "sequences", "pct_changes",
 ]
 
 
