@@ -14,7 +14,7 @@ from .ranking import add_rank, running_total
 def era_scores(df: DataFrame, target: str, prediction: str, era: str = "week_end", tie: str = "ticker") -> DataFrame:
     """Per era: correlation of the raw target with the percent rank of the prediction, and RMSE.
 
-    The rank is cut into slices (see ``ranking``), the statistics combine before
+    The rank needs no era in one place (see ``ranking``), the statistics combine before
     the shuffle, so an era may hold any share of the rows.
     """
     ranked = add_rank(df.select(era, tie, target, prediction), [era], prediction, [tie], "_pct", percent=True)

@@ -1,20 +1,15 @@
 """Exact ranks and running totals inside groups of any size.
 
-A Window partitioned by era puts a whole era into one task; with every ticker of
-a market in one era, or one era for everything, that task does not scale. Here a
-group is cut into ordered slices first:
-
-1. per group, a bounded, deterministic sample of keys (one row per hash bin,
-   combined before the shuffle) gives up to ``slices - 1`` cut points;
-2. each row finds its slice by comparing its key with the cut points;
-3. rows per slice are counted (combined before the shuffle) and accumulated over
-   the slices of a group: a few numbers per group;
-4. the rank is the row number inside the slice plus the rows of lower slices.
-
-The key is (value, tie columns), so a value shared by a third of all rows is cut
-like any other. The cut points only balance the work; the ranks are exact
-whatever they are. The input is read three times: pass a table, or ``durable``
-the result of an expensive plan first.
+A Window partitioned by era puts a whole era into one task; with every ticker of a
+market in one era, or one era for everything, that task does not scale. Ranks come
+from one range shuffle over (group, value, ties) instead: a group is cut wherever it
+has to be, a value shared by a third of all rows by its ties. Rows are numbered in
+that order, and a small table says with which number each group begins in each part
+and how many of its rows lie in parts before: the rank is a difference.
+
+Running totals cut one group into ordered slices by a bounded, deterministic sample
+of keys, count the rows of each slice, and add the slices below. The cut points only
+balance the work; the totals are exact whatever they are.
 """
 
 from __future__ import annotations
@@ -25,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from ..sources.sinks import written
 
-SLICES = 32
 _PER_CUT = 4  # sampled keys per cut point
 
 
@@ -66,6 +61,22 @@ def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: i
     )
 
 
+def _placed(df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows in one order over (group, value, ties) with their place ``_at``, and where each group begins in each part.
+
+    One range shuffle; a group of any size is cut by its values and ties. The result is
+    written, so that the places of the rows and the table of beginnings agree.
+    """
+    order = [*map(F.col, group), F.col(value).isNull(), F.col(value), *map(F.col, ties)]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(rows, "placed").withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.where(F.col(value).isNotNull()).groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    of = f"PARTITION BY {_list(group)}" if group else ""
+    below = f"sum(_n) OVER ({of} ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _n"
+    begins = parts.selectExpr(*[f"{g} AS _g{i}" for i, g in enumerate(group)], "_part AS _p", f"{below} - _first + 1 AS _shift", f"sum(_n) OVER ({of}) AS _total")
+    return rows, written(begins, "begins")  # a row for each group and part that holds some of it: known size, so Spark may send it
+
+
 def add_rank(
     df: DataFrame,
     group: Sequence[str],
@@ -74,23 +85,23 @@ def add_rank(
     out: str = "rank",
     percent: bool = False,
     total: str | None = None,
-    slices: int = SLICES,
 ) -> DataFrame:
     """1-based position of ``value`` inside its group, ties broken by ``ties``.
 
-    Rows whose value is NULL get no rank and do not count. percent=True divides
-    by the group's number of ranked rows; ``total`` names a column for that number.
+    Rows whose value is NULL get no rank and do not count; a NULL group is a group.
+    percent=True divides by the group's number of ranked rows; ``total`` names a column
+    for that number.
     """
     names = df.columns
-    order = [value, *ties]
-    ranked = _sliced(df, group, order, slices, f"{value} IS NOT NULL")
-    offsets = _offsets(ranked.where("_slice >= 0"), group, {"_n": "count(*)"})
-    inner = f"OVER (PARTITION BY {_list([*group, '_slice'])} ORDER BY {_list(order)})"
-    ranked = ranked.selectExpr("*", f"row_number() {inner} AS _local").join(offsets, [*group, "_slice"], "left")
-    position = "(_local + _n_before)"
-    cols = [f"{position + ' / _n_total' if percent else position} AS {out}"]
+    rows, begins = _placed(df, group, value, ties)
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    ranked = rows.join(begins, same & F.col(value).isNotNull(), "left")
+    position = "(_at + _shift)"
+    cols = [f"{position + ' / _total' if percent else position} AS {out}"]
     if total:
-        cols.append(f"_n_total AS {total}")
+        cols.append(f"_total AS {total}")
     return ranked.selectExpr(*names, *cols)
 
 
@@ -105,7 +116,7 @@ def _offsets(sliced: DataFrame, group: Sequence[str], sums: Mapping[str, str]) -
     return per_slice.selectExpr(*group, "_slice", *cols)
 
 
-def percent_ranks(df: DataFrame, group: Sequence[str], values: Mapping[str, str], key: str, slices: int = SLICES) -> DataFrame:
+def percent_ranks(df: DataFrame, group: Sequence[str], values: Mapping[str, str], key: str) -> DataFrame:
     """Percent ranks of several columns, one row per (group, key): {new name: column}.
 
     The columns are unpivoted and ranked together, so their number does not
@@ -113,7 +124,7 @@ def percent_ranks(df: DataFrame, group: Sequence[str], values: Mapping[str, str]
     """
     back = {v: k for k, v in values.items()}
     long = df.select(*group, key, *back).unpivot([*group, key], list(back), "_what", "_value")
-    ranked = add_rank(long, [*group, "_what"], "_value", [key], "_pct", percent=True, slices=slices)
+    ranked = add_rank(long, [*group, "_what"], "_value", [key], "_pct", percent=True)
     return ranked.groupBy(*group, key).agg(
         *[F.expr(f"max(CASE WHEN _what = '{c}' THEN _pct END) AS {name}") for c, name in back.items()]
     )
@@ -131,26 +142,26 @@ def running_total(df: DataFrame, order: Sequence[str], sums: Sequence[str], slic
     )
 
 
-def dense_codes(df: DataFrame, column: str, out: str = "code", slices: int = 128) -> DataFrame:
+def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """Distinct values of a column with their 0-based position in sorted order."""
     values = df.select(column).where(f"{column} IS NOT NULL").distinct()
-    return add_rank(values, [], column, [], "_rank", slices=slices).selectExpr(column, f"_rank - 1 AS {out}")
+    return add_rank(values, [], column, [], "_rank").selectExpr(column, f"_rank - 1 AS {out}")
 
 
-def label_codes(df: DataFrame, key: str, columns: Sequence[str], slices: int = 128) -> DataFrame:
+def label_codes(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``key`` (unique) and <column>_code per column: the 0-based position in the sorted distinct values.
 
     All columns are unpivoted and ranked together, so their number multiplies no pass.
     """
     long = df.select(key, *columns).unpivot([key], list(columns), "_what", "_value")
     pairs = durable(long.where("_value IS NOT NULL").select("_what", "_value").distinct())
-    codes = add_rank(pairs, ["_what"], "_value", [], "_rank", slices=slices)
+    codes = add_rank(pairs, ["_what"], "_value", [], "_rank")
     coded = long.join(codes, ["_what", "_value"], "left")
     return coded.groupBy(key).agg(*[F.expr(f"CAST(max(CASE WHEN _what = '{c}' THEN _rank - 1 END) AS BIGINT) AS {c}_code") for c in columns])
 
 
 def add_quantile_bucket(
-    df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str], buckets: int = 5, out: str = "bucket", slices: int = SLICES
+    df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str], buckets: int = 5, out: str = "bucket"
 ) -> DataFrame:
     """Quantile bucket 0..k-1 with interpolated edges; equal edges are merged.
 
@@ -158,15 +169,15 @@ def add_quantile_bucket(
     place. A value equal to an edge belongs to the lower bucket.
     """
     names = df.columns
-    ranked = add_rank(df, group, value, ties, "_rank", total="_total", slices=slices)
+    ranked = add_rank(df, group, value, ties, "_rank", total="_all")
     picks, edges = [], []
     for k in range(buckets + 1):
-        at = f"(_total - 1) * {k} div {buckets}"
+        at = f"(_all - 1) * {k} div {buckets}"
         picks.append(f"max(CASE WHEN _rank - 1 = {at} THEN {value} END) AS _lo{k}")
-        picks.append(f"max(CASE WHEN _rank - 1 = least({at} + 1, _total - 1) THEN {value} END) AS _hi{k}")
-        part = f"((_total - 1) * {k} % {buckets})"
+        picks.append(f"max(CASE WHEN _rank - 1 = least({at} + 1, _all - 1) THEN {value} END) AS _hi{k}")
+        part = f"((_all - 1) * {k} % {buckets})"
         edges.append(f"CASE WHEN {part} = 0 THEN _lo{k} ELSE _lo{k} + (_hi{k} - _lo{k}) * ({part} / {buckets}D) END")
-    found = ranked.where("_rank IS NOT NULL").groupBy(*group).agg(F.expr("max(_total) AS _total"), *map(F.expr, picks))
+    found = ranked.where("_rank IS NOT NULL").groupBy(*group).agg(F.expr("max(_all) AS _all"), *map(F.expr, picks))
     found = found.selectExpr(*group, f"array_distinct(array({_list(edges)})) AS _edges")
     bucket = f"greatest(size(filter(_edges, e -> e < {value})) - 1, 0)"
     return df.join(found, list(group), "left").selectExpr(

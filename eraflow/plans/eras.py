@@ -21,7 +21,7 @@ clean AS (SELECT week_end, CASE WHEN isfinite(score) THEN score END AS score, rm
 
 
 def scores(spark, folder):
-    return era.era_scores(durable(panels.scored(spark, folder)), "target", "pred_momentum")
+    return era.era_scores(panels.scored(spark, folder), "target", "pred_momentum")
 
 
 @query("era_score", using("scored", extra=_SCORES) + f"SELECT week_end, {r6('score')} AS score, {r6('rmse')} AS rmse FROM clean")
@@ -70,7 +70,7 @@ _WK = "(PARTITION BY ticker ORDER BY week_end)"
                 for a, b in [(f"lag(quintile, {k}) OVER {_WK}", f"lag(quintile, {k + 1}) OVER {_WK}")]) + " FROM q",
 )
 def era_quintiles(spark, folder):
-    w = durable(panels.weekly(spark, folder).select("ticker", "week_end", "rsi"))
+    w = panels.weekly(spark, folder).select("ticker", "week_end", "rsi")
     q = ranking.add_quantile_bucket(w, ["week_end"], "rsi", ["ticker"], 5, "quintile")
     q = q.selectExpr("*", *[f"{lag('quintile', k, WEEKLY)} AS lag_{k}" for k in range(1, 6)])
     name = lambda k: f"lag_{k}" if k else "quintile"

@@ -184,7 +184,7 @@ def feature_groups(spark, folder) -> dict[str, DataFrame]:
     The bars are read from one table in buckets of the ticker, so no group shuffles them;
     a group has few Windows over the same key and order.
     """
-    b = bucketed(spark, folder, "bars", lambda: with_shares(spark, folder), ["ticker"], ["ticker", "date"])
+    b = panels.stored_bars(spark, folder)
     weekly = f"coalesce(lead({cal.week_end('date')}) {DAILY.over} <> {cal.week_end('date')}, true) AS last_of_week"
     b = b.selectExpr("*", weekly)
     key = ["ticker", "date", "last_of_week"]

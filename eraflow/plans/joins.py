@@ -34,7 +34,7 @@ _PREP = using("bars", "dim", "labels_w") + """SELECT b.ticker, d.name, b.date AS
 @query("price_right", _PREP)
 def price_right(spark, folder):
     """The data preparation path: prices with sectors, Fridays only, labels joined on."""
-    b = panels.bars(spark, folder)
+    b = panels.stored_bars(spark, folder).drop("shares")
     dim = panels.attributes(spark, folder).select("ticker", "name", "code")
     fridays = relate.with_attributes(relate.on_fridays(b), dim)
     labels = panels.labels_weekly(spark, folder).selectExpr("ticker", "week_end AS friday_date", "data_type", "target")
@@ -72,7 +72,7 @@ def attr_chain(spark, folder):
     + f"SELECT f.ticker, f.date, {r6('f.lret')} AS lret, l.data_type, l.target FROM f LEFT JOIN labels_w l ON f.ticker = l.ticker AND f.date = l.week_end",
 )
 def feature_label_join(spark, folder):
-    f = panels.bars(spark, folder).selectExpr("ticker", "date", f"{rounded(log_return('close', DAILY))} AS lret")
+    f = panels.stored_bars(spark, folder).selectExpr("ticker", "date", f"{rounded(log_return('close', DAILY))} AS lret")
     labels = panels.labels_weekly(spark, folder).selectExpr("ticker", "week_end AS date", "data_type", "target")
     return f.join(labels, ["ticker", "date"], "left")
 

@@ -16,7 +16,7 @@ from ..functions.indicators import add_rsi_simple
 from ..functions.rolling import Series, pct_change
 from ..functions.safe import div
 from ..operators.ranking import percent_ranks
-from ..session import durable
+from .store import bucketed, kept
 
 MARKET_ASSETS = list(range(7))
 DAILY, WEEKLY = Series("ticker", "date"), Series("ticker", "week_end")
@@ -59,6 +59,12 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily bars with the ticker's shares, written once a session in buckets: windows by ticker need no shuffle."""
+    make = lambda: bars(spark, folder).join(attributes(spark, folder).select("ticker", "shares"), "ticker", "left")
+    return bucketed(spark, folder, "bars", make, ["ticker"], ["ticker", "date"])
+
+
 def attributes(spark: SparkSession, folder: str) -> DataFrame:
     """Sector dimension of the tickers."""
     s, n, r = (table(spark, folder, t) for t in ("supplier", "nation", "region"))
@@ -106,42 +112,43 @@ def macro_weekly(spark: SparkSession, folder: str) -> DataFrame:
 
 def weekly(spark: SparkSession, folder: str) -> DataFrame:
     """Per ticker and Friday week: last close, trailing 5-bar return, 14-bar RSI, volume."""
-    b = add_rsi_simple(bars(spark, folder), periods=[14])
-    b = b.selectExpr("*", f"{pct_change('close', 5, DAILY)} AS ret5", "round(rsi_14, 6) AS rsi")
-    return weekly_last(b, ["close", "volume", "ret5", "rsi"])
+
+    def make() -> DataFrame:
+        b = add_rsi_simple(stored_bars(spark, folder).drop("shares"), periods=[14])
+        b = b.selectExpr("*", f"{pct_change('close', 5, DAILY)} AS ret5", "round(rsi_14, 6) AS rsi")
+        return weekly_last(b, ["close", "volume", "ret5", "rsi"])
+
+    return kept(spark, folder, "weekly", make)
 
 
-def weekly_ranks(spark: SparkSession, folder: str, targets: bool = True, models: bool = True) -> DataFrame:
-    """Weekly table with percent ranks inside each era.
+def weekly_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekly table with percent ranks inside each era, written once a session in a folder per split.
 
     ``target``: rank of the return to the week four weeks later (NULL where the
     ticker has no bar in that week, as for the newest eras). ``pred_momentum`` and ``pred_reversal``: two deterministic
     models, the rank of the trailing return and of the negated RSI.
     """
-    w = durable(
-        weekly(spark, folder).selectExpr(
-            "ticker", "week_end", f"{div(f'({LATER})', 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi"
+
+    def make() -> DataFrame:
+        w = weekly(spark, folder).selectExpr("ticker", "week_end", f"{div(f'({LATER})', 'close')} - 1 AS fwd", "ret5", "-rsi AS neg_rsi")
+        ranked = percent_ranks(w, ["week_end"], {"target": "fwd", "pred_momentum": "ret5", "pred_reversal": "neg_rsi"}, "ticker")
+        newest = w.agg(F.max("week_end")).scalar()
+        kind = (
+            F.when(F.col("week_end") == newest, "live")
+            .when(F.expr("week_end < DATE'1999-01-01'"), "train")
+            .otherwise("validation")
         )
-    )
-    ranks = {"target": "fwd"} if targets else {}
-    if models:
-        ranks |= {"pred_momentum": "ret5", "pred_reversal": "neg_rsi"}
-    ranked = percent_ranks(w, ["week_end"], ranks, "ticker")
-    newest = w.agg(F.max("week_end")).scalar()
-    kind = (
-        F.when(F.col("week_end") == newest, "live")
-        .when(F.expr("week_end < DATE'1999-01-01'"), "train")
-        .otherwise("validation")
-    )
-    return w.select("ticker", "week_end", "fwd", kind.alias("data_type")).join(ranked, ["ticker", "week_end"])
+        return w.select("ticker", "week_end", "fwd", kind.alias("data_type")).join(ranked, ["ticker", "week_end"])
+
+    return kept(spark, folder, "weekly_ranks", make, split_by="data_type")
 
 
 def labels_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    return weekly_ranks(spark, folder, models=False).select("ticker", "week_end", "data_type", "target", "fwd")
+    return weekly_ranks(spark, folder).select("ticker", "week_end", "data_type", "target", "fwd")
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return weekly_ranks(spark, folder, targets=False).select("ticker", "week_end", "pred_momentum", "pred_reversal")
+    return weekly_ranks(spark, folder).select("ticker", "week_end", "pred_momentum", "pred_reversal")
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,3 +36,10 @@ def split_outputs(df: DataFrame, kind: str = "data_type") -> dict[str, DataFrame
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder of the cluster."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A result kept as Parquet in the shared folder: read back with its size known and no lineage."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Tables kept for a session in buckets, so that passes and joins on their keys need no shuffle.
+"""Tables kept for a session: derived inputs, and feature passes in buckets, so that joins on their keys need no shuffle.
 
 A table is written once for each input (the files of its folder) into the shared folder
 and found again by later queries of the session. Nothing but its name is held on the
@@ -37,6 +37,17 @@ def bucketed(spark: SparkSession, folder: str, name: str, make: Callable[[], Dat
     return spark.table(_known[at])
 
 
+def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame], split_by: str | None = None) -> DataFrame:
+    """The table ``name`` made from ``folder``; with ``split_by`` a folder per value, so that a filter on it reads its rows only."""
+    at = (spark.sparkContext.applicationId, _version(spark, folder), name, split_by)
+    if at not in _known:
+        made, table = make(), f"eraflow_{name}_{uuid.uuid4().hex}"
+        writer = made.write.option("path", fresh_path(spark, name))
+        (writer.partitionBy(split_by) if split_by else writer).saveAsTable(table)
+        _known[at] = table
+    return spark.table(_known[at])
+
+
 def joined(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Tables in the same buckets side by side."""
     return reduce(lambda a, b: a.join(b.hint("merge"), list(keys)), tables)

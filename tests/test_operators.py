@@ -23,7 +23,7 @@ def skewed(spark, n=6000):
 @pytest.mark.parametrize("parts", [1, 16])
 def test_rank_is_exact_under_skew_and_ties(spark, parts):
     df, pdf = skewed(spark)
-    got = ranking.add_rank(df.repartition(parts), ["era"], "v", ["ticker"], "r", total="n", slices=8).toPandas()
+    got = ranking.add_rank(df.repartition(parts), ["era"], "v", ["ticker"], "r", total="n").toPandas()
     got = got.sort_values("ticker", ignore_index=True)
     present = pdf.dropna().sort_values(["era", "v", "ticker"])
     want = (present.groupby("era").cumcount() + 1).reindex(pdf.index)
@@ -34,7 +34,7 @@ def test_rank_is_exact_under_skew_and_ties(spark, parts):
 
 def test_global_rank_and_running_total(spark):
     df, pdf = skewed(spark, 3000)
-    got = ranking.add_rank(df, [], "v", ["ticker"], "r", slices=16).where("v IS NOT NULL").toPandas().sort_values("r")
+    got = ranking.add_rank(df, [], "v", ["ticker"], "r").where("v IS NOT NULL").toPandas().sort_values("r")
     want = pdf.dropna().sort_values(["v", "ticker"])
     assert got.ticker.tolist() == want.ticker.tolist() and got.r.tolist() == list(range(1, len(want) + 1))
     run = ranking.running_total(df.where("v IS NOT NULL"), ["v", "ticker"], ["ticker"], slices=16).toPandas().sort_values(["v", "ticker"])
@@ -194,3 +194,19 @@ def test_fridays_of_any_year(spark):
     days = spark.sql("SELECT explode(sequence(DATE'2031-01-01', DATE'2031-01-31')) AS date")
     got = [r["friday_date"].isoformat() for r in relate.on_fridays(days).collect()]
     assert got == ["2031-01-03", "2031-01-10", "2031-01-17", "2031-01-24", "2031-01-31"]
+
+
+def test_ranks_of_null_groups_and_hot_ties(spark):
+    rows = [("a", 5.0, k) for k in range(400)] + [(None, float(k % 7), k) for k in range(90)] + [("b", None, 1), ("b", 2.0, 2), ("c", None, 1)]
+    frame = spark.createDataFrame(rows, "era string, x double, id int").repartition(5)
+    got = {(r.era, r.id): (r.place, r.n) for r in ranking.add_rank(frame, ["era"], "x", ["id"], "place", total="n").collect()}
+    want = {}
+    for era in ("a", "b", "c", None):
+        own = sorted((x, i) for e, x, i in rows if e == era and x is not None)
+        want |= {(era, i): (k + 1, len(own)) for k, (_, i) in enumerate(own)}
+    assert len(got) == len(rows)
+    assert {k: v for k, v in got.items() if v[0] is not None} == want
+    assert [k for k, v in got.items() if v[0] is None] and all(k in {("b", 1), ("c", 1)} for k, v in got.items() if v[0] is None)
+    share = {r.id: r.share for r in ranking.add_rank(frame.where("era = 'a'"), [], "x", ["id"], "share", percent=True).collect()}
+    assert share == {k: (k + 1) / 400 for k in range(400)}
+    assert ranking.add_rank(frame.limit(0), ["era"], "x", ["id"]).collect() == []
