@@ -35,6 +35,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str):
+    """The column of that very name, whatever characters it has."""
+    from pyspark.sql import functions as F
+
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, without: str | None = None, **own) -> DataFrame:
+    """All columns of ``docs`` (but for ``without``) in one struct ``row``, next to columns of the operator's own:
+    no name of the user's can clash with these. ``unpacked`` takes them out again."""
+    from pyspark.sql import functions as F
+
+    row = [quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != without]
+    return docs.select(F.struct(*row, F.lit(1).alias("end")).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **replaced) -> list:
+    """The columns of the packed frame under their names, some of them ``replaced``."""
+    from pyspark.sql import functions as F
+
+    return [replaced.get(c, F.col(f"row.c{k}")).alias(c) for k, c in enumerate(names)]
+
+
+def row_key(id_col: str):
+    from pyspark.sql import functions as F
+
+    return F.coalesce(quoted(id_col).cast("string"), F.lit(""))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most`` bytes each, one row at least."""
     import numpy as np

@@ -26,8 +26,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_value, pieces
+from .common import by_value, pieces, quoted
 
 by_value(__name__)
 
@@ -275,6 +276,6 @@ def _extract(batches):
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """id, the columns of ``keep``, text (main text, empty if none), n_chars (code points) per row."""
-    rows = pages.select(id_col, *keep, F.col(html_col).alias("html"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.drop("html").dtypes)
-    return rows.mapInArrow(_extract, f"{kinds}, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    rows = pages.select(*map(quoted, (id_col, *keep)), quoted(html_col).alias("html"))
+    kinds = [f for f in rows.schema.fields if f.name != "html"]
+    return rows.mapInArrow(_extract, T.StructType([*kinds, T.StructField("text", T.StringType())])).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, by_value, flat, passes, pieces, stored
+from .common import bit_filter, by_value, flat, packed, passes, pieces, quoted, stored, unpacked
 from .components import connected
 from .wordsums import mix, shingles, words
 
@@ -316,7 +316,7 @@ def _result(found: DataFrame, id_col: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the least id of their group of near-duplicates; rows that repeat id and text once."""
-    stay = near_duplicates(docs, id_col, text_col, size, percent).where("kept").select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    known = docs.join(stay, id_col, "left_semi")
-    once = known.withColumn("_text_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_key"]).drop("_text_key")
-    return once.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    stay = near_duplicates(docs, id_col, text_col, size, percent).where("kept").select(quoted(id_col).alias("id")).where("id is not null").distinct()
+    known = packed(docs, id=quoted(id_col), text_key=F.xxhash64(quoted(text_col))).join(stay, "id", "left_semi")
+    once = known.dropDuplicates(["id", "text_key"])
+    return once.select(*unpacked(once, docs.columns)).union(docs.where(quoted(id_col).isNull()))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, quoted, stored, unpacked
 
 SPLIT = 500
 
@@ -46,7 +46,7 @@ def poisson_count(rate: Column, number: Column) -> Column:
 
 def rates(docs: DataFrame, source_col: str, targets: dict | None, total: int | None, power: float) -> DataFrame:
     """(source, rows, rate): one row per source."""
-    counts = stored(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("rows")), "sources")
+    counts = stored(docs.groupBy(quoted(source_col).alias("source")).agg(F.count("*").alias("rows")), "sources")
     if targets is None:
         weighed = counts.withColumn("weight", F.sqrt("rows") if power == 0.5 else F.pow("rows", F.lit(power)))
     else:
@@ -63,17 +63,19 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
             total: int | None = None, power: float = 0.5, seed: int = 17) -> DataFrame:
     """Rows of ``docs``, each as often as drawn, in global random order, with copy (from 1),
     n_copies and shuffle_key; columns of ``docs`` with those names are replaced."""
-    base = docs.drop("copy", "n_copies", "shuffle_key", "_rate")
-    rate = stored(rates(base, source_col, targets, total, power), "rates").select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    rated = base.join(rate, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / SPLIT)).cast("int")
+    base = docs.drop("copy", "n_copies", "shuffle_key")
+    rate = stored(rates(base, source_col, targets, total, power), "rates").select("source", "rate")
+    rows = packed(base, id=quoted(id_col), digest=F.md5(F.coalesce(quoted(text_col), F.lit(""))), own=quoted(source_col))
+    key = F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("digest")
+    rated = rows.join(rate, F.col("own").eqNullSafe(F.col("source")), "left")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int")
     drawn = F.aggregate(
-        F.sequence(F.lit(1), parts), F.lit(0).cast("bigint"), lambda acc, j: acc + poisson_count(F.col("_rate") / parts, unit(str(seed), j.cast("string"), *key))
+        F.sequence(F.lit(1), parts), F.lit(0).cast("bigint"), lambda acc, j: acc + poisson_count(F.col("rate") / parts, unit(str(seed), j.cast("string"), *key))
     )
-    counted = rated.withColumn("n_copies", drawn).drop("_rate").where("n_copies > 0")
+    counted = rated.withColumn("n_copies", drawn).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
     shuffled = copies.withColumn("shuffle_key", unit(f"order {seed}", F.col("copy").cast("string"), *key))
     # keys are uniform: equal ranges of them are equal parts, and no sample of the draws is needed
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shuffled.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key", id_col)
+    dealt = shuffled.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key", "id")
+    return dealt.select(*unpacked(dealt, base.columns), "n_copies", "copy", "shuffle_key")

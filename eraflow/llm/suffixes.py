@@ -39,8 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bit_filter, by_value, flat, passes, stored
+from .common import bit_filter, by_value, flat, packed, passes, quoted, row_key, stored, unpacked
 from .wordsums import mix, powers
 
 by_value(__name__)
@@ -374,11 +375,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "spans", "kept", "n_removed")
 
 
-def _trim(text_col: str):
+def _trim():
     def run(batches):
         for batch in batches:
             texts = []
-            for text, runs in zip(batch.column(text_col), batch.column("_spans").to_pylist()):
+            for text, runs in zip(batch.column("text"), batch.column("spans").to_pylist()):
                 if not runs:
                     texts.append(text.as_py())
                     continue
@@ -392,8 +393,7 @@ def _trim(text_col: str):
                     parts.append(raw[at:begin])
                     at = end
                 texts.append(b"".join([*parts, raw[at:]]).decode())
-            at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(["_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
@@ -402,7 +402,8 @@ def trimmed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """``docs`` with the characters that lie within repeated spans taken out of the text, other columns as they are."""
     found = repeated_spans(docs, id_col, text_col, length)
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    spans_of = found.groupBy(key.alias("_k"), F.col("text_key").alias("_text_key")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
-    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_text_key", F.xxhash64(text_col))
-    both = keyed.join(spans_of, ["_k", "_text_key"], "left").select(*docs.columns, "_spans")
-    return both.mapInArrow(_trim(text_col), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+    spans_of = found.groupBy(key.alias("k"), "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    keyed = packed(docs, text_col, k=row_key(id_col), text_key=F.xxhash64(quoted(text_col)), text=quoted(text_col))
+    both = keyed.join(spans_of, ["k", "text_key"], "left").select("row", "text", "spans")
+    cut = both.mapInArrow(_trim(), T.StructType([both.schema["row"], both.schema["text"]]))
+    return cut.select(*unpacked(cut, docs.columns, **{text_col: F.col("text")}))

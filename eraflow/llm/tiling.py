@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, by_value, flat, passes, pieces, stored
+from .common import bit_filter, by_value, flat, packed, passes, pieces, quoted, row_key, stored, unpacked
 from .wordsums import shingles, words
 
 by_value(__name__)
@@ -143,6 +143,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item, all columns as they are."""
-    hit = contaminated(docs, items, id_col, text_col, **settings).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_k"), F.col("text_key").alias("_text_key"))
-    keyed = docs.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_text_key", F.xxhash64(text_col))
-    return keyed.join(hit, ["_k", "_text_key"], "left_anti").select(docs.columns)
+    hit = contaminated(docs, items, id_col, text_col, **settings).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), "text_key")
+    clean = packed(docs, k=row_key(id_col), text_key=F.xxhash64(quoted(text_col))).join(hit, ["k", "text_key"], "left_anti")
+    return clean.select(*unpacked(clean, docs.columns))

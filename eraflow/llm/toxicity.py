@@ -32,8 +32,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_value, pieces, stored
+from .common import by_value, packed, pieces, quoted, stored, unpacked
 
 by_value(__name__)
 
@@ -367,9 +368,9 @@ def _added(grammar: Grammar, text_col: str, name: str):
 
 def clean(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` with a score below ``threshold``, all columns as they are."""
-    name = "_score" + "_" * max((len(c) for c in docs.columns), default=0)  # clashes with no column
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(_added(grammar, text_col, name), f"{kinds}, `{name}` double").where(F.col(name) < threshold).drop(name)
+    rows = packed(docs, text=quoted(text_col))
+    scored = rows.mapInArrow(_added(grammar, "text", "score"), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.where(F.col("score") < threshold).select(*unpacked(scored, docs.columns))
 
 
 def is_held_out(id_col: str = "doc_id"):
