@@ -21,8 +21,8 @@ def with_attributes(prices: DataFrame, dim: DataFrame, left: str = "ticker", rig
 
 
 def on_calendar(prices: DataFrame, calendar: DataFrame, at: str = "date", day: str = "friday_date") -> DataFrame:
-    """Rows whose date is in the calendar (one row per week: a bounded table)."""
-    return prices.join(F.broadcast(calendar), F.col(at) == F.col(day), "inner")
+    """Rows whose date is in the calendar; Spark sends it to every task if it measures it to be small."""
+    return prices.join(calendar, F.col(at) == F.col(day), "inner")
 
 
 def on_fridays(prices: DataFrame, at: str = "date", day: str = "friday_date") -> DataFrame:
@@ -36,8 +36,8 @@ def labels_onto_prices(labels: DataFrame, prices: DataFrame, keys: Sequence[str]
 
 
 def with_market_week(labels: DataFrame, market: DataFrame, era: str) -> DataFrame:
-    """Add the market row of the week to every label; one row per week is a bounded table."""
-    return labels.join(F.broadcast(market), era, "left")
+    """Add the market row of the week to every label; Spark sends the weeks to every task if they are few."""
+    return labels.join(market, era, "left")
 
 
 def lookup_last(df: DataFrame, pairs: DataFrame, key: str, value: str, order: str, on: str, out: str) -> DataFrame:
