@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import releasing, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -37,14 +37,18 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are left out; no edges give no rows.
     """
-    edges = stored(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
-    before = None
-    while True:
-        edges = stored(_small(stored(_large(edges), "large")), "small")
-        now = _state(edges)
-        if now == before or not now[0]:
-            break
-        before = now
+    spark = edges.sparkSession
+    with releasing(spark) as keep_last:
+        edges = stored(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
+        before = None
+        while True:
+            with releasing(spark) as keep:
+                edges = keep(stored(_small(stored(_large(edges), "large")), "small"))
+            now = _state(edges)
+            if now == before or not now[0]:
+                break
+            before = now
+        keep_last(edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

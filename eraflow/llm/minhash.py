@@ -10,7 +10,12 @@
    the members with the fullest buckets, so copies meet the text they were made from. Components of the confirmed
    links follow, and later rounds only look into buckets that still hold several.
 3. Last, texts that share a bucket but lie in different components are compared, each
-   pair once, so no candidate pair across components is left untested.
+   pair once, so no candidate pair across components is left untested but by an exact bound:
+   the shingles of these texts are put in one order, about rarest first (a table of fixed size
+   holds how often the shingles of a slot occur), and a text shows its first ``SHOWN`` percent. If
+   those of x end before those of y, x has at most the shown shingles of both and its unshown ones in common
+   with y. Near copies of one text that each changed too much fail it, as their rarest shingles
+   are their own; a text of which too many shingles occur nowhere else meets nobody.
 4. Before full sets are compared, pairs whose set sizes rule a link out, or whose
    signatures differ in too many bits, are dropped. A bit is hashed from one minimum and its
    place, so bits of different minima are independent also in sets of few shingles. A pair of
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, by_value, flat, packed, passes, pieces, quoted, stored, unpacked
+from .common import bit_filter, by_value, flat, packed, passes, pieces, quoted, releasing, stored, unpacked
 from .components import connected
 from .wordsums import mix, shingles, words
 
@@ -42,6 +47,9 @@ by_value(__name__)
 
 BANDS, ROWS = 32, 4
 LOST = 1e-10  # chance at which a test on signatures may drop a link
+SLOTS = 24  # the table of shingle counts has 2**SLOTS numbers of four bits, 8 MiB
+SHOWN = 40  # percent of a set, rarest first, that the overlap bound looks at
+MOST_SHOWN = 1024  # and shingles at most: fewer weaken the bound, no link is lost
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +193,12 @@ def _tile(percent: int):
     return run
 
 
-def _verified_in_tiles(pairs: DataFrame, texts: DataFrame, size: int, percent: int, tile: int = 512) -> DataFrame:
+def _verified_in_tiles(pairs: DataFrame, sets: DataFrame, percent: int, tile: int = 512) -> DataFrame:
     """Links among stored ``pairs`` that lie close together: each set goes to a tile once, not to each of its pairs.
 
     Groups of candidates are cut into blocks of about ``tile`` texts, and every pair of
     blocks is a tile; small groups share tiles.
     """
-    sets = _sets_of(pairs, texts, size)
     group = stored(connected(pairs), "candidates")
     blocks = stored(group.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks")), "blocks")
     shared = max(1, group.count() // tile)
@@ -255,22 +262,74 @@ def _best_pivots(alone: DataFrame, part: DataFrame | None, low: int, high: int,
     return stored(both.where(f"ca <> cb and {test}").select("a", "b").distinct(), "first")
 
 
-def _rest(alone: DataFrame, part: DataFrame | None, bands: int, test: str, least: int) -> DataFrame:
-    """All pairs of one bucket, in different components, that may be links. A pair that shares several
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "shingles"):
+        slot, n = np.unique(_slots(np.frombuffer(flat(batch.column("shingles"))[0].tobytes(), np.uint64)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+
+def _levels(sets: DataFrame):
+    """Broadcast table of fixed size: for each slot of shingles the binary logarithm of their number, 15 at most, sixteen to a word."""
+    counts = sets.select("shingles").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    level = "shiftleft(bigint(least(15, floor(log2(n)))), int(4 * (slot & 15)))"
+    words = counts.where("n > 1").selectExpr("int(shiftright(slot, 4)) as word", f"{level} as bits")
+    table = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(1 << (SLOTS - 4), np.int64)
+    held[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+
+def _rarest(levels, percent: int):
+    """Shown shingles of each set in ascending order: four bits of their level, then their hash. Sets that can't link are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "shingles"):
+            ids, shown = [], []
+            for i, raw in zip(batch.column("id").to_pylist(), batch.column("shingles")):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                slot = _slots(own)
+                level = (levels.value[slot >> 4] >> (slot & 15).astype(np.uint64) * np.uint64(4)) & np.uint64(15)
+                if 100 * np.count_nonzero(level) < percent * len(own):
+                    continue  # the others are nobody else's
+                code = np.sort(((level << np.uint64(59)) | (mix(own) >> np.uint64(5))).view(np.int64))
+                ids.append(i)
+                shown.append(code[: min(MOST_SHOWN, SHOWN * len(own) // 100 + 1)].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shown, pa.list_(pa.int64()))], names=["a", "rare"])
+
+    return run
+
+
+def _overlap(percent: int) -> str:
+    """SQL test whether two sets can have enough in common, by their shown shingles."""
+    beyond = "if(element_at(rare, -1) <= element_at(other_rare, -1), n - size(rare), other_n - size(other_rare))"
+    return f"{100 + percent} * (size(array_intersect(rare, other_rare)) + {beyond}) >= {percent} * (n + other_n)"
+
+
+def _rest(alone: DataFrame, part: DataFrame | None, texts: DataFrame, size: int, percent: int, bands: int, test: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs of one bucket, in different components, that may be links, and the sets they need. A pair that shares several
     buckets is made in the first one."""
     placed = _component(alone, part, "a")
     rowed, mixed = _mixed_buckets(placed, 0, bands)
-    inside = rowed.join(mixed, ["band", "key"]).join(placed.select(F.col("a").alias("b"), F.col("ca").alias("cb")).distinct(), "b")
-    inside = stored(inside.join(placed.select("a", "n", "bits", "bands"), "a").select("band", "key", "a", "ca", "cb", "n", "bits", "bands"), "inside")
+    places = stored(rowed.join(mixed.select("band", "key", "b"), ["band", "key"]), "places")
+    sets = _sets_of(places.select("a", F.col("a").alias("b")).distinct(), texts, size)
+    rare = stored(sets.mapInArrow(_rarest(_levels(sets), percent), "a bigint, rare array<bigint>"), "rare")
+    pivot = placed.select(F.col("a").alias("b"), F.col("ca").alias("cb")).distinct()
+    whole = placed.select("a", "n", "bits", "bands").join(rare, "a")
+    inside = stored(places.join(pivot, "b").join(whole, "a").select("band", "key", "a", "ca", "cb", "n", "bits", "bands", "rare"), "inside")
     out = inside.where("ca <> cb").select(
-        "band", "key", F.col("a").alias("x"), F.col("ca").alias("cx"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands")
+        "band", "key", F.col("a").alias("x"), F.col("ca").alias("cx"),
+        F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands"), F.col("rare").alias("other_rare"),
     )
     # 16-bit places in which whole signatures agree
     lanes = "int(v & 65535L = 0) + int(shiftrightunsigned(v, 16) & 65535L = 0) + int(shiftrightunsigned(v, 32) & 65535L = 0) + int(shiftrightunsigned(v, 48) = 0)"
     agree = f"aggregate(zip_with(bands, other_bands, (p, q) -> p ^ q), 0, (s, v) -> s + {lanes}) >= {least}" if least else "true"
     once = "array_position(zip_with(bands, other_bands, (p, q) -> p = q), true) = band + 1"
-    meet = inside.join(stored(out, "outside"), ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {test} and {once} and {agree}")
-    return stored(meet.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct(), "late")
+    meet = inside.join(out, ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {test} and {once} and {agree} and {_overlap(percent)}")
+    return stored(meet.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct(), "late"), sets
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -279,29 +338,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if 100 * common shingles >= ``percent`` * all shingles of both.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    schema = "id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, bits array<bigint>"
-    marked = stored(texts.mapInArrow(_signatures(size, bands, rows), schema), "signatures")
-    same = ["low", "high", "n_shingles"]
-    equal = stored(
-        marked.where("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "equal"
-    )
-    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id"))
-    shown = [F.when(F.col("id") == rep, F.col(c)).alias(c) for c in ("bands", "bits")]
-    member = stored(marked.join(equal, same, "left").select("id", F.col("n_shingles").alias("n"), rep.alias("rep"), *shown), "members")
-    alone = member.where("bands is not null").select(F.col("id").alias("a"), "n", "bits", "bands")
-    test = _compatible(percent, _most_bits(bands * rows, percent / 100))
-    links = part = None
-    for low, high in ((0, bands // 4), (bands // 4, bands)):
-        first = _best_pivots(alone, part, low, high, test)
-        if not first.isEmpty():
-            fresh = _verified(first, texts, size, percent)
-            links = fresh if links is None else stored(links.union(fresh), "links")
-            part = stored(connected(links), "part")
-    late = _rest(alone, part, bands, test, _least_places(bands * rows, percent / 100) if rows == 4 else 0)
-    if not late.isEmpty():
-        fresh = _verified_in_tiles(late, texts, size, percent)
-        part = stored(connected(fresh if links is None else links.union(fresh)), "part")
+    with releasing(docs.sparkSession) as keep:
+        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        member = keep(_members(texts, size, bands, rows))
+        part = _linked_parts(member, texts, size, percent, bands, rows, keep)
     if part is None:
         return _result(member.withColumn("component", F.lit(None).cast("bigint")), id_col)
 
@@ -309,6 +349,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _result(member.join(root, "rep", "left"), id_col)
 
 
+def _members(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """For each row the least id ``rep`` of its equal sets; bands and bits for that id only."""
+    with releasing(texts.sparkSession) as keep:
+        schema = "id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>, bits array<bigint>"
+        marked = stored(texts.mapInArrow(_signatures(size, bands, rows), schema), "signatures")
+        same = ["low", "high", "n_shingles"]
+        equal = stored(
+            marked.where("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "equal"
+        )
+        rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "id"))
+        shown = [F.when(F.col("id") == rep, F.col(c)).alias(c) for c in ("bands", "bits")]
+        return keep(stored(marked.join(equal, same, "left").select("id", F.col("n_shingles").alias("n"), rep.alias("rep"), *shown), "members"))
+
+
+def _linked_parts(member: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int, keep_last) -> DataFrame | None:
+    """(id, component) of the linked texts, None without links."""
+    spark = member.sparkSession
+    alone = member.where("bands is not null").select(F.col("id").alias("a"), "n", "bits", "bands")
+    test = _compatible(percent, _most_bits(bands * rows, percent / 100))
+    links = part = None
+    for low, high in ((0, bands // 4), (bands // 4, bands)):
+        with releasing(spark) as keep:
+            first = _best_pivots(alone, part, low, high, test)
+            if not first.isEmpty():
+                fresh = _verified(first, texts, size, percent)
+                links = keep(fresh if links is None else stored(links.union(fresh), "links"))
+                part = keep(stored(connected(links), "part"))
+    with releasing(spark) as keep:
+        late, sets = _rest(alone, part, texts, size, percent, bands, test, _least_places(bands * rows, percent / 100) if rows == 4 else 0)
+        if not late.isEmpty():
+            fresh = _verified_in_tiles(late, sets, percent)
+            part = keep(stored(connected(fresh if links is None else links.union(fresh)), "part"))
+    return part if part is None else keep_last(part)
+
+
 def _result(found: DataFrame, id_col: str) -> DataFrame:
     out = found.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

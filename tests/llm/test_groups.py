@@ -69,6 +69,60 @@ def test_minhash_short_texts(spark):
     assert got == groups(pairs, sets)
 
 
+def test_minhash_copies_of_one_text(spark):
+    """Copies at a similarity of 0.6 to 0.9 to each other, with and without the text they were made from; words of the changes recur."""
+    rng = random.Random(11)
+    rows = []
+    for group in range(2):
+        base = sentence(rng, 150).split(" ")
+        if group:
+            rows.append((9000, " ".join(base)))
+        for _ in range(150):
+            words = list(base)
+            for place in rng.sample(range(150), rng.randrange(2, 9)):
+                words[place] = f"w{rng.randrange(40)}"
+            rows.append((1000 * group + len(rows), " ".join(words)))
+    sets = shingle_sets(rows, 4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), size=4).collect()}
+    assert got == groups(near_pairs(sets, 80), sets)
+
+
+def test_overlap_bound_loses_no_link(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        base = [f"b{k}" for k in range(rng.choice((12, 60, 61)))]
+        for place in rng.sample(range(len(base)), rng.randrange(0, 6)):
+            base[place] = f"w{rng.randrange(30)}"
+        rows.append((i, " ".join(base)))
+    size = 3
+    sets = shingle_sets(rows, size)
+    texts = docs(spark, rows).selectExpr("doc_id as id", "text")
+    every = texts.selectExpr("id as a", "id as b")
+    full = minhash._sets_of(every, texts, size)
+    rare = full.mapInArrow(minhash._rarest(minhash._levels(full), 80), "a bigint, rare array<bigint>")
+    n = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "a bigint, n bigint")
+    x = rare.join(n, "a")
+    y = x.selectExpr("a as b", "rare as other_rare", "n as other_n")
+    passed = {(r["a"], r["b"]) for r in x.join(y, x.a < y.b).where(minhash._overlap(80)).select("a", "b").collect()}
+    assert set(near_pairs(sets, 80)) <= passed and len(passed) < 120 * 119 // 4
+
+
+def test_releasing_keeps_what_it_is_told(spark):
+    from eraflow.llm.common import releasing, stored
+
+    with releasing(spark) as outer:
+        with releasing(spark) as keep:
+            gone, inner = stored(spark.range(3).toDF(), "gone"), keep(stored(spark.range(4).toDF(), "inner"))
+        assert inner.count() == 4
+        last = outer(stored(inner, "last"))
+    assert last.count() == 4
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for df, there in ((gone, False), (inner, False), (last, True)):
+        path = jvm.Path(df.stored_at)
+        assert path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) is there
+
+
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     nothing = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark)).collect()}
