@@ -48,8 +48,8 @@ by_value(__name__)
 
 GRAM = 40
 GROUP = 1200
-_SPAN = 900_000  # bytes looked at together; positions must fit into 20 bits
-_SHARD = 1 << 18
+_SPAN = 1 << 18  # bytes looked at together; positions must fit into 20 bits
+_SHARD = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -266,7 +266,7 @@ _RESULT = pa.schema([
 ])
 
 
-def _merge(length: int, most: int = 2 << 20):
+def _merge(length: int, most: int = 1 << 19):
     """Rows sorted by anchor; works through about ``most`` bytes of whole groups at a time."""
 
     def work(rows: list) -> pa.RecordBatch:
