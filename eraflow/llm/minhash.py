@@ -14,7 +14,7 @@
    the shingles of these texts are put in one order, about rarest first (a table of fixed size
    holds how often the shingles of a slot occur), and a text shows its first ``SHOWN`` percent. If
    those of x end before those of y, x has at most the shown shingles of both and its unshown ones in common
-   with y. Near copies of one text that each changed too much fail it, as their rarest shingles
+   with y. Shown shingles are bits of a map; those that fell on a bit already set count as common. Near copies of one text that each changed too much fail it, as their rarest shingles
    are their own; a text of which too many shingles occur nowhere else meets nobody.
 4. Before full sets are compared, pairs whose set sizes rule a link out, or whose
    signatures differ in too many bits, are dropped. A bit is hashed from one minimum and its
@@ -50,6 +50,7 @@ LOST = 1e-10  # chance at which a test on signatures may drop a link
 SLOTS = 24  # the table of shingle counts has 2**SLOTS numbers of four bits, 8 MiB
 SHOWN = 40  # percent of a set, rarest first, that the overlap bound looks at
 MOST_SHOWN = 1024  # and shingles at most: fewer weaken the bound, no link is lost
+WORDS = 32  # the shown shingles are kept as a bit map of that many words
 
 
 def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,30 +284,41 @@ def _levels(sets: DataFrame):
     return sets.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
 
+_MARKS = ["map", "last", "shown", "spare"]
+_SHOWN = "a bigint, map array<bigint>, last bigint, shown int, spare int"
+
+
 def _rarest(levels, percent: int):
-    """Shown shingles of each set in ascending order: four bits of their level, then their hash. Sets that can't link are left out."""
+    """For each set a bit map of the shingles it shows, the last of them in the common order (four bits of
+    the level, then the hash), their number, and how many of them fell on a bit already set. Sets that can't link are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "shingles"):
-            ids, shown = [], []
+            out: list[list] = [[], [], [], [], []]
             for i, raw in zip(batch.column("id").to_pylist(), batch.column("shingles")):
                 own = np.frombuffer(raw.as_buffer(), np.uint64)
                 slot = _slots(own)
                 level = (levels.value[slot >> 4] >> (slot & 15).astype(np.uint64) * np.uint64(4)) & np.uint64(15)
                 if 100 * np.count_nonzero(level) < percent * len(own):
                     continue  # the others are nobody else's
-                code = np.sort(((level << np.uint64(59)) | (mix(own) >> np.uint64(5))).view(np.int64))
-                ids.append(i)
-                shown.append(code[: min(MOST_SHOWN, SHOWN * len(own) // 100 + 1)].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shown, pa.list_(pa.int64()))], names=["a", "rare"])
+                code = np.sort((level << np.uint64(59)) | (mix(own) >> np.uint64(5)))
+                code = code[: min(MOST_SHOWN, SHOWN * len(own) // 100 + 1)]
+                bits = np.zeros(64 * WORDS, np.uint8)
+                bits[(mix(code) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+                row = (i, np.packbits(bits).view(np.int64).tolist(), int(code[-1]), len(code), len(code) - int(bits.sum()))
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["a", "map", "last", "shown", "spare"])
 
     return run
 
 
 def _overlap(percent: int) -> str:
-    """SQL test whether two sets can have enough in common, by their shown shingles."""
-    beyond = "if(element_at(rare, -1) <= element_at(other_rare, -1), n - size(rare), other_n - size(other_rare))"
-    return f"{100 + percent} * (size(array_intersect(rare, other_rare)) + {beyond}) >= {percent} * (n + other_n)"
+    """SQL test whether two sets can have enough in common, by what they show."""
+    both = " + ".join(f"bit_count(map[{k}] & other_map[{k}])" for k in range(WORDS))
+    beyond = "if(last <= other_last, n - shown, other_n - other_shown)"
+    return f"{100 + percent} * ({both} + least(spare, other_spare) + {beyond}) >= {percent} * (n + other_n)"
 
 
 def _rest(alone: DataFrame, part: DataFrame | None, texts: DataFrame, size: int, percent: int, bands: int, test: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -316,19 +328,19 @@ def _rest(alone: DataFrame, part: DataFrame | None, texts: DataFrame, size: int,
     rowed, mixed = _mixed_buckets(placed, 0, bands)
     places = stored(rowed.join(mixed.select("band", "key", "b"), ["band", "key"]), "places")
     sets = _sets_of(places.select("a", F.col("a").alias("b")).distinct(), texts, size)
-    rare = stored(sets.mapInArrow(_rarest(_levels(sets), percent), "a bigint, rare array<bigint>"), "rare")
+    rare = stored(sets.mapInArrow(_rarest(_levels(sets), percent), _SHOWN), "rare")
     pivot = placed.select(F.col("a").alias("b"), F.col("ca").alias("cb")).distinct()
     whole = placed.select("a", "n", "bits", "bands").join(rare, "a")
-    inside = stored(places.join(pivot, "b").join(whole, "a").select("band", "key", "a", "ca", "cb", "n", "bits", "bands", "rare"), "inside")
+    inside = stored(places.join(pivot, "b").join(whole, "a").select("band", "key", "a", "ca", "cb", "n", "bits", "bands", *_MARKS), "inside")
     out = inside.where("ca <> cb").select(
         "band", "key", F.col("a").alias("x"), F.col("ca").alias("cx"),
-        F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands"), F.col("rare").alias("other_rare"),
+        F.col("n").alias("other_n"), F.col("bits").alias("other_bits"), F.col("bands").alias("other_bands"), *[F.col(c).alias("other_" + c) for c in _MARKS],
     )
     # 16-bit places in which whole signatures agree
     lanes = "int(v & 65535L = 0) + int(shiftrightunsigned(v, 16) & 65535L = 0) + int(shiftrightunsigned(v, 32) & 65535L = 0) + int(shiftrightunsigned(v, 48) = 0)"
     agree = f"aggregate(zip_with(bands, other_bands, (p, q) -> p ^ q), 0, (s, v) -> s + {lanes}) >= {least}" if least else "true"
     once = "array_position(zip_with(bands, other_bands, (p, q) -> p = q), true) = band + 1"
-    meet = inside.join(out, ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {test} and {once} and {agree} and {_overlap(percent)}")
+    meet = inside.join(out, ["band", "key"]).where(f"ca <> cx and (ca = cb or x < a) and {_overlap(percent)} and {test} and {once} and {agree}")
     return stored(meet.select(F.col("x").alias("a"), F.col("a").alias("b")).distinct(), "late"), sets
 
 

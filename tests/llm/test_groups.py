@@ -100,10 +100,10 @@ def test_overlap_bound_loses_no_link(spark):
     texts = docs(spark, rows).selectExpr("doc_id as id", "text")
     every = texts.selectExpr("id as a", "id as b")
     full = minhash._sets_of(every, texts, size)
-    rare = full.mapInArrow(minhash._rarest(minhash._levels(full), 80), "a bigint, rare array<bigint>")
+    rare = full.mapInArrow(minhash._rarest(minhash._levels(full), 80), minhash._SHOWN)
     n = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "a bigint, n bigint")
     x = rare.join(n, "a")
-    y = x.selectExpr("a as b", "rare as other_rare", "n as other_n")
+    y = x.selectExpr("a as b", "n as other_n", *[f"{c} as other_{c}" for c in minhash._MARKS])
     passed = {(r["a"], r["b"]) for r in x.join(y, x.a < y.b).where(minhash._overlap(80)).select("a", "b").collect()}
     assert set(near_pairs(sets, 80)) <= passed and len(passed) < 120 * 119 // 4
 
