@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from eraflow.llm import embeddings, minhash
+from eraflow.llm import components, embeddings, minhash
 from eraflow.llm.components import connected
 
 from .data import docs, empty, groups, rows_of, sentence, texts
@@ -21,6 +21,27 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_end_at_stars_and_leave_the_settings(spark):
+    frame = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    assert not components._unfinished(frame([(5, 1), (6, 1), (9, 2)])) and not components._unfinished(frame([]))
+    assert components._unfinished(frame([(5, 1), (5, 2)])) and components._unfinished(frame([(5, 3), (3, 1)]))
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    for given, rows, want in (("4", 10**9, "4"), ("211", 0, str(spark.sparkContext.defaultParallelism)), ("211", 20 * components.EDGES + 1, "21")):
+        spark.conf.set(key, given)
+        with components._sized(spark, rows):
+            assert spark.conf.get(key) == want
+        assert spark.conf.get(key) == given
+    spark.conf.set(key, before)
+
+
+def test_components_of_long_paths(spark):
+    """Ids against the order of the path, so that every step moves the least id on."""
+    ids = random.Random(2).sample(range(10**6), 300)
+    got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
 def shingle_sets(rows, size):
     out = {}
     for i, t in rows:
@@ -113,7 +134,7 @@ def test_releasing_keeps_what_it_is_told(spark):
 
     with releasing(spark) as outer:
         with releasing(spark) as keep:
-            gone, inner = stored(spark.range(3).toDF(), "gone"), keep(stored(spark.range(4).toDF(), "inner"))
+            gone, inner = stored(spark.range(3), "gone"), keep(stored(spark.range(4), "inner"))
         assert inner.count() == 4
         last = outer(stored(inner, "last"))
     assert last.count() == 4
