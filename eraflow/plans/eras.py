@@ -176,6 +176,19 @@ def annualised_cov(spark, folder):
     return portfolio.annualised_covariance(matrix(spark, folder), MARKET_ASSETS).selectExpr("a", "b", "round(cov, 4) AS cov")
 
 
+@query(
+    "market_covariance",
+    using("bars", extra="""rets AS MATERIALIZED (SELECT * FROM (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars) WHERE ret IS NOT NULL),
+pairs AS (SELECT x.ticker AS a, y.ticker AS b, count(*) AS n, covar_samp(x.ret, y.ret) * 252 AS cov,
+  covar_pop(x.ret, y.ret) / nullif(stddev_pop(x.ret) * stddev_pop(y.ret), 0) AS corr FROM rets x JOIN rets y ON x.date = y.date AND x.ticker <= y.ticker GROUP BY 1, 2)""")
+    + "SELECT a, b, n, CASE WHEN n >= 20 THEN round(cov, 4) + 0.0 END AS cov, CASE WHEN n >= 20 THEN round(corr, 6) + 0.0 END AS corr FROM pairs",
+)
+def market_covariance(spark, folder):
+    """Covariance and correlation of all pairs of tickers, not of a declared list."""
+    r = portfolio.simple_returns(panels.stored_bars(spark, folder))
+    return portfolio.market_covariance(r).selectExpr("a", "b", "n", "round(cov, 4) + 0D AS cov", "round(corr, 6) + 0D AS corr")
+
+
 @query("price_dispersion", using("bars") + "SELECT ticker, round(stddev_pop(close), 5) AS std, round(var_pop(close), 3) AS var FROM bars GROUP BY 1")
 def price_dispersion(spark, folder):
     return portfolio.price_dispersion(panels.bars(spark, folder)).selectExpr("ticker", "round(std, 5) AS std", "round(var, 3) AS var")

@@ -210,3 +210,27 @@ def test_ranks_of_null_groups_and_hot_ties(spark):
     share = {r.id: r.share for r in ranking.add_rank(frame.where("era = 'a'"), [], "x", ["id"], "share", percent=True).collect()}
     assert share == {k: (k + 1) / 400 for k in range(400)}
     assert ranking.add_rank(frame.limit(0), ["era"], "x", ["id"]).collect() == []
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_market_covariance_equals_pandas(spark, text):
+    """Many blocks and slices of days, holes, a constant asset, one with few dates, values far from zero."""
+    rng = np.random.default_rng(8)
+    days = pd.date_range("1969-11-01", periods=90)
+    wide = pd.DataFrame(1e4 + rng.normal(size=(90, 9)) @ rng.normal(size=(9, 9)), index=days, columns=range(9))
+    wide[3] = 7.0
+    wide = wide.mask(rng.random(wide.shape) < 0.2)
+    wide.iloc[5:, 8] = np.nan
+    rows = [(f"t{a}" if text else a, d.date(), None if pd.isna(v) else float(v)) for a in wide for d, v in wide[a].items()]
+    rows += [(None, days[0].date(), 1.0)]
+    df = spark.createDataFrame(rows, f"ticker {'string' if text else 'int'}, date date, ret double")
+    got = portfolio.market_covariance(df, days=1, least=20, width=3, span=25).toPandas()
+    cov, corr = wide.cov(min_periods=20), wide.drop(columns=3).corr(min_periods=20)
+    there = wide.notna().astype(int)
+    assert len(got) == sum((there[a] * there[b]).any() for a in wide for b in wide if a <= b)
+    for r in got.itertuples():
+        a, b = (int(str(x).lstrip("t")) for x in (r.a, r.b))
+        assert a <= b and r.n == (there[a] * there[b]).sum()
+        want = cov.loc[a, b], np.nan if 3 in (a, b) else corr.loc[a, b]
+        np.testing.assert_allclose((r.cov, r.corr), want, rtol=1e-7, atol=1e-9)
+    assert portfolio.market_covariance(df.where("false")).count() == 0
