@@ -4,23 +4,16 @@ Every step is an aggregation to the least neighbour (combined before the shuffle
 and a join back. The least neighbours are stored first, so the join reads two plain
 shuffles and a node with very many neighbours is split over tasks.
 
-The steps go on until all edges form stars, which one aggregation by node tells. They
-shuffle into as many partitions as the counted edges need, not into hundreds of nearly
-empty ones: a graph is often far smaller than the texts it comes from.
+The steps go on until all edges form stars, which one aggregation by node tells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import releasing, stored
 
-EDGES = 50_000  # edges for each shuffle partition
-
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the least node of its neighbourhood."""
@@ -44,18 +37,6 @@ def _unfinished(edges: DataFrame) -> bool:
     return bool(node.agg(F.expr("bool_or(up > 1 or up = 1 and least = 0)")).first()[0])
 
 
-@contextmanager
-def _sized(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Shuffles of the block go into partitions of some ``EDGES`` rows, one for each core at least, never more than the session sets."""
-    key = "spark.sql.shuffle.partitions"
-    given = spark.conf.get(key)
-    spark.conf.set(key, min(int(given), max(spark.sparkContext.defaultParallelism, -(-rows // EDGES))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, given)
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the least node reachable.
 
@@ -64,12 +45,11 @@ def connected(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     with releasing(spark) as keep_last:
         edges = stored(edges.where("a is not null and b is not null and a <> b").select("a", "b"), "edges")
-        with _sized(spark, 2 * edges.count()):
-            while True:
-                with releasing(spark) as keep:
-                    edges = keep(stored(_small(stored(_large(edges), "large")), "small"))
-                if not _unfinished(edges):
-                    break
+        while True:
+            with releasing(spark) as keep:
+                edges = keep(stored(_small(stored(_large(edges), "large")), "small"))
+            if not _unfinished(edges):
+                break
         keep_last(edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

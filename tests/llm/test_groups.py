@@ -21,18 +21,10 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_components_end_at_stars_and_leave_the_settings(spark):
+def test_components_end_at_stars(spark):
     frame = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
     assert not components._unfinished(frame([(5, 1), (6, 1), (9, 2)])) and not components._unfinished(frame([]))
     assert components._unfinished(frame([(5, 1), (5, 2)])) and components._unfinished(frame([(5, 3), (3, 1)]))
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    for given, rows, want in (("4", 10**9, "4"), ("211", 0, str(spark.sparkContext.defaultParallelism)), ("211", 20 * components.EDGES + 1, "21")):
-        spark.conf.set(key, given)
-        with components._sized(spark, rows):
-            assert spark.conf.get(key) == want
-        assert spark.conf.get(key) == given
-    spark.conf.set(key, before)
 
 
 def test_components_of_long_paths(spark):
