@@ -41,7 +41,7 @@ def test_weighted_means_sort_thin_rows_once(spark, name):
     assert text.count("FlatMapGroupsInArrow") == 1 and text.count("Sort [") <= 2 and "RangeFrame" not in text
 
 
-@pytest.mark.parametrize("name", ["rolling_median", "sma", "monthly_pack", "price_horizons"])
+@pytest.mark.parametrize("name", ["rolling_median", "sma", "monthly_pack", "price_horizons", "lags", "pct_changes"])
 def test_sliding_frames_left_the_plan(spark, name):
     text = executed(plans.QUERIES[name](spark, SF))
     assert "Window" not in text and "Generate" not in text
@@ -118,3 +118,8 @@ def test_a_missing_time_comes_first_and_only_marked_rows_return(spark):
     every = {r.date: r.x_lag_1 for r in packs.add_packs(df, [packs.lags(["x"], [1])]).collect()}
     assert every == {None: None, dt.date(2024, 1, 1): 1.0, dt.date(2024, 1, 2): 4.0}
     assert [r.x_lag_1 for r in packs.add_packs(df, [packs.lags(["x"], [1])], only="m").collect()] == [4.0]
+
+
+def test_no_pair_of_the_market_is_shuffled(spark):
+    text = executed(plans.QUERIES["market_covariance"](spark, SF))
+    assert "Exchange" not in text.split("FlatMapGroupsInArrow")[0] and text.count("FlatMapGroupsInArrow") == 1
