@@ -123,3 +123,8 @@ def test_a_missing_time_comes_first_and_only_marked_rows_return(spark):
 def test_no_pair_of_the_market_is_shuffled(spark):
     text = executed(plans.QUERIES["market_covariance"](spark, SF))
     assert "Exchange" not in text.split("FlatMapGroupsInArrow")[0] and text.count("FlatMapGroupsInArrow") == 1
+
+
+def test_long_lags_shuffle_rows_before_they_are_long(spark):
+    text = executed(plans.QUERIES["lags_long"](spark, SF))
+    assert text.index("Generate") < text.index("Window") and "Expand" not in text
