@@ -6,7 +6,7 @@ import random
 import pytest
 
 from eraflow.operators import ranking
-from eraflow.sources import panels
+from eraflow.sources import panels, sinks
 
 
 def plan(df):
@@ -75,3 +75,16 @@ def test_partitions_follow_the_raw_rows(spark, market):
     assert panels.by_ticker(spark, market, b, rows=100).rdd.getNumPartitions() == 12  # 1,120 rows
     assert panels.by_ticker(spark, market, b, rows=400).rdd.getNumPartitions() == 4  # not below the session's
     assert panels.by_ticker(spark, market, b, rows=2000) is b
+
+
+def test_era_files_need_one_shuffle_of_the_rows(spark, tmp_path):
+    df = spark.range(1000).selectExpr("CASE WHEN id % 3 > 0 THEN 1 WHEN id % 9 > 0 THEN CAST(id % 5 AS INT) END AS era", "id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(sinks.sized(df, "era", 100))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    sinks.write_features(df, f"{tmp_path}/f", "era", rows_per_file=100)
+    back = spark.read.parquet(f"{tmp_path}/f").select("era", "id")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
