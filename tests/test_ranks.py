@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from eraflow.operators import ranking
+from eraflow import plans
+from eraflow.operators import learn, ranking
 from eraflow.sources import panels, sinks
 
 
@@ -77,6 +78,16 @@ def test_partitions_follow_the_raw_rows(spark, market):
     assert panels.by_ticker(spark, market, b, rows=2000) is b
 
 
+def test_direction_model_reads_its_bars_once_in_even_tasks(spark, market, monkeypatch):
+    seen = []
+    monkeypatch.setattr(panels, "by_ticker", lambda s, f, b, real=panels.by_ticker: seen.append(real(s, f, b, rows=100)) or seen[-1])
+    fitted = []
+    monkeypatch.setattr(learn, "direction_model", lambda train, fields, real=learn.direction_model: fitted.append(train) or real(train, fields))
+    assert plans.QUERIES["direction_auc"](spark, market).count() == 1
+    assert len(seen) == 1 and fitted[0].rdd.getNumPartitions() == 12
+    assert "lineitem" not in plan(fitted[0])  # the split is taken from the kept rows
+
+
 def test_era_files_need_one_shuffle_of_the_rows(spark, tmp_path):
     df = spark.range(1000).selectExpr("CASE WHEN id % 3 > 0 THEN 1 WHEN id % 9 > 0 THEN CAST(id % 5 AS INT) END AS era", "id")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
