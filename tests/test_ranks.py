@@ -88,6 +88,18 @@ def test_direction_model_reads_its_bars_once_in_even_tasks(spark, market, monkey
     assert "lineitem" not in plan(fitted[0])  # the split is taken from the kept rows
 
 
+def test_leaderboard_caches_its_rows_and_lets_them_go(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(dt.date(2020, 1, 3) + dt.timedelta(days=7 * (n // 10)), rnd.random(), rnd.random(), "x" * 50) for n in range(400)]
+    df = spark.createDataFrame(rows, "week_end date, target double, a double, more string")
+    seen = []
+    monkeypatch.setattr(learn, "train_models", lambda train, *a, real=learn.train_models: seen.append((train, train.storageLevel.useMemory, train.columns)) or real(train, *a))
+    got = learn.leaderboard(df.where("target < 0.7"), df.where("target >= 0.7"), ["a"], sets=((2, 2, 0.1), (3, 2, 0.1)))
+    assert {n for n, _ in got} == {"gbt", "forest", "linear", "gbt_search"}
+    (train, cached, columns), = seen
+    assert cached and columns == ["week_end", "target", "a"] and not train.storageLevel.useMemory
+
+
 def test_era_files_need_one_shuffle_of_the_rows(spark, tmp_path):
     df = spark.range(1000).selectExpr("CASE WHEN id % 3 > 0 THEN 1 WHEN id % 9 > 0 THEN CAST(id % 5 AS INT) END AS era", "id")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
