@@ -1,15 +1,17 @@
 """Packs computed in one pass over a series: values against pandas and the Window forms, plans without wide sorts."""
 
 import datetime as dt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from eraflow import plans
 from eraflow.functions import moments, packs
 from eraflow.functions.rolling import Series
-from eraflow.operators import cross
+from eraflow.operators import cross, portfolio
 
 SF = "/root/testdata/sf0.001"
 W = Series("k", "t")
@@ -128,3 +130,23 @@ def test_no_pair_of_the_market_is_shuffled(spark):
 def test_long_lags_shuffle_rows_before_they_are_long(spark):
     text = executed(plans.QUERIES["lags_long"](spark, SF))
     assert text.index("Generate") < text.index("Window") and "Expand" not in text
+
+
+def test_an_asset_is_sent_to_half_of_the_blocks(spark, monkeypatch):
+    """Every block used to be sent to every other one."""
+    rows = [(a, d.date(), float((a + 1) * (i % (a + 2)))) for a in range(40) for i, d in enumerate(pd.date_range("2001-01-01", periods=30))]
+    df = spark.createDataFrame(rows, "ticker int, date date, ret double")
+    wide = pd.DataFrame(rows, columns=["a", "d", "v"]).pivot(index="d", columns="a", values="v").cov() * 252
+    for dealing in ({"width": 2, "parts": 7}, {"width": 40, "room": 100}):  # blocks by their assets, by their values
+        found = portfolio.market_covariance(df, **dealing)
+        assert executed(found).count("REPARTITION_BY_NUM") == 1
+        assert found.count() == found.select("a", "b").distinct().count() == 40 * 41 // 2
+        for r in found.collect():
+            np.testing.assert_allclose(r.cov, wide.loc[r.a, r.b], rtol=1e-9, atol=1e-7)
+
+    def arrived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"i": pa.array([0], pa.int32()), "j": pa.array([0], pa.int32()), "n": [len(b)], "cov": [0.0], "corr": [0.0]})
+
+    monkeypatch.setattr(portfolio, "_meetings", lambda *_: arrived)
+    assert sum(r.n for r in portfolio.market_covariance(df, width=2, parts=7).collect()) == 40 * 4
