@@ -7,7 +7,7 @@ import pytest
 
 from eraflow.operators import cross
 from eraflow.plans import features
-from eraflow.sources import store
+from eraflow.sources import panels, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,26 @@ def test_groups_read_bars_without_a_shuffle(spark):
         assert "Exchange" not in executed(group), name
 
 
+def test_groups_are_joined_as_structs(spark, monkeypatch):
+    """Every join used to copy all columns of the groups before it."""
+    tables = []
+    monkeypatch.setattr(features, "joined", lambda found, keys: tables.extend(found) or store.joined(found, keys))
+    frame = features.feature_frame(spark, SF)
+    groups = features.feature_groups(spark, SF)
+    assert len(tables) == len(groups) and all(len(t.columns) == 3 for t in tables)
+    assert frame.columns == ["ticker", "date", *[c for n, g in groups.items() if n != "polynomials" for c in g.columns[2:]], "poly"]
+    for name in ("macd", "price_packs", "calendar"):
+        group, mine = groups[name], frame.select(groups[name].columns)
+        assert group.count() == mine.count() and not group.exceptAll(mine).take(1), name
+
+
+def test_buckets_follow_the_raw_rows(spark):
+    """As many as shuffle partitions were set: tasks of a few hundred rows, or of too many."""
+    rows = panels.table(spark, SF, "lineitem").count()
+    assert panels.buckets(spark, SF) == spark.sparkContext.defaultParallelism
+    assert panels.buckets(spark, SF, rows // 50) in (50, 51)
+
+
 def test_store_finds_tables_again_and_forgets_them(spark, tmp_path):
     spark.range(40).selectExpr("id", "id % 3 AS k").write.parquet(f"{tmp_path}/in")
     made = []
